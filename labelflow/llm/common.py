@@ -68,3 +68,14 @@ def remainder_column(column: str, modulus: int):
 def fold_case(text: str) -> str:
     """Lower-cases A-Z and nothing else."""
     return text.lower() if text.isascii() else text.translate(LOWER_ASCII)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, held_out: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, text, label) of at most `bound` labelled documents, the least by a hash of doc_id. Rows with
+    crc32(doc_id) % held_out[0] == held_out[1] give no label. Where labels repeat a doc_id, its largest label counts.
+    The chosen ids are broadcast: at most `bound` rows."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where("doc_id is not null and _label is not null")
+    if held_out:
+        known = known.where(remainder_column("doc_id", held_out[0]) != held_out[1])
+    chosen = known.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(chosen), "doc_id")

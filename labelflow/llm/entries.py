@@ -19,19 +19,43 @@ def op1_bpe_roundtrip(spark, sf_dir):
     return encode_decode(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), payload=False)
 
 
+def op2_toxicity(spark, sf_dir):
+    from labelflow.llm import quality_classifier, toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), (5, 0))
+    return quality_classifier.with_held_out(toxicity.score(docs, model, 0.5), 5, 0).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_quality_classifier(spark, sf_dir):
+    from labelflow.llm import quality_classifier
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"), (4, 2))
+    return quality_classifier.with_held_out(quality_classifier.score(docs, model, 0.7), 4, 2).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_best_fit_packing(spark, sf_dir):
     from labelflow.llm.packing import pack_documents
 
     return pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 1024, 2).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_quality_rules(spark, sf_dir):
+    from labelflow.llm import quality_rules
+
+    docs = read_table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality_rules.apply(docs, rules).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
+
+
 def op10_exact_dedup(spark, sf_dir):
     from labelflow.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op5_best_fit_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_quality_classifier, op5_best_fit_packing, op8_quality_rules, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
