@@ -41,6 +41,16 @@ def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 1024, 2).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_language_model(spark, sf_dir):
+    from labelflow.llm import language_model, quality_classifier
+    from labelflow.llm.common import remainder_column
+
+    docs = read_table(spark, sf_dir, "documents")
+    model, counts = language_model.fit(docs.where(remainder_column("doc_id", 7) != 2))
+    scored = language_model.score(docs, model, counts)
+    return quality_classifier.with_held_out(scored, 7, 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality_rules(spark, sf_dir):
     from labelflow.llm import quality_rules
 
@@ -55,7 +65,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_quality_classifier, op5_best_fit_packing, op8_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_quality_classifier, op5_best_fit_packing, op7_language_model, op8_quality_rules, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
