@@ -35,6 +35,12 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.with_held_out(quality_classifier.score(docs, model, 0.7), 4, 2).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    from labelflow.llm.jaccard_join import similar_sets
+
+    return similar_sets(read_table(spark, sf_dir, "documents"), width=4, threshold=(85, 100))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     from labelflow.llm.packing import pack_documents
 
@@ -65,7 +71,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_quality_classifier, op5_best_fit_packing, op7_language_model, op8_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_quality_classifier, op4_ngram_jaccard_join, op5_best_fit_packing, op7_language_model, op8_quality_rules, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
