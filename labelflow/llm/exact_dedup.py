@@ -24,13 +24,16 @@ BUCKETS = 4096
 
 def _named(rows: DataFrame, value: list[str]) -> DataFrame:
     """Replaces the columns `value` by an integer _name, equal for rows whose values are equal (nulls included)."""
-    keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*value), F.lit(BUCKETS)).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    # coalesce says that the keys are never null, so that no null filter sets the shuffle's two uses below apart.
+    hashed = lambda n, *c: F.coalesce(F.pmod(F.xxhash64(*c), F.lit(n)).cast("int"), F.lit(0))
+    keyed = rows.withColumn("_bucket", hashed(BUCKETS, *value)).withColumn("_salt", hashed(SALTS, "_row"))
     local = Window.partitionBy("_bucket", "_salt").orderBy(*value)
     first = keyed.withColumn("_local", F.dense_rank().over(local)).withColumn("_first", F.row_number().over(local))
     # The row that opens each local rank carries the value on; the others only need the rank. Both uses below read
     # the same shuffle, and ranks depend on values alone, so a task that runs again gives the same names.
     first = first.withColumn("_opens", (F.col("_first") == 1) | (F.col("_local") != F.lag("_local").over(local)))
-    distinct = first.where("_opens").select("_bucket", "_salt", "_local", *value)
+    # The conditions on _row and _at hold for every row: they keep both uses' shuffles alike, so that one is read twice.
+    distinct = first.where("_opens and _row >= 0 and _at >= 0").select("_bucket", "_salt", "_local", *value)
     name = (F.dense_rank().over(Window.partitionBy("_bucket").orderBy(*value)).cast("bigint") - 1) * BUCKETS + F.col("_bucket")
     names = distinct.select("_bucket", "_salt", "_local", name.alias("_name"))
     return first.select("_row", "_at", "_bucket", "_salt", "_local").join(names, ["_bucket", "_salt", "_local"]).select("_row", "_at", "_name")
