@@ -51,7 +51,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """A row id of our own, so that repeated or null doc_ids stay separate rows. It is stable when a task runs
-    again as long as the input's partitions are (file scans, checkpoints)."""
+    again as long as the input's partitions are (file scans, checkpoints). How files are split depends on the number
+    of cores at hand, so it is pinned for the session: losing an executor must not change the ids of a second read."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -47,6 +47,16 @@ def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 1024, 2).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_training_order(spark, sf_dir):
+    """The shards' records: where each sequence stands (shard, record, slot) and what it starts with."""
+    from labelflow.llm import training_order
+    from labelflow.llm.common import shared_path
+
+    path = shared_path(spark, "training_order")
+    training_order.write_shards(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), path)
+    return training_order.read_shards(spark, path)
+
+
 def op7_language_model(spark, sf_dir):
     from labelflow.llm import language_model, quality_classifier
     from labelflow.llm.common import remainder_column
@@ -65,13 +75,21 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.apply(docs, rules).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
 
 
+def op9_license_scan(spark, sf_dir):
+    """documents as files source/lang/doc_id."""
+    from labelflow.llm.license_scan import scan
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return scan(docs)
+
+
 def op10_exact_dedup(spark, sf_dir):
     from labelflow.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_quality_classifier, op4_ngram_jaccard_join, op5_best_fit_packing, op7_language_model, op8_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_quality_classifier, op4_ngram_jaccard_join, op5_best_fit_packing, op6_training_order, op7_language_model, op8_quality_rules, op9_license_scan, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
