@@ -189,6 +189,14 @@ class Bpe:
                 text = text.replace("Σ", "σ").lower()
         return text
 
+    def _split(self, text: str) -> list[str]:
+        """Pre-tokens. Code points that have no assigned character are neither letters nor digits, also where the regular
+        expression's tables are newer."""
+        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
+            return self.pattern.findall(text)
+        masked = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(masked)]
+
     def _symbols(self, word: str) -> list[int]:
         data = word.encode("utf-8")
         ids = [self.inner[b] for b in data]
@@ -200,7 +208,7 @@ class Bpe:
         if len(self._words) >= CACHE_ENTRIES:
             self._words.clear()
         sized = defaultdict(list)
-        for word in {w for t in texts for w in self.pattern.findall(self._normalise(t))} - self._words.keys():
+        for word in {w for t in texts for w in self._split(self._normalise(t))} - self._words.keys():
             ids = self._symbols(word)
             if len(ids) == 1:
                 self._words[word] = ids
@@ -233,7 +241,7 @@ class Bpe:
         return out
 
     def _plain(self, text: str, out: list[int]) -> None:
-        for word in self.pattern.findall(self._normalise(text)):
+        for word in self._split(self._normalise(text)):
             out += self._word(word)
 
     def decode(self, ids) -> str:
