@@ -10,6 +10,8 @@ corpus); each piece finds its place from its rank among pieces of its length.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from array import array
 
@@ -18,15 +20,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+import tiktoken
 
+from labelflow.llm.bpe import BYTE_LEVEL_PATTERN, byte_alphabet
 from labelflow.llm.common import materialise, with_row_id
 
 #: Entries a worker keeps before it starts anew; bounds memory, not results.
 CACHE_ENTRIES = 600_000
+#: A chunk that starts (after one space at most) and ends with something other than white space.
+_WHOLE = re.compile(r" ?\S(?:.*\S)?\Z", re.DOTALL)
 #: Sub-ranks per length, so that a length that many documents share is ranked by many tasks.
 SALTS = 64
 
 
+def rank_encoder(path: str):
+    """The same byte-level vocabulary as ranks for tiktoken, which encodes Latin chunks in less time; None where the
+    file's merges are not in the order of their ids, or it is not byte-level alone."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"]
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model.get("end_of_word_suffix") or any(a >= b for a, b in zip(made, made[1:])):
+        return None
+    bytes_of = {c: b for b, c in enumerate(byte_alphabet())}
+    ranks = {bytes(map(bytes_of.__getitem__, t)): i for t, i in model["vocab"].items()}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class ChunkIds(dict):
     """Chunk of text -> its ids as little-endian uint32; None for chunks that can't be encoded on their own.
 
@@ -36,16 +56,22 @@ class ChunkIds(dict):
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.fast = rank_encoder(path)
 
     def learn(self, chunks: set[str]) -> None:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        new = [c for c in chunks if c not in self]
-        whole = [c for c in new if c.strip(" ") and not c.lstrip(" ")[0].isspace() and not c[-1].isspace() and not c.startswith("  ")]
-        for c, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
+        slow, whole, fast = [], _WHOLE.match, self.fast
+        for c in chunks:
+            if c not in self:
+                if not whole(c):
+                    self[c] = None
+                elif fast and (c.isascii() or max(c) < "\u0250") and "<|" not in c:
+                    self[c] = array("I", fast(c)).tobytes()
+                else:
+                    slow.append(c)
+        for c, e in zip(slow, self.tokenizer.encode_batch(slow, add_special_tokens=False)):
             self[c] = array("I", e.ids).tobytes()
-        for c in set(new) - set(whole):
-            self[c] = None
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
