@@ -175,7 +175,8 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, mo
                 break
             rule = shorter
         hit = rule.mask(x) & left
-        if score(hit & prune) < precision or (hit & bad).sum() < 5:
+        right, judged = int((hit & prune & bad).sum()), int((hit & prune).sum())
+        if right < 3 or right < precision * judged:
             break
         out.rules.append(rule)
         left &= ~hit
