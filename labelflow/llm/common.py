@@ -71,7 +71,13 @@ def remainder_column(column: str, modulus: int):
 
 def fold_case(text: str) -> str:
     """Lower-cases A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(LOWER_ASCII)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def folded_words(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lower-cased. bytes.lower and bytes.split know ASCII alone: they change A-Z and
+    cut at space and \\t to \\r, as WORD does."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, held_out: tuple[int, int] | None = None) -> DataFrame:

@@ -18,7 +18,6 @@ sets that share a list, as a text is smaller than its shingles.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -27,46 +26,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import WORD, fold_case, materialise, with_row_id
+from labelflow.llm.common import folded_words, materialise, with_row_id
 from labelflow.llm.components import connected
 
 #: Shingles that a task counts at a time, and how many repeated ones shape the order at most (it is only an order).
 CHUNK, ORDER_HINTS = 4_000_000, 400_000
 #: Entries of a block of an index list.
 BLOCK = 32
-#: Words a worker remembers before it starts anew.
-CACHE_ENTRIES = 1_000_000
-
-
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-
-@functools.lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text (A-Z lower-cased); of fewer words, the whole
     sequence is one shingle; without words there is none."""
-    words = WORD.findall(fold_case(text or ""))
+    words = folded_words(text)
     if not words:
         return np.zeros(0, np.int64)
-    cache = _words()
-    h = np.fromiter((cache[w] for w in words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     span = min(width, len(h))
     out = np.full(len(h) - span + 1, span, np.uint64)
     for k in range(span):
         out = (out ^ h[k : len(h) - span + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
-    return np.unique(out.view(np.int64))
+    out = np.sort(out.view(np.int64))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def least_overlap(size_a, size_b, num: int, den: int):
