@@ -20,7 +20,7 @@ from labelflow.llm.common import WORD, labelled_sample
 
 BITS = 18
 #: At most so many labelled documents are fitted on.
-SAMPLE = 16_000
+SAMPLE = 12_000
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (4, 5)
 #: Words a worker remembers before it starts anew.
@@ -91,12 +91,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray | None, int]], lam: float = 1.
     for at, _, _ in rows:
         df[at] += 1
     used = np.flatnonzero(df >= min(3, len(rows)))
-    index = np.full(size, -1)
+    index = np.full(size, -1, np.int32)
     index[used] = np.arange(len(used))
 
     def flat(lists):
-        lists = [index[a][index[a] >= 0] for a in lists]
-        return np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(lists)), [len(a) for a in lists])
+        many = [int((index[a] >= 0).sum()) for a in lists]
+        out, at = np.empty(sum(many), np.int32), 0
+        for a, k in zip(lists, many):
+            out[at : at + k] = index[a][index[a] >= 0]
+            at += k
+        return out, np.repeat(np.arange(len(many), dtype=np.int32), many)
 
     at, row = flat([a for a, _, _ in rows])
     y = np.array([t for _, _, t in rows], np.float64)
@@ -107,8 +111,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray | None, int]], lam: float = 1.
     w, b, g2, gb2 = np.zeros(len(used)), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), np.full(len(used), 1e-8), 1e-8
     n = len(rows)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], n) + b, -35, 35)))
-        r = weight * (p - y) / n
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w.astype(np.float32)[at], n) + b, -35, 35)))
+        r = (weight * (p - y) / n).astype(np.float32)
         g = np.bincount(at, r[row], len(used))
         if pairs:
             d = (np.bincount(in_row, w[in_at], len(pairs)) - np.bincount(out_row, w[out_at], len(pairs))) * (2 * lam / n)
