@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 _SPACES = regex.compile(r"\s+")
 _NONE = 1 << 62
@@ -87,6 +88,10 @@ def merge_ids(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) ->
     return [i for i in ids if i >= 0]
 
 
+def _unassigned(text: str) -> bool:
+    return any(unicodedata.category(c) == "Cn" for c in text)
+
+
 class PairTable:
     """merges as sorted arrays, for many look-ups at once."""
 
@@ -186,16 +191,15 @@ class Bpe:
                 text = _SPACES.sub(" ", text)
             elif step == "Lowercase":
                 # One character at a time: no final-sigma rule.
-                text = text.replace("Σ", "σ").lower()
+                text = text.replace("Σ", "σ").lower() if ascii_only or not _unassigned(text) else normalizers.Lowercase().normalize_str(text)
         return text
 
     def _split(self, text: str) -> list[str]:
-        """Pre-tokens. Code points that have no assigned character are neither letters nor digits, also where the regular
-        expression's tables are newer."""
-        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
+        """Pre-tokens. Python's, the regular expression's and the library's character tables are of different versions:
+        texts with code points that are new to Python's are cut by the library's."""
+        if text.isascii() or not _unassigned(text):
             return self.pattern.findall(text)
-        masked = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(masked)]
+        return [p for p, _ in pre_tokenizers.Split(Regex(self.pattern.pattern), "removed", invert=True).pre_tokenize_str(text)]
 
     def _symbols(self, word: str) -> list[int]:
         data = word.encode("utf-8")
