@@ -26,7 +26,7 @@ from labelflow.llm.bpe import BYTE_LEVEL_PATTERN, byte_alphabet
 from labelflow.llm.common import materialise, with_row_id
 
 #: Entries a worker keeps before it starts anew; bounds memory, not results.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: A chunk that starts (after one space at most) and ends with something other than white space.
 _WHOLE = re.compile(r" ?\S(?:.*\S)?\Z", re.DOTALL)
 #: Sub-ranks per length, so that a length that many documents share is ranked by many tasks.

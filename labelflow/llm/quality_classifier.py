@@ -23,7 +23,7 @@ BITS = 18
 SAMPLE = 8_000
 _MARKS = re.compile(r"[^\W\d_]+")
 #: Words a worker remembers before it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 
 def shape(word: str) -> str:

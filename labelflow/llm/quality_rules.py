@@ -71,13 +71,15 @@ def text_counts(text: str) -> tuple[int, ...]:
 def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep and the COUNTS of each whole text. A null or empty text, or one of white space, has zeros."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         for batch in batches:
-            rows = np.array([text_counts(t or "") for t in batch.column(len(keep)).to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            rows = np.array([text_counts(t or "") for t in batch.column(at).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(c) for c in rows.T], names=[*keep, *COUNTS])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{c} bigint" for c in COUNTS]))
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{c} bigint" for c in COUNTS]))
 
 
 def statistics() -> dict[str, Column]:

@@ -24,7 +24,7 @@ SAMPLE = 12_000
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (4, 5)
 #: Words a worker remembers before it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 200_000
 #: Identity terms by kind; a term is swapped for the next of its kind.
 IDENTITY = [
     "women men girls boys transgender nonbinary".split(),
@@ -146,11 +146,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
     columns other than keep and text are not read. The weights are broadcast: 2^BITS numbers, whatever the corpus."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches):
         w, b = sent.value
         for batch in batches:
-            s = np.array([w[places(set(WORD.findall(t or "")))].sum() for t in batch.column(len(keep)).to_pylist()], np.float64)
+            s = np.array([w[places(set(WORD.findall(t or "")))].sum() for t in batch.column(at).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(s + b, -35, 35))))], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["score double"])).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    return rows.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["score double"])).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
