@@ -121,10 +121,10 @@ def _entries(sets: DataFrame) -> DataFrame:
     return sets.select("x", "n", "prefix").mapInArrow(run, "token bigint, x bigint, n int, i int")
 
 
-def _can_link(num: int, den: int, a: str = "", b: str = "2") -> Column:
-    """The size and position bounds of two entries of a list."""
-    n, m, i, j = (F.col(c).cast("bigint") for c in (f"n{a}", f"n{b}", f"i{a}", f"i{b}"))
-    need = F.expr(f"({num} * (cast(n{a} as bigint) + n{b}) + {num + den - 1}) div {num + den}")
+def _can_link(num: int, den: int, n="n", i="i", n2="n2", i2="i2") -> Column:
+    """The size and position bounds of two entries (n, i) and (n2, i2) of a list."""
+    n, m, i, j = ((F.col(c) if isinstance(c, str) else c).cast("bigint") for c in (n, n2, i, i2))
+    need = F.ceil((n + m) * num / (num + den))  # exact: a whole quotient is a whole double
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (i <= n - need) & (j <= m - need)
 
 
@@ -179,16 +179,30 @@ def similar_sets(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     some = sig.where("size > 0")
     classes = materialise(some.groupBy("key", "size").agg(F.min("_row").alias("x"), F.min("_id").alias("_least")), "classes")
     heads = some.join(classes.select("key", "size", "x"), ["key", "size"]).where("_row = x").select("x", F.col("size").alias("n"), "prefix")
-    lists = _entries(heads).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1").drop("m")
-    lists = materialise(lists, "entries")
-
-    # The best leader of each set: the one at the least position in most of its lists.
-    first = lists.groupBy("token").agg(F.min(F.struct("i", "n", "x")).alias("l")).select("token", F.col("l.x").alias("y"), F.col("l.n").alias("n2"), F.col("l.i").alias("i2"))
-    led = lists.join(first, "token").where("x <> y").where(_can_link(num, den)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    shared = materialise(_entries(heads).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1"), "shared")
+    # Short lists give their pairs (BLOCK partners an entry at most). Two sets within the threshold share more than one
+    # of their first elements: with |a & b| >= need, at least need - n + p of the first p of n. Long lists, of which a
+    # pair may share as many as either has, count in its favour.
+    short = shared.where(F.col("m") <= BLOCK).groupBy("token").agg(F.collect_list(F.struct("x", "n", "i")).alias("l")).select("l", F.explode("l").alias("e"))
+    sizes = lambda n, m: F.least(n, m).cast("bigint") * den >= F.greatest(n, m).cast("bigint") * num
+    partner = lambda o: (o["x"] > F.col("e.x")) & sizes(F.col("e.n"), o["n"])
+    pairs = short.select("e", F.explode(F.filter("l", partner)).alias("o")).groupBy(F.col("e.x").alias("x"), F.col("o.x").alias("y"), F.col("e.n").alias("n"), F.col("o.n").alias("n2")).agg(F.count(F.lit(1)).alias("shared"))
+    long = materialise(shared.where(F.col("m") > BLOCK).drop("m"), "long")
+    many = long.groupBy("x").agg(F.count(F.lit(1)).alias("long"))
+    pairs = pairs.join(many, "x", "left").join(many.select(F.col("x").alias("y"), F.col("long").alias("long2")), "y", "left")
+    first = lambda n: F.col(n) - F.ceil(F.col(n).cast("bigint") * num / den) + 1
+    need = F.ceil((F.col("n").cast("bigint") + F.col("n2")) * num / (num + den))
+    least = need + F.least(first("n") - F.col("n"), first("n2") - F.col("n2"))
+    pairs = materialise(pairs.where(F.col("shared") + F.least(F.coalesce("long", F.lit(0)), F.coalesce("long2", F.lit(0))) >= least).select("x", "y", "shared"), "pairs")
+
+    # The best leader of each set: the partner of most lists, or in long lists the set at the least position.
+    ahead = long.groupBy("token").agg(F.min(F.struct("i", "n", "x")).alias("l")).select("token", F.col("l.x").alias("y"), F.col("l.n").alias("n2"), F.col("l.i").alias("i2"))
+    led = long.join(ahead, "token").where("x <> y").where(_can_link(num, den)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    led = led.unionByName(pairs).unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "shared"))
     led = led.groupBy("x").agg(F.max(F.struct("shared", (-F.col("y")).alias("minus"))).alias("best")).select("x", (-F.col("best.minus")).alias("y"))
     led = materialise(led, "leaders")
 
-    needed = lists.select("x").distinct()
+    needed = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(long.select("x")).distinct()
     rebuilt = texts.select("_row", "_text").join(needed.withColumnRenamed("x", "_row"), "_row")
 
     def rebuild(batches):
@@ -200,8 +214,10 @@ def similar_sets(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     links = answers.where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = connected(links)
 
-    placed = lists.join(found.withColumnRenamed("node", "x"), "x", "left").select("token", "x", "n", "i", F.coalesce("component", "x").alias("c"))
-    open_pairs = _across(placed, num, den).join(led.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+    placed = long.join(found.withColumnRenamed("node", "x"), "x", "left").select("token", "x", "n", "i", F.coalesce("component", "x").alias("c"))
+    at = lambda v, c: found.select(F.col("node").alias(v), F.col("component").alias(c))
+    apart = pairs.join(at("x", "c"), "x", "left").join(at("y", "c2"), "y", "left").where(F.coalesce("c", "x") != F.coalesce("c2", "y")).select("x", "y")
+    open_pairs = _across(placed, num, den).unionByName(apart).distinct().join(led.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     # A leader is its own star, without a difference.
     star = answers.select("x", F.col("y").alias("l"), "n2", "lacks", "adds")
     own = answers.select(F.col("y").alias("x"), F.col("y").alias("l"), "n2").distinct().select("x", "l", "n2", F.array().cast("array<bigint>").alias("lacks"), F.array().cast("array<bigint>").alias("adds"))
