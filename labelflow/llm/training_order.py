@@ -77,19 +77,16 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, length: int = 1024,
     sent = spark.sparkContext.broadcast(starts)
     span = -(-total // max(1, -(-total // (per_shard * 2))))
 
+    def numbered(found, at):
+        slots = permute(np.arange(at, at + len(found)), total, key)
+        records = [data + struct.pack(_TAIL, slot, DOC_NONE if doc is None else doc, start, many, zlib.crc32(data)) + b"\n" for slot, (data, doc, start, many) in zip(slots.tolist(), found)]
+        return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(records, pa.binary())], names=["slot", "record"])
+
     def run(batches):
         at, held, size, meta = None, [], 0, []
         for batch in batches:
             at = sent.value[TaskContext.get().partitionId()] if at is None else at
-            slots, records = [], []
-
-            def cut(data, first, start, many):
-                nonlocal at
-                slot = int(permute(np.array([at]), total, key)[0])
-                slots.append(slot)
-                records.append(data.tobytes() + struct.pack(_TAIL, slot, DOC_NONE if first is None else first, start, many, zlib.crc32(data.tobytes())) + b"\n")
-                at += 1
-
+            found = []
             for doc, data in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), tokenizer)):
                 ids = np.frombuffer(data + int(end_id).to_bytes(4, "little"), "<u4").astype(kind)
                 done = 0
@@ -99,13 +96,12 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, length: int = 1024,
                     held.append(ids[done : done + take])
                     size, done = size + take, done + take
                     if size == length:
-                        cut(np.concatenate(held), meta[0][0], meta[0][1], len(meta))
+                        found.append((np.concatenate(held).tobytes(), *meta[0], len(meta)))
                         held, size, meta = [], 0, []
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(records, pa.binary())], names=["slot", "record"])
+            yield numbered(found, at)
+            at += len(found)
         if size:
-            slots, records = [], []
-            cut(np.concatenate([*held, np.full(length - size, pad_id, kind)]), meta[0][0], meta[0][1], len(meta))
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(records, pa.binary())], names=["slot", "record"])
+            yield numbered([(np.concatenate([*held, np.full(length - size, pad_id, kind)]).tobytes(), *meta[0], len(meta))], at)
 
     rows = texts.mapInArrow(run, "slot bigint, record binary").withColumn("shard", F.expr(f"cast(slot div {max(span, 1)} as int)"))
     # The text writer puts the record's bytes as they are; its line feed is the record's last byte.
