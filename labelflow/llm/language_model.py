@@ -1,34 +1,36 @@
 """Operator 7: a hierarchical Pitman-Yor language model.
 
-Restaurants. Each frequent word (one of CONTEXTS, the others together being one more) is a context whose restaurant
-serves DISHES frequent words and one dish for all rarer ones; all context restaurants share the root restaurant as
-parent; the root's base is uniform over the V known tokens and one unknown. What the rarer dish stands for is drawn from
-a restaurant of its own that serves every other token of the corpus, however many there are.
+Restaurants. Every word that a token follows is a context whose restaurant serves every token seen after it. The parent
+of a context's restaurant is that of its class (each of CONTEXTS frequent words is a class of its own, the others
+together are one more), which serves DISHES frequent words and one dish for all rarer ones; the classes share the root
+restaurant; the root's base is uniform over the V known tokens and one unknown. What the rarer dish stands for is drawn
+from a restaurant of its own that serves every other token of the corpus, however many there are.
 
 Seating. A Gibbs sweep empties a restaurant and seats its customers again one after the other (long queues in blocks
 that grow with the queue), each at an old table of its dish or at a new one, given the parent's current predictive
-probabilities; new tables become the parent's customers. Predictive probabilities are averaged over sweeps.
+probabilities; new tables become the parent's customers. Tables and the classes' probabilities are averaged over sweeps.
 
-Scale. Counts of all tokens are gathered by a shuffle and stay in a table. Only statistics of bounded size reach the
-driver or a broadcast: at most HEAD of the most frequent tokens with their counts, (CONTEXTS + 1) x (DISHES + 1) pair counts, and
-how many rare tokens have each count. Tokens beyond the head meet their counts in a join.
+Scale. Counts of all tokens and of all pairs are gathered by a shuffle and stay in tables. Pairs lie in one row per
+context, those of frequent contexts in several; each row seats its own customers. Texts meet the pairs in a join. Only
+statistics of bounded size reach the driver or a broadcast: at most HEAD of the most frequent tokens with their counts,
+tables by class and dish, and how many rare tokens have each count.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.llm.common import folded_words, materialise, with_row_id
 
 CONTEXTS, DISHES, HEAD = 512, 2048, 200_000
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 400_000
+#: Tokens whose pairs a task counts before it hands them on, and customers of one row of a frequent context.
+FLUSH, ROOM = 4_000_000, 50_000
 #: The end of a text; words are never empty.
 END = ""
 
@@ -37,66 +39,42 @@ def _texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; each text adds one END."""
+class _Ids(dict):
+    """Numbers words in the order in which they come."""
 
-    def run(batches):
-        seen: Counter = Counter()
-
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return batch
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(folded_words(t))
-                seen[END.encode()] += 1
-                if len(seen) >= FLUSH:
-                    yield out()
-        yield out()
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    return _texts(docs).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _pairs(words: _Ids, k: np.ndarray) -> list[pa.Array]:
+    """The previous token and the token of each key k = previous * len(words) + token."""
+    names = pa.array(list(words), pa.binary()).cast(pa.string())
+    return [names.take(pa.array(k // len(words))), names.take(pa.array(k % len(words)))]
 
-def _ranks(head: list[str]) -> dict[bytes, int]:
-    return {w.encode("utf-8"): i for i, w in enumerate(head)}
 
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(c, w, n) over all texts: how often token w follows token c. Each text ends with END, and END stands before it."""
 
-def _ids(text: str, rank: dict[bytes, int], unknown: int) -> tuple[list[bytes], np.ndarray]:
-    words = folded_words(text)
-    words.append(END.encode())
-    return words, np.fromiter([rank.get(w, unknown) for w in words], np.int64, len(words))
-
+    def run(batches):
+        ids, held, size = _Ids(), [], 0
 
-def pair_counts(docs: DataFrame, sent, contexts: int, dishes: int) -> np.ndarray:
-    """(contexts + 1) x (dishes + 1) counts of (previous token, token); before a text stands END. Summed by Spark; at
-    most that many rows come to the driver."""
-    wide, size = dishes + 1, (contexts + 1) * (dishes + 1)
+        def out():
+            k, n = np.unique(np.concatenate([x[:-1] * len(ids) + x[1:] for x in held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([*_pairs(ids, k), pa.array(n, pa.int64())], names=["c", "w", "n"])
 
-    def run(batches):
-        head = sent.value[0]
-        rank = _ranks(head)
-        total, end = np.zeros(size, np.int64), rank.get(END.encode(), len(head))
         for batch in batches:
-            keys, held = [], 0
             for t in batch.column(0).to_pylist():
-                _, ids = _ids(t, rank, len(head))
-                before = np.concatenate([[end], ids[:-1]])
-                keys.append(np.minimum(before, contexts) * wide + np.minimum(ids, dishes))
-                held += len(ids)
-                if held > 2_000_000:
-                    total += np.bincount(np.concatenate(keys), minlength=size)
-                    keys, held = [], 0
-            if keys:
-                total += np.bincount(np.concatenate(keys), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["k", "n"])
-
-    rows = _texts(docs).mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, np.int64)
-    out[rows["k"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(contexts + 1, wide)
+                words = [END.encode(), *folded_words(t), END.encode()]
+                held.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+                size += len(words)
+                if size >= FLUSH:
+                    yield out()
+                    ids, held, size = _Ids(), [], 0
+        if held:
+            yield out()
+
+    return _texts(docs).mapInArrow(run, "c string, w string, n bigint").groupBy("c", "w").agg(F.sum("n").alias("n"))
 
 
 def discount(ones: float, twos: float) -> float:
@@ -131,6 +109,9 @@ class Model:
     log_pair: np.ndarray  # log10 P(dish | context)
     tail_counts: np.ndarray  # counts that rare tokens have, ascending, from 0
     tail_log: np.ndarray  # log10 P(token | rare) by its count
+    hot_weight: np.ndarray  # the parent's weight in each frequent context
+    seats: DataFrame  # c, w, n_w, gain, weight, tail of every pair: its probability is gain + weight * P(dish | class) * tail
+    weights: DataFrame  # c, weight of every other context
 
 
 def sample_tail(values: np.ndarray, types: np.ndarray, rng, sweeps: int = 8, burn: int = 3, strength: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -172,11 +153,48 @@ def sample_pairs(counts: np.ndarray, base: np.ndarray, rng, sweeps: int = 7, bur
     return out / (sweeps - burn)
 
 
-def fit(train: DataFrame, seed: int = 7, contexts: int = CONTEXTS, dishes: int = DISHES, head_size: int = HEAD) -> tuple[Model, DataFrame]:
+def _rooms(pairs: DataFrame, counts: DataFrame, words: list[str], freq: np.ndarray, contexts: int, dishes: int) -> DataFrame:
+    """A row per context with all that was seen after it: k (its class), n_c, and lists of w, n, j (the dish) and n_w.
+    A frequent context has one row per ROOM of its customers. Frequent words get their numbers by a broadcast of `dishes` rows,
+    rarer ones meet their counts in a join, so that no frequent word is a join's key."""
+    spark = pairs.sparkSession
+    top = spark.createDataFrame([(w, i, int(n)) for i, (w, n) in enumerate(zip(words[:dishes], freq))], "w string, j int, n_w bigint")
+    hot = spark.createDataFrame([(w, i, int(n)) for i, (w, n) in enumerate(zip(words[:contexts], freq))], "c string, k int, n_hot bigint")
+    common = pairs.join(F.broadcast(top), "w")
+    rare = pairs.join(F.broadcast(top), "w", "left_anti").join(counts.select(F.col("word").alias("w"), F.col("n").alias("n_w")), "w").select("w", "c", "n", F.lit(dishes).alias("j"), "n_w")
+    both = common.unionByName(rare).join(F.broadcast(hot), "c", "left").withColumn("k", F.coalesce("k", F.lit(contexts)))
+    room = F.when(F.col("n_hot").isNotNull(), F.pmod(F.xxhash64("w"), 1 + F.floor(F.col("n_hot") / ROOM))).otherwise(F.lit(0)).alias("room")
+    return both.groupBy("c", "k", room).agg(F.max("n_hot").alias("n_hot"), F.collect_list(F.struct("w", "n", "j", "n_w")).alias("l")).select("c", "k", "n_hot", *[F.col(f"l.{x}").alias(x) for x in ("w", "n", "j", "n_w")])
+
+
+def _seated(batch: pa.RecordBatch, p: np.ndarray, hot: np.ndarray, d: float, tail: tuple[np.ndarray, np.ndarray], rng, sweeps: int, burn: int, strength: float):
+    """Seats the customers of rows of _rooms. p: P(dish | class), hot: tables of the frequent contexts. Gives for each
+    pair the row of its context, its tables after the last sweep, their mean, and P(token | rare) (1 for a dish of its own)."""
+    flat = lambda x: batch.column(x).flatten().to_numpy(zero_copy_only=False)
+    n, j, n_w, k = flat("n"), flat("j"), flat("n_w"), batch.column("k").to_numpy()
+    row = np.repeat(np.arange(len(k)), np.diff(batch.column("n").offsets.to_numpy()))
+    cold, dishes = k == len(hot), p.shape[1] - 1
+    spell = np.ones(len(n))
+    spell[j == dishes] = 10 ** tail[1][np.searchsorted(tail[0], n_w[j == dishes])]
+    parent = p[k[row], j] * spell
+    t, mean = (n > 0).astype(np.int64), np.zeros(len(n))
+    more = np.flatnonzero(n > 1)  # a single customer has one table
+    fixed = np.concatenate([hot, [0.0]])[k]
+    for sweep in range(sweeps):
+        tables = np.where(cold, np.bincount(row, t, len(k)), fixed)
+        t[more] = seat(n[more], (strength + d * tables[row[more]]) * parent[more], d, rng)
+        if sweep >= burn:
+            mean += t
+    return row, t, mean / (sweeps - burn), spell
+
+
+def fit(train: DataFrame, seed: int = 7, contexts: int = CONTEXTS, dishes: int = DISHES, head_size: int = HEAD, passes: int = 3, sweeps: int = 7, burn: int = 3, strength: float = 10.0) -> tuple[Model, DataFrame]:
     """The model and the table of all token counts. train: rows with a text; a null text is an empty one. Without any
-    row every token is unknown. Ties in frequency are settled by the token."""
+    row every token is unknown. Ties in frequency are settled by the token. Each pass seats the customers of all
+    contexts, given the classes' probabilities, and draws these again from the tables."""
     spark = train.sparkSession
-    counts = materialise(token_counts(train), "token_counts")
+    pairs = materialise(pair_counts(train), "pair_counts")
+    counts = materialise(pairs.groupBy(F.col("w").alias("word")).agg(F.sum("n").alias("n")), "token_counts")
     n_train, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # How many tokens have each count: a number of rows that grows with the square root of the corpus at most. It gives
     # the least count that at most head_size tokens reach, so that the head is a filter and needs no global sort.
@@ -191,17 +209,71 @@ def fit(train: DataFrame, seed: int = 7, contexts: int = CONTEXTS, dishes: int =
     words, freq = [w for _, w in head], np.array([-n for n, _ in head], np.int64)
     dishes = min(dishes, len(words))
     contexts = min(contexts, dishes)
-    sent = spark.sparkContext.broadcast((words,))
-    pairs = pair_counts(train, sent, contexts, dishes)
-    sent.unpersist()
     for n in freq[:dishes].tolist():
         spread[n] -= 1
     values = np.array(sorted(n for n, m in spread.items() if m > 0), np.int64)
     rng = np.random.default_rng(seed)
-    tail_counts, tail_log = sample_tail(values, np.array([spread[int(n)] for n in values], np.int64), rng)
+    tail = sample_tail(values, np.array([spread[int(n)] for n in values], np.int64), rng)
     base = np.full(dishes + 1, 1 / (n_types + 1))
     base[dishes] = (n_types + 1 - dishes) / (n_types + 1)
-    return Model(words, freq, int(n_train), int(n_types), contexts, dishes, np.log10(sample_pairs(pairs, base, rng)).astype(np.float32), tail_counts, tail_log), counts
+
+    d = discount(*pairs.agg(*[F.coalesce(F.sum((F.col("n") == x).cast("bigint")), F.lit(0)) for x in (1, 2)]).first())
+    rooms = materialise(_rooms(pairs, counts, words, freq, contexts, dishes), "rooms")
+    wide, size = dishes + 1, (contexts + 1) * (dishes + 1)
+
+    def by_class(rows: DataFrame) -> np.ndarray:
+        """Tables by class and dish; rows: key, t. At most `size` rows come to the driver."""
+        found = rows.groupBy("key").agg(F.sum("t").alias("t")).toPandas()
+        out = np.zeros(size, np.int64)
+        out[found["key"].to_numpy()] = found["t"].to_numpy()
+        return out.reshape(contexts + 1, wide)
+
+    def seating(sent, number):
+        def run(batches):
+            p, hot = sent.value
+            draw = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
+            total = np.zeros(size, np.int64)
+            for batch in batches:
+                row, t, _, _ = _seated(batch, p, hot, d, tail, draw, sweeps, burn, strength)
+                key = batch.column("k").to_numpy()[row].astype(np.int64) * wide + batch.column("j").flatten().to_numpy()
+                total += np.bincount(key, t, size).astype(np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["key", "t"])
+
+        return run
+
+    def final(sent):
+        def run(batches):
+            p, hot = sent.value
+            draw = np.random.default_rng([seed, passes, TaskContext.get().partitionId()])
+            for batch in batches:
+                row, _, mean, spell = _seated(batch, p, hot, d, tail, draw, sweeps, burn, strength)
+                n, k = batch.column("n").flatten().to_numpy(), batch.column("k").to_numpy()
+                cold = k == contexts
+                whole = np.where(cold, np.bincount(row, n, len(k)), batch.column("n_hot").fill_null(0).to_numpy())
+                weight = np.where(cold, (strength + d * np.bincount(row, mean, len(k))) / (strength + whole), 1.0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("c").take(pa.array(row)), batch.column("w").flatten(), batch.column("n_w").flatten(), pa.array((n - d * mean) / (strength + whole[row])), pa.array(weight[row]), pa.array(spell), pa.array(k[row]), pa.array(mean)],
+                    names=["c", "w", "n_w", "gain", "weight", "tail", "k", "t"],
+                )
+
+        return run
+
+    # At first each pair has one table.
+    tables = by_class(rooms.select("k", F.explode("j").alias("j")).select((F.col("k") * wide + F.col("j")).alias("key"), F.lit(1).alias("t")))
+    for number in range(passes):
+        p = sample_pairs(tables, base, rng)
+        sent = spark.sparkContext.broadcast((p, tables[:contexts].sum(1).astype(float)))
+        if number < passes - 1:
+            tables = by_class(rooms.mapInArrow(seating(sent, number), "key int, t bigint"))
+            sent.unpersist()
+    seats = materialise(rooms.mapInArrow(final(sent), "c string, w string, n_w bigint, gain double, weight double, tail double, k int, t double"), "seats")
+    sent.unpersist()
+    weights = materialise(seats.where(F.col("k") == contexts).groupBy("c").agg(F.first("weight").alias("weight")), "weights")
+    hot = np.zeros(contexts)
+    for k, t in seats.where(F.col("k") < contexts).groupBy("k").agg(F.sum("t")).collect():
+        hot[k] = t
+    return Model(words, freq, int(n_train), int(n_types), contexts, dishes, np.log10(p).astype(np.float32), *tail, (strength + d * hot) / (strength + freq[:contexts]), seats.drop("k", "t"), weights), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -212,53 +284,64 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     m = model
-    sent = spark.sparkContext.broadcast((m.head, m.head_counts, m.log_pair, m.tail_counts, m.tail_log))
-    floor = float(m.n_train + m.n_types + 1)
     contexts, dishes = m.contexts, m.dishes
+    sent = spark.sparkContext.broadcast((m.head[:dishes], m.head_counts[:dishes], 10.0 ** m.log_pair.astype(np.float64) * np.concatenate([m.hot_weight, [1.0]])[:, None]))
+    floor = float(m.n_train + m.n_types + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        head, freq, log_pair, tail_counts, tail_log = sent.value
-        unknown = len(head)
-        rank = _ranks(head)
-        end = rank.get(END.encode(), unknown)
-        # By rank: log10 of the unigram, and what a token adds once its context has said which dish it is.
-        uni = np.concatenate([np.log10((freq + 1) / floor), [0.0]])
-        rest = np.zeros(unknown + 1)
-        rest[dishes:unknown] = tail_log[np.searchsorted(tail_counts, freq[dishes:])]
+        head, freq, p = sent.value
+        start = _Ids((w.encode("utf-8"), i) for i, w in enumerate(head))
+        freq = np.concatenate([freq, [0]])
         for batch in batches:
-            ids, docs_, texts = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-            row, key, n, known, base, mine, at = [], [], [], [], [], [], []
-            for i, (r, t) in enumerate(zip(ids, texts)):
-                words, x = _ids(t, rank, unknown)
-                before = np.concatenate([[end], x[:-1]])
-                far = np.flatnonzero(x == unknown)
-                row.append(r), at.append(i), key.append(f" {r}".encode()), n.append(len(words)), known.append(len(words) - len(far))
-                base.append(float(uni[x].sum()))
-                mine.append(float(log_pair[np.minimum(before, contexts), np.minimum(x, dishes)].sum(dtype=np.float64) + rest[x].sum()))
-                for w, k in Counter([words[j] for j in far]).items():
-                    row.append(r), at.append(None), key.append(w), n.append(k), known.append(0), base.append(0.0), mine.append(0.0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), docs_.take(pa.array(at, pa.int32())), pa.array(key, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(mine)],
-                names=["_row", "doc_id", "word", "k", "known", "base", "mine"],
-            )
-
-    # A text's own row has a key that no word has (it holds a space), spread over all tasks.
-    parts = with_row_id(_texts(docs, "doc_id")).select("_row", "doc_id", "_text").mapInArrow(run, f"_row bigint, doc_id {kind}, word string, k bigint, known bigint, base double, mine double")
+            rows, docs_, texts = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_pylist()
+            at = 0
+            while at < len(texts):
+                first, ids, size, held = at, _Ids(start), 0, []
+                while at < len(texts) and size < FLUSH // 8:
+                    words = [END.encode(), *folded_words(texts[at]), END.encode()]
+                    held.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+                    size, at = size + len(words), at + 1
+                found = [np.unique(x[:-1] * len(ids) + x[1:], return_counts=True) for x in held]
+                k, n, of = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), np.repeat(np.arange(first, at), [len(x) for x, _ in found])
+                c, j = np.minimum(k // len(ids), contexts), np.minimum(k % len(ids), dishes)
+                own, none = at - first, pa.nulls(at - first, pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rows[first:at], rows[of]])), pa.concat_arrays([docs_.slice(first, own), pa.nulls(len(k), docs_.type)]),
+                        *[pa.concat_arrays([none, x]) for x in _pairs(ids, k)],
+                        pa.array(np.concatenate([[len(x) - 1 for x in held], n]).astype(np.int64)), pa.array(np.concatenate([np.zeros(own), p[c, j]])),
+                        pa.array(np.concatenate([np.zeros(own, bool), c < contexts])), pa.array(np.concatenate([np.zeros(own, np.int64), freq[j]]).astype(np.int64)),
+                    ],
+                    names=["_row", "doc_id", "c", "w", "times", "p", "hot", "n_top"],
+                )
+
+    # Of each text one row without a pair, and one row per pair. n_top: the count of a dish of its own, else 0.
+    parts = with_row_id(_texts(docs, "doc_id")).select("_row", "doc_id", "_text").mapInArrow(run, f"_row bigint, doc_id {kind}, c string, w string, times bigint, p double, hot boolean, n_top bigint")
+    # A text's own row has a key that no pair has (it holds a space), spread over all tasks.
+    spread = parts.withColumn("own", F.col("w").isNull()).withColumn("w", F.coalesce("w", F.concat(F.lit(" "), F.col("_row").cast("string")))).withColumn("c", F.coalesce("c", F.lit("")))
+    joined = spread.join(m.seats, ["c", "w"], "left")
+    unigram = lambda n: F.log10((n + 1) / F.lit(floor))
+    seen = F.col("gain").isNotNull()
+    sums = lambda known, base, mine: (F.sum(known).alias("known"), F.sum(base).alias("base"), F.sum(mine).alias("mine"))
+    # Pairs that no training text has are gathered by text, to meet their context's and their token's rows on their own.
+    once = joined.groupBy("_row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum(F.when(F.col("own"), F.col("times"))).alias("n_tokens"),
+        *sums(F.when(seen, F.col("times")), F.when(seen, F.col("times") * unigram(F.col("n_w"))), F.when(seen, F.col("times") * F.log10(F.col("gain") + F.col("weight") * F.col("p") * F.col("tail")))),
+        F.collect_list(F.when(~seen & ~F.col("own"), F.struct("c", "w", "times", "p", "hot", "n_top"))).alias("new"),
+    )
+    once = materialise(once, "scored")
     # As many rows as counts that rare tokens have.
-    tail = spark.createDataFrame([(int(c), float(p)) for c, p in zip(m.tail_counts, m.tail_log)], "c bigint, lp double")
-    far = F.col("word").startswith(" ")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    joined = parts.join(counts, "word", "left").withColumn("c", F.when(~far, c))
+    tail = spark.createDataFrame([(int(c), float(10.0**p)) for c, p in zip(m.tail_counts, m.tail_log)], "n_tail bigint, tail double")
+    new = once.select("_row", F.explode("new").alias("e")).select("_row", "e.*")
+    # Frequent words' figures are known; their rows get keys of their own, which spreads them.
+    apart = lambda x, skip: F.when(skip, F.concat_ws(" ", "c", F.lit(""), "w")).otherwise(F.col(x))
+    new = new.withColumn("_c", apart("c", F.col("hot"))).withColumn("_w", apart("w", F.col("n_top") > 0))
+    new = new.join(m.weights.withColumnRenamed("c", "_c"), "_c", "left").join(counts.select(F.col("word").alias("_w"), F.col("n").alias("n_rare")), "_w", "left")
+    new = new.withColumn("n_w", F.when(F.col("n_top") > 0, F.col("n_top")).otherwise(F.coalesce("n_rare", F.lit(0)))).withColumn("n_tail", F.when(F.col("n_top") == 0, F.col("n_w"))).join(F.broadcast(tail), "n_tail", "left")
+    lone = new.groupBy("_row").agg(*sums(F.when(F.col("n_w") > 0, F.col("times")), F.col("times") * unigram(F.col("n_w")), F.col("times") * F.log10(F.coalesce("weight", F.lit(1.0)) * F.col("p") * F.coalesce("tail", F.lit(1.0)))))
+    zero = lambda x: F.coalesce(f"once.{x}", F.lit(0)) + F.coalesce(f"lone.{x}", F.lit(0))
     return (
-        joined.join(F.broadcast(tail), "c", "left")
-        .groupBy("_row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.sum(F.when(far, F.col("k"))).alias("n_tokens"),
-            F.sum(F.when(far, F.col("known")).when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_known"),
-            F.sum(F.when(far, F.col("base")).otherwise(F.col("k") * F.log10((F.col("c") + 1) / F.lit(floor)))).alias("base_score"),
-            F.sum(F.when(far, F.col("mine")).otherwise(F.col("k") * F.col("lp"))).alias("score"),
-        )
-        .select("doc_id", "n_tokens", "n_known", F.lit(m.n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
-    )
+        once.drop("new").alias("once").join(lone.alias("lone"), "_row", "left")
+        .select("doc_id", "n_tokens", zero("known").alias("n_known"), F.lit(m.n_train).cast("bigint").alias("train_tokens"), zero("base").alias("base_score"), zero("mine").alias("score"))
+    )

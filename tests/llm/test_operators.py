@@ -265,3 +265,29 @@ def test_queries_have_the_agreed_columns(spark):
             assert f(spark, sf).columns == want[name.split("_")[0]]
     held = entries.op2_toxicity(spark, sf).where(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0))
     assert held.isEmpty()
+
+
+def test_language_model_keeps_every_context(spark):
+    """Contexts and followers far beyond `contexts` and `dishes` have probabilities of their own."""
+    text = " ".join(f"c{k} f{k} c{k} g{k}" for k in range(200))
+    model, counts = language_model.fit(make(spark, [(k, text) for k in range(5)]), contexts=4, dishes=8, head_size=20)
+    pairs = {(r["c"], r["w"]) for r in model.seats.collect()}
+    words_ = ["", *text.split(), ""]
+    assert pairs == set(zip(words_, words_[1:]))
+    got = {r["doc_id"]: r for r in language_model.score(make(spark, [(1, "c150 f150"), (2, "c150 f151"), (3, "f150 c150"), (4, "zz c150"), (5, None)]), model, counts).collect()}
+    assert got[1]["score"] > got[2]["score"] + 1 and math.isclose(got[1]["base_score"], got[2]["base_score"])
+    assert [got[k]["n_known"] for k in (1, 2, 3, 4, 5)] == [3, 3, 3, 2, 1]
+    # Proper: the probabilities of all known tokens and one unknown after a context sum to one, and are those of score.
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    seats, weights = {(r["c"], r["w"]): r["gain"] for r in model.seats.collect()}, {r["c"]: r["weight"] for r in model.weights.collect()}
+    rank, tail = {w: i for i, w in enumerate(model.head)}, dict(zip(model.tail_counts.tolist(), model.tail_log.tolist()))
+
+    def p(c, w):
+        k, j = min(rank.get(c, 99), model.contexts), min(rank.get(w, 99), model.dishes)
+        weight = model.hot_weight[k] if k < model.contexts else weights.get(c, 1.0)
+        return seats.get((c, w), 0.0) + weight * 10 ** float(model.log_pair[k, j]) * (10 ** tail[n.get(w, 0)] if j == model.dishes else 1.0)
+
+    assert all(math.isclose(sum(p(c, w) for w in [*n, "unheard"]), 1, abs_tol=1e-4) for c in ["", "c150", "f7", "zz", *model.head[1:6]])
+    for k, t in ((1, "c150 f150"), (2, "c150 f151"), (3, "f150 c150"), (4, "zz c150"), (5, "")):
+        w = ["", *t.split(), ""]
+        assert math.isclose(got[k]["score"], sum(math.log10(p(*x)) for x in zip(w, w[1:])), abs_tol=1e-4)
