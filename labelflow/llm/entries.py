@@ -38,7 +38,7 @@ def op3_quality_classifier(spark, sf_dir):
 def op4_ngram_jaccard_join(spark, sf_dir):
     from labelflow.llm.jaccard_join import similar_sets
 
-    return similar_sets(read_table(spark, sf_dir, "documents"), width=4, threshold=(85, 100))
+    return similar_sets(read_table(spark, sf_dir, "documents"), width=4, threshold=(85, 100)).drop("_group")
 
 
 def op5_best_fit_packing(spark, sf_dir):

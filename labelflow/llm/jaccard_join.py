@@ -2,18 +2,25 @@
 
 1. Equal sets are one class; classes are joined by one member, copies are never expanded.
 2. Sets are ordered by (how often a shingle was seen again, hash): any order gives the same result, this one puts shared
-   passages last. Sets that reach the threshold share a shingle within their first elements, at positions that their
-   sizes bound. Index lists hold (set, size, position) of those elements; lists of one set are dropped.
-3. Each set is compared with the best leader of its lists, the set at the least position. The leader's answer is kept
-   as a difference (what the set adds to the leader and what it lacks).
-4. Linked sets are components by now. Lists are laid out in blocks by component, size and position, and a pair of blocks
-   is skipped whole if one component fills both, if their sizes are too far apart, or if their positions leave too
-   little overlap. Only pairs across components come out of the rest.
-5. Two sets of one leader are answered from their differences alone: |x & y| = |l| - |l-x| - |l-y| + |(l-x) & (l-y)| +
-   |(x-l) & (y-l)|. Other pairs are compared in full.
-
-A dense group of near copies thus costs a comparison per member, not per pair. Sets are rebuilt from the texts of the
-sets that share a list, as a text is smaller than its shingles.
+   passages last. Sets that reach the threshold share shingles among their first elements, and their sizes bound where.
+   Index lists hold (set, size, position) of those elements; lists of one set are dropped.
+3. In each list and band of sizes the set at the least position leads. A set is compared in full with the leader that
+   shares most of its lists; the answer is kept as a difference: what the set adds to the leader and what it lacks. Sets that
+   link with no leader do so once more among themselves. Linked sets are components by now.
+4. Lists are laid out in blocks of BLOCK entries by leader, component, size and position, and a pair of blocks is skipped
+   whole if one leader or one component fills both, if their sizes are too far apart, or if their positions leave too
+   little overlap. Out of the rest come the pairs across components that share as many shingles there as a link takes.
+5. The answers of one leader's sets are derived from the leader's. As |x & y| = |l| - |l-x| - |l-y| + |(l-x) & (l-y)| +
+   |(x-l) & (y-l)|, two sets that are not linked through the leader link only if their differences have so much in
+   common; candidates come from an index of the differences, in blocks again, and are answered by the formula. Sets of
+   different leaders are compared in full.
+
+All lists go this way, whatever their length. A dense group of near copies thus costs a comparison per member, not per
+pair. Lists of shingles known to be frequent are dealt over several parts, and the followers of a leader too. Sets are
+rebuilt from the texts where they are compared, as a text is smaller than its shingles.
+
+Shingles are 64-bit hashes of their words, as in the size of the sets: two different shingles of one pair of texts would
+have to collide to change its answer.
 """
 
 from __future__ import annotations
@@ -26,13 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import folded_words, materialise, with_row_id
+from labelflow.llm.common import dealt, discard, folded_words, hot_keys, materialise, repeated, spread_join, with_row_id
 from labelflow.llm.components import connected
 
 #: Shingles that a task counts at a time, and how many repeated ones shape the order at most (it is only an order).
 CHUNK, ORDER_HINTS = 4_000_000, 400_000
-#: Entries of a block of an index list.
-BLOCK = 32
+#: Entries of a block of an index list, and of a part of a frequent shingle's list (about).
+BLOCK, PART = 32, 4096
+#: Size of the bitmap that finds the texts of sets again.
+FILTER_BITS = 23
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -51,11 +60,6 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def least_overlap(size_a, size_b, num: int, den: int):
-    """The least intersection of two sets with den * |a & b| >= num * |a | b|."""
-    return -(-(num * (size_a + size_b)) // (num + den))
-
-
 def order_hints(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles seen three times or more in different sets of a task's share, with their summed counts, at most
     ORDER_HINTS of the most frequent."""
@@ -83,13 +87,13 @@ def order_hints(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
-def signatures(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(_row, _id, size, key, prefix): the set's size, a 128-bit digest of it, and its first elements in the order."""
-    sent = texts.sparkSession.sparkContext.broadcast(order_hints(texts, width))
+def signatures(texts: DataFrame, hints, width: int, num: int, den: int) -> DataFrame:
+    """(_row, _id, size, key, prefix): the set's size, a 128-bit digest of it, and its first elements in the order.
+    hints: broadcast order_hints."""
     kind = texts.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        token, count = sent.value
+        token, count = hints.value
         for batch in batches:
             size, key, prefix = [], [], []
             for t in batch.column(2).to_pylist():
@@ -106,31 +110,54 @@ def signatures(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return texts.select("_row", "_id", "_text").mapInArrow(run, f"_row bigint, _id {kind}, size int, key binary, prefix binary")
 
 
-def _entries(sets: DataFrame) -> DataFrame:
-    """(token, x, n, i): element `token` of set x, of size n, at position i."""
+def _entries(sets: DataFrame, hints) -> DataFrame:
+    """(token, parts, x, n, i): element `token` of set x, of size n, at position i; parts: over how many parts the
+    token's list is dealt."""
 
     def run(batches):
+        token, count = hints.value
         for batch in batches:
             tokens = [np.frombuffer(p, np.int64) for p in batch.column(2).to_pylist()]
             many = np.array([len(t) for t in tokens], np.int64)
+            flat = np.concatenate([*tokens, np.zeros(0, np.int64)])
+            parts = np.ones(len(flat), np.int32)
+            if len(token):
+                at = np.minimum(np.searchsorted(token, flat), len(token) - 1)
+                parts += np.where(token[at] == flat, count[at] // PART, 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(np.repeat(batch.column(1).to_numpy(), many)), pa.array(np.concatenate([*map(np.arange, many), np.zeros(0, np.int64)]).astype(np.int32))],
-                names=["token", "x", "n", "i"],
+                [pa.array(flat), pa.array(parts), pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(np.repeat(batch.column(1).to_numpy(), many)), pa.array(np.concatenate([*map(np.arange, many), np.zeros(0, np.int64)]).astype(np.int32))],
+                names=["token", "parts", "x", "n", "i"],
             )
 
-    return sets.select("x", "n", "prefix").mapInArrow(run, "token bigint, x bigint, n int, i int")
+    return sets.select("x", "n", "prefix").mapInArrow(run, "token bigint, parts int, x bigint, n int, i int")
+
+
+def _ceil_share(n: Column, num: int, den: int) -> Column:
+    """The least overlap that a set of size n or more needs with any other."""
+    return F.floor((n.cast("bigint") * num + (den - 1)) / den)  # exact: sizes are far below 2^53
 
 
-def _can_link(num: int, den: int, n="n", i="i", n2="n2", i2="i2") -> Column:
-    """The size and position bounds of two entries (n, i) and (n2, i2) of a list."""
-    n, m, i, j = ((F.col(c) if isinstance(c, str) else c).cast("bigint") for c in (n, n2, i, i2))
-    need = F.ceil((n + m) * num / (num + den))  # exact: a whole quotient is a whole double
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (i <= n - need) & (j <= m - need)
+def _can_share(num: int, den: int, n: Column, i: Column, m: Column, j: Column) -> Column:
+    """The size and position bounds of two entries (n, i) and (m, j) of a list: either set has enough elements from here
+    on to reach the larger one's least overlap."""
+    need = _ceil_share(F.greatest(n, m), num, den)
+    return (F.least(n, m).cast("bigint") * den >= F.greatest(n, m).cast("bigint") * num) & (n - i >= need) & (m - j >= need)
+
+
+def _least_shared(num: int, den: int, n: Column, m: Column) -> Column:
+    """How many lists within _can_share a pair of sizes n and m within the threshold has at least."""
+    need = F.floor(((n.cast("bigint") + m) * num + (num + den - 1)) / (num + den))
+    return need - _ceil_share(F.greatest(n, m), num, den) + 1
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, differences: bool) -> DataFrame:
-    """pairs (x, y) with link, and with differences also n2, lacks and adds of x against y, from the whole sets."""
-    both = pairs.join(sets.select(F.col("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("x").alias("y"), F.col("set").alias("sy")), "y").select("x", "y", "sx", "sy")
+    """pairs (x, y), a written table, with link, and with differences also n2, lacks and adds of x against y, from the
+    whole sets. Many pairs of one set are dealt over several tasks."""
+    left = spread_join(pairs.select("x", "y"), sets.select("x", F.col("set").alias("sx")), ["x"], ["y"])
+    hot = hot_keys(pairs, ["y"])
+    left = dealt(left, hot, ["y"], ["x"])
+    right = repeated(sets.select(F.col("x").alias("y"), F.col("set").alias("sy")).join(pairs.select("y").distinct(), "y", "left_semi"), hot, ["y"])
+    both = left.join(right, ["y", "_part"]).select("x", "y", "sx", "sy")
     extra = ", n2 int, lacks array<bigint>, adds array<bigint>" * differences
 
     def run(batches):
@@ -148,95 +175,188 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, differences
     return both.mapInArrow(run, f"x bigint, y bigint, link boolean{extra}")
 
 
-def _across(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y), x < y, of entries (token, x, n, i, c) of one list and of different components c within the
-    bounds: lists in blocks, pairs of blocks skipped whole where no pair in them can count."""
-    mixed = entries.join(entries.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"), "token")
-    laid = mixed.withColumn("k", F.expr(f"(row_number() over (partition by token order by c, n, i, x) - 1) div {BLOCK}"))
-    laid = materialise(laid, "lists")
-    blocks = laid.groupBy("token", "k").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("i").alias("i_lo"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    other = blocks.select("token", *[F.col(c).alias(f"{c}2") for c in blocks.columns if c != "token"])
-    need = f"({num} * (cast(n_lo as bigint) + n_lo2) + {num + den - 1}) div {num + den}"
-    kept = blocks.join(other, "token").where(
-        f"k <= k2 and not (c_lo = c_hi2 and c_hi = c_lo2) and n_hi * {den} >= n_lo2 * {num} and n_hi2 * {den} >= n_lo * {num} and i_lo <= n_hi - {need} and i_lo2 <= n_hi2 - {need}"
-    )
-    second = laid.select("token", F.col("k").alias("k2"), F.col("x").alias("y"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("c").alias("c2"))
-    pairs = kept.select("token", "k", "k2").join(laid, ["token", "k"]).join(second, ["token", "k2"])
-    return pairs.where(_can_link(num, den) & F.expr("c <> c2 and (k < k2 or x < y)")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(x, set) of the rows x in wanted. A bitmap of 2^FILTER_BITS hashed row ids, the same size whatever the corpus,
+    lets tasks skip nearly all other texts, so that no text is shuffled; a join takes out the rest."""
+    place = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+
+    def mark(batches):
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[place(batch.column(0).to_numpy())] = True
+        words = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], names=["at", "word"])
+
+    words = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    marked = wanted.mapInArrow(mark, "at int, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    words[marked["at"].to_numpy()] = marked["word"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+
+    def rebuild(batches):
+        bits = np.unpackbits(sent.value.view(np.uint8)).view(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[place(batch.column(0).to_numpy())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["x", "set"])
+
+    return texts.select("_row", "_text").mapInArrow(rebuild, "x bigint, set binary").join(wanted, "x", "left_semi")
+
+
+def leaders(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y): the leader y of set x, that of most of x's lists (ties: the least) among those that lead at least a quarter as
+    many as a link takes. In a list the set at the least position leads each band of sizes: rare elements come first,
+    so it has the fewest of its own and is the most central one. Any choice gives the same result."""
+    lists = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))))
+    heads = lists.groupBy("token", "part", "band").agg(F.min(F.struct("i", "x", "n")).alias("h"))
+    # A list dealt over parts has one leader all the same; a row per part finds it.
+    heads = heads.withColumn("h", F.min("h").over(Window.partitionBy("token", "band")))
+    led = lists.join(heads, ["token", "part", "band"])
+    led = led.where("x <> h.x").where(_can_share(num, den, F.col("n"), F.col("i"), F.col("h.n"), F.col("h.i")))
+    led = led.groupBy("x", F.col("h.x").alias("y"), "n", F.col("h.n").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
+    led = led.where(4 * F.col("shared") >= _least_shared(num, den, F.col("n"), F.col("m")))
+    return led.groupBy("x").agg(F.max(F.struct("shared", (-F.col("y")).alias("minus"))).alias("best")).select("x", (-F.col("best.minus")).alias("y"))
+
+
+def _met(lists: DataFrame, order: list[str], fields: list[str], stats: list[Column]) -> DataFrame:
+    """Lists (token, parts, part, c, ...) that hold more than one component c, in blocks: all pairs of blocks of one
+    list, with the stats and entries (l) of either, those of the second under names that end in 2."""
+    w = Window.partitionBy("token", "part")
+    mixed = lists.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("parts > 1 or lo < hi")
+    laid = mixed.withColumn("k", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / BLOCK))
+    blocks = laid.groupBy("token", "part", "k").agg(F.first("parts").alias("parts"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), *stats, F.collect_list(F.struct(*fields)).alias("l"))
+    # A frequent token's blocks meet in as many joins as its list has parts.
+    left = blocks.withColumn("s", F.col("part"))
+    right = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "s", *[F.col(f).alias(f"{f}2") for f in blocks.columns if f not in ("token", "parts")])
+    return left.join(right, ["token", "s"]).where("part < part2 or part = part2 and k <= k2")
+
+
+def _apart(lo: str, hi: str) -> Column:
+    """Not one and the same value in both blocks."""
+    return ~((F.col(lo) == F.col(f"{hi}2")) & (F.col(hi) == F.col(f"{lo}2")))
+
+
+def _entry_pairs(met: DataFrame, fits) -> DataFrame:
+    """(e, o): pairs of entries of different components that `fits` holds for, each once."""
+    rows = met.select((F.col("part") == F.col("part2")).alias("own"), (F.col("k") == F.col("k2")).alias("same"), F.explode("l").alias("e"), "l2")
+    other = lambda o: (o["c"] != F.col("e.c")) & (~(F.col("own") & F.col("same")) | (o["x"] > F.col("e.x"))) & fits(F.col("e"), o)
+    return rows.select("e", F.explode(F.filter("l2", other)).alias("o"))
+
+
+def index_pairs(lists: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Pairs (x, y) of different components and leaders (c and s of the lists) that share enough lists to link; also the
+    pairs of blocks and which of them are not skipped."""
+    met = _met(lists, ["s", "c", "n", "i", "x"], ["x", "n", "i", "c", "s"], [F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("i")).alias("rest"), F.min("s").alias("s_lo"), F.max("s").alias("s_hi")])
+    need = _ceil_share(F.greatest("n_lo", "n_lo2"), num, den)
+    kept = _apart("c_lo", "c_hi") & _apart("s_lo", "s_hi") & (F.col("rest") >= need) & (F.col("rest2") >= need)
+    kept &= F.expr(f"cast(n_hi as bigint) * {den} >= cast(n_lo2 as bigint) * {num} and cast(n_hi2 as bigint) * {den} >= cast(n_lo as bigint) * {num}")
+    pairs = _entry_pairs(met.where(kept), lambda e, o: (e["s"] != o["s"]) & _can_share(num, den, e["n"], e["i"], o["n"], o["i"]))
+    pairs = pairs.select(F.least("e.x", "o.x").alias("x"), F.greatest("e.x", "o.x").alias("y"), F.least("e.n", "o.n").alias("n"), F.greatest("e.n", "o.n").alias("m"))
+    pairs = pairs.groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= _least_shared(num, den, F.col("n"), F.col("m")))
+    return pairs.select("x", "y"), met, kept
+
+
+def difference_pairs(star: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of one leader's sets (star: x, l, n2, lacks, adds, c, parts) in different components whose differences
+    may have enough in common. What they need is least for the leader itself, so that each set's own comparison bounds
+    how much of its difference the index must hold."""
+    need = lambda n, m: F.floor(((n.cast("bigint") + m) * num + (num + den - 1)) / (num + den))
+    rows = star.withColumn("a", F.size("lacks")).withColumn("d", F.size("lacks") + F.size("adds")).withColumn("n", F.col("n2") - F.size("lacks") + F.size("adds"))
+    # What x adds comes first: other sets rarely have that. Added and lacking elements never meet in one leader's lists.
+    rows = rows.select("x", "l", "c", "n", "a", "d", "n2", "parts", F.posexplode(F.concat(F.array_sort("adds"), F.array_sort("lacks"))).alias("i", "e"))
+    rows = rows.where(F.col("i") <= F.col("d") - F.greatest(F.lit(1), need(F.col("n"), F.col("n2")) - F.col("n2") + F.col("a")))
+    lists = rows.withColumn("token", F.xxhash64("l", "e")).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    stats = [F.min("n").alias("n_lo"), F.min("a").alias("a_lo"), F.max(F.col("d") - F.col("i")).alias("rest"), F.max("n2").alias("of")]
+    met = _met(lists, ["c", "d", "i", "x"], ["x", "c", "n", "a", "d", "i", "n2"], stats)
+    least = need(F.col("n_lo"), F.col("n_lo2")) - F.greatest("of", "of2") + F.col("a_lo") + F.col("a_lo2")
+    kept = _apart("c_lo", "c_hi") & (F.col("rest") >= least) & (F.col("rest2") >= least)
+
+    def fits(e, o):
+        common = need(e["n"], o["n"]) - e["n2"] + e["a"] + o["a"]
+        return (e["d"] - e["i"] >= common) & (o["d"] - o["i"] >= common)
+
+    return _entry_pairs(met.where(kept), fits).select(F.least("e.x", "o.x").alias("x"), F.greatest("e.x", "o.x").alias("y")).distinct()
+
+
+def _links(pairs: DataFrame, star: DataFrame, texts: DataFrame, width: int, num: int, den: int, seen: dict | None) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) among pairs (x, y): by the formula for sets of one leader, in full for others. Beside them the tables
+    that they read."""
+    right = star.select(F.col("x").alias("y"), F.col("l").alias("l2"), F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"))
+    tried = materialise(pairs.join(star, "x", "left").join(right, "y", "left"), "tried")
+    common = F.col("n2") - F.size("lacks") - F.size("lacks2") + F.size(F.array_intersect("lacks", "lacks2")) + F.size(F.array_intersect("adds", "adds2"))
+    sizes = 2 * F.col("n2") - F.size("lacks") - F.size("lacks2") + F.size("adds") + F.size("adds2")
+    derived = tried.where("l = l2").where(common * den >= (sizes - common) * num).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    full = materialise(tried.where("not (l <=> l2) or l is null").select("x", "y"), "full")
+    sets = materialise(_sets(texts, full.select("x").unionByName(full.select(F.col("y").alias("x"))).distinct(), width), "sets")
+    rest = _compared(full, sets, num, den, differences=False).where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if seen is not None:
+        for name, df in (("derived", tried.where("l = l2")), ("derived_links", derived), ("compared", full)):
+            seen[name] = seen.get(name, 0) + df.count()
+    return derived.unionByName(rest), [tried, full, sets]
 
 
-def similar_sets(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_shingles and component_id of every row: the least doc_id among the rows reachable by links, itself
-    included. Two rows link when den * |a & b| >= num * |a | b| of their shingle sets, threshold being (num, den).
+def similar_sets(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), keep: tuple[str, ...] = ("doc_id",), seen: dict[str, int] | None = None) -> DataFrame:
+    """keep, n_shingles, component_id and _group of every row: the least doc_id among the rows reachable by links, itself
+    included, and a number of those rows as a group. Two rows link when den * |a & b| >= num * |a | b| of their shingle
+    sets, threshold being (num, den). seen, if given, receives how many pairs were answered in which way.
 
     Rows without words have no shingle and link with nothing. Equal sets link, repeated rows among them. Null doc_ids
-    count for nothing in a component's least doc_id; a component without any other has null. Empty tables give no
-    rows; columns other than keep, doc_id and text are not read.
+    count for nothing in a component's least doc_id; a component without any other has null. Texts are taken whole,
+    however long. Empty tables give no rows; columns other than keep, doc_id and text are not read, and may have any
+    name.
     """
     num, den = threshold
-    texts = with_row_id(docs.select(*keep, F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text")))
-    sig = materialise(signatures(texts, width, num, den), "signatures")
+    kept = [F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)]
+    texts = with_row_id(docs.select(*kept, F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text")))
+    hints = texts.sparkSession.sparkContext.broadcast(order_hints(texts, width))
+    sig = materialise(signatures(texts, hints, width, num, den), "signatures")
     some = sig.where("size > 0")
     classes = materialise(some.groupBy("key", "size").agg(F.min("_row").alias("x"), F.min("_id").alias("_least")), "classes")
     heads = some.join(classes.select("key", "size", "x"), ["key", "size"]).where("_row = x").select("x", F.col("size").alias("n"), "prefix")
-    shared = materialise(_entries(heads).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1"), "shared")
-    # Short lists give their pairs (BLOCK partners an entry at most). Two sets within the threshold share more than one
-    # of their first elements: with |a & b| >= need, at least need - n + p of the first p of n. Long lists, of which a
-    # pair may share as many as either has, count in its favour.
-    short = shared.where(F.col("m") <= BLOCK).groupBy("token").agg(F.collect_list(F.struct("x", "n", "i")).alias("l")).select("l", F.explode("l").alias("e"))
-    sizes = lambda n, m: F.least(n, m).cast("bigint") * den >= F.greatest(n, m).cast("bigint") * num
-    partner = lambda o: (o["x"] > F.col("e.x")) & sizes(F.col("e.n"), o["n"])
-    pairs = short.select("e", F.explode(F.filter("l", partner)).alias("o")).groupBy(F.col("e.x").alias("x"), F.col("o.x").alias("y"), F.col("e.n").alias("n"), F.col("o.n").alias("n2")).agg(F.count(F.lit(1)).alias("shared"))
-    long = materialise(shared.where(F.col("m") > BLOCK).drop("m"), "long")
-    many = long.groupBy("x").agg(F.count(F.lit(1)).alias("long"))
-    pairs = pairs.join(many, "x", "left").join(many.select(F.col("x").alias("y"), F.col("long").alias("long2")), "y", "left")
-    first = lambda n: F.col(n) - F.ceil(F.col(n).cast("bigint") * num / den) + 1
-    need = F.ceil((F.col("n").cast("bigint") + F.col("n2")) * num / (num + den))
-    least = need + F.least(first("n") - F.col("n"), first("n2") - F.col("n2"))
-    pairs = materialise(pairs.where(F.col("shared") + F.least(F.coalesce("long", F.lit(0)), F.coalesce("long2", F.lit(0))) >= least).select("x", "y", "shared"), "pairs")
-
-    # The best leader of each set: the partner of most lists, or in long lists the set at the least position.
-    ahead = long.groupBy("token").agg(F.min(F.struct("i", "n", "x")).alias("l")).select("token", F.col("l.x").alias("y"), F.col("l.n").alias("n2"), F.col("l.i").alias("i2"))
-    led = long.join(ahead, "token").where("x <> y").where(_can_link(num, den)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
-    led = led.unionByName(pairs).unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "shared"))
-    led = led.groupBy("x").agg(F.max(F.struct("shared", (-F.col("y")).alias("minus"))).alias("best")).select("x", (-F.col("best.minus")).alias("y"))
-    led = materialise(led, "leaders")
-
-    needed = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(long.select("x")).distinct()
-    rebuilt = texts.select("_row", "_text").join(needed.withColumnRenamed("x", "_row"), "_row")
+    entries = _entries(heads, hints).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    lists = entries.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token", "part"))).where("m > 1 or parts > 1").drop("m")
+    lists = materialise(lists, "lists")
 
-    def rebuild(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["x", "set"])
-
-    sets = materialise(rebuilt.select("_row", "_text").mapInArrow(rebuild, "x bigint, set binary"), "sets")
+    led = materialise(leaders(lists, num, den), "leaders")
+    sets = materialise(_sets(texts, led.select("x").unionByName(led.select(F.col("y").alias("x"))).distinct(), width), "sets")
     answers = materialise(_compared(led, sets, num, den, differences=True), "answers")
-    links = answers.where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = connected(links)
-
-    placed = long.join(found.withColumnRenamed("node", "x"), "x", "left").select("token", "x", "n", "i", F.coalesce("component", "x").alias("c"))
-    at = lambda v, c: found.select(F.col("node").alias(v), F.col("component").alias(c))
-    apart = pairs.join(at("x", "c"), "x", "left").join(at("y", "c2"), "y", "left").where(F.coalesce("c", "x") != F.coalesce("c2", "y")).select("x", "y")
-    open_pairs = _across(placed, num, den).unionByName(apart).distinct().join(led.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    # A leader is its own star, without a difference.
+    found = connected(answers.where("link").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # A leader is in its own star, without a difference.
     star = answers.select("x", F.col("y").alias("l"), "n2", "lacks", "adds")
     own = answers.select(F.col("y").alias("x"), F.col("y").alias("l"), "n2").distinct().select("x", "l", "n2", F.array().cast("array<bigint>").alias("lacks"), F.array().cast("array<bigint>").alias("adds"))
-    star = star.unionByName(own.join(star.select("x"), "x", "left_anti"))
-    right = star.select(F.col("x").alias("y"), F.col("l").alias("l2"), F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"))
-    tried = materialise(open_pairs.join(star, "x", "left").join(right, "y", "left"), "open")
-    common = F.col("n2") - F.size("lacks") - F.size("lacks2") + F.size(F.array_intersect("lacks", "lacks2")) + F.size(F.array_intersect("adds", "adds2"))
-    sizes = 2 * F.col("n2") - F.size("lacks") - F.size("lacks2") + F.size("adds") + F.size("adds2")
-    derived = tried.where("l = l2").where(common * den >= (sizes - common) * num).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    rest = _compared(tried.where("not (l <=> l2) or l is null").select("x", "y"), sets, num, den, differences=False).where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    star = materialise(star.unionByName(own.join(star.select("x"), "x", "left_anti")), "star")
+
+    # Sets without a link choose leaders among themselves.
+    ordered = lambda df: df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    again = materialise(ordered(leaders(lists.join(found.select(F.col("node").alias("x")), "x", "left_anti"), num, den)).distinct().join(ordered(led), ["x", "y"], "left_anti"), "again")
+    links, tables = _links(again, star, texts, width, num, den, seen)
+    joined = lambda f, more: connected(f.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    first, found = found, joined(found, links)
+    discard(sets, first, *tables)
+
+    # What is left: pairs across components.
+    placed = star.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    open_ = placed.groupBy("l").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("l", (1 + F.floor(F.col("n") / PART)).cast("int").alias("parts"))
+    placed = materialise(placed, "placed")
+    inside = difference_pairs(spread_join(placed, open_, ["l"], ["x"]), num, den)
+    at = lists.join(found.withColumnRenamed("node", "x"), "x", "left").join(star.select("x", F.col("l").alias("s")), "x", "left")
+    across, met, needed = index_pairs(at.select("token", "parts", "part", "x", "n", "i", F.coalesce("component", "x").alias("c"), F.coalesce("s", -1 - F.col("x")).alias("s")), num, den)
+    if seen is not None:
+        seen["led"], seen["block_pairs"], seen["skipped_block_pairs"] = led.count(), met.count(), met.where(~needed).count()
+    pairs = across.unionByName(inside).join(ordered(led).unionByName(again), ["x", "y"], "left_anti")
+    links, tables = _links(pairs, star, texts, width, num, den, seen)
     # Components so far are stars, so new links need only join those.
-    merged = connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(derived).unionByName(rest))
+    merged = joined(found, links)
+    discard(lists, led, answers, star, again, placed, found, *tables)
 
     named = classes.join(merged.withColumnRenamed("node", "x"), "x", "left").select("key", "size", F.coalesce("component", "x").alias("c"), "_least")
     named = materialise(named, "named")
+    discard(classes, merged)
     least = named.groupBy("c").agg(F.min("_least").alias("component_id"))
-    by_set = named.join(least, "c").select("key", "size", "component_id")
-    out = sig.select("_row", "_id", "size", "key").join(by_set, ["key", "size"], "left")
-    out = out.select("_row", F.col("size").cast("bigint").alias("n_shingles"), F.when(F.col("size") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_set = materialise(named.select("key", "size", "c").join(least, "c"), "by_set")
+    discard(named)
+    # Rows meet their set by its key; a set's copies are dealt over several tasks.
+    out = spread_join(sig.select("_row", "_id", "size", "key"), by_set, ["key", "size"], ["_row"], "left")
+    out = out.select("_row", "_id", F.col("size").cast("bigint").alias("n_shingles"), F.when(F.col("size") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("c", "_row").alias("_group"))
     if keep == ("doc_id",):
-        return sig.select("_row", F.col("_id").alias("doc_id")).join(out, "_row").drop("_row")
-    return texts.select("_row", *keep).join(out, "_row").drop("_row")
+        return out.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "_group")
+    return texts.select("_row", *[f"_keep{i}" for i in range(len(keep))]).join(out, "_row").select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], "n_shingles", "component_id", "_group")
