@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import WORD, labelled_sample, remainder_column
+from labelflow.llm.common import WORD, labelled_sample, remainder_column, scored
 
 BITS = 18
 #: At most so many labelled documents are fitted on.
@@ -103,7 +103,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (4, 2), sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weights (2^BITS) and bias from at most `sample` labelled documents; their sparse vectors come to the driver."""
+    """Weights (2^BITS) and bias from at most `sample` labelled documents; their sparse vectors come to the driver. Null
+    doc_ids and labels teach nothing, a null text is an empty one, repeated rows count each; an empty table or one without
+    labels gives zero weights and bias 0."""
 
     def run(batches):
         for batch in batches:
@@ -116,18 +118,18 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, score and predicted. A null text scores as an empty one: the bias alone. Rows are scored one by one;
-    columns other than keep and text are not read. The weights are broadcast: 2^BITS numbers, whatever the corpus."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        w, b = sent.value
-        for batch in batches:
-            s = np.array([w[at] @ x for at, x in (features(t or "") for t in batch.column(len(keep)).to_pylist())], np.float64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(s + b, -35, 35))))], names=[*keep, "score"])
-
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["score double"])).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """keep, score and predicted. A text is scored whole, however long; a null text scores as an empty one: the bias
+    alone. Rows are scored one by one, repeated ones too, and a score of just the threshold is predicted 1; an empty table
+    gives no rows. Columns other than keep and text are not read, and may have any name. The weights are broadcast:
+    2^BITS numbers, whatever the corpus."""
+    at = keep.index("text") if "text" in keep else len(keep)
+
+    def scores(model, texts):
+        w, b = model
+        s = np.array([w[at] @ x for at, x in (features(t or "") for t in texts)], np.float64)
+        return 1 / (1 + np.exp(-np.clip(s + b, -35, 35)))
+
+    return scored(docs, model, scores, at, threshold, keep)
 
 
 def with_held_out(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
