@@ -115,6 +115,46 @@ def test_jaccard_join_links_across_components(spark):
     assert jaccard_join.similar_sets(make(spark, []), 4, (85, 100)).count() == 0
 
 
+def test_jaccard_join_skips_blocks(spark):
+    base = words(21, 200)
+    rows = [(0, " ".join(base))] + [(100 + k, " ".join([*base[:150], *words(500 + k, 10 + k % 3 * 10), *base[150:]])) for k in range(60)]
+    seen = {}
+    got = jaccard_join.similar_sets(make(spark, rows), 4, (85, 100), seen=seen).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 4, 85, 100)
+    assert seen["skipped_block_pairs"] > 0 and seen["led"] > 0
+
+
+def test_jaccard_answers_derived_from_a_leader(spark):
+    """The index of differences finds every link of two sets across components, and the formula answers as the sets do."""
+    rng = np.random.default_rng(4)
+    leader, rows, sets = list(range(100)), [], {0: frozenset(range(100))}
+    for x in range(1, 120):
+        lacks = [int(k) for k in rng.choice(24, rng.integers(4, 18), replace=False)]
+        adds = [int(k) for k in rng.choice(np.arange(200, 222), rng.integers(2, 16), replace=False)]
+        sets[x] = frozenset(leader) - set(lacks) | set(adds)
+        rows.append((x, 0, 100, lacks, adds))
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    rows = [(*r, 0 if linked(r[0], 0) else r[0], 1 + r[0] % 2) for r in [(0, 0, 100, [], []), *rows]]
+    star = spark.createDataFrame([(*r[:6], 2) for r in rows], "x bigint, l bigint, n2 int, lacks array<bigint>, adds array<bigint>, c bigint, parts int")
+    found = jaccard_join.difference_pairs(star, 85, 100)
+    c = {r[0]: r[5] for r in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and c[a] != c[b] and linked(a, b)}
+    texts = spark.createDataFrame([], "_row bigint, _text string")
+    seen = {}
+    links, _ = jaccard_join._links(found, star.drop("c", "parts"), texts, 4, 85, 100, seen)
+    assert len(want) > 20 and {(r["a"], r["b"]) for r in links.collect()} == want
+    assert seen["derived_links"] == len(want) and seen["compared"] == 0 and seen["derived"] < len(sets) ** 2 / 2
+
+
+def test_spread_join_deals_hot_keys(spark):
+    from labelflow.llm.common import spread_join
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 1, id) as k")
+    facts = spark.range(3000).selectExpr("id as k", "id * 10 as v")
+    got = spread_join(rows, facts, ["k"], ["id"]).collect()
+    assert sorted((r["id"], r["k"], r["v"]) for r in got) == sorted((i, 1 if i % 3 == 0 else i, 10 if i % 3 == 0 else 10 * i) for i in range(3000))
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(k, k + 1) for k in range(100, 130)]
@@ -252,6 +292,33 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed.collect()} == ids
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_any_table(spark, stage, tmp_path):
+    """Nulls, empty and long texts, ties, repeats, empty tables, and extra columns that clash with the operators'."""
+    import corpus_pipeline as C
+
+    name, run = C.STAGES[stage]
+    long = " ".join(words(9, 20_000))
+    rows = [(1, None), (2, ""), (None, "a b"), (3, long), (3, long), (4, long), (None, None), (5, " ".join(words(4, 30))), (6, " ".join(words(4, 30)))]
+    schema = "n_words string, doc_id bigint, kept string, score string, _pos string, TEXT2 string, text string, _row int, _text string, predicted string, _in0 string, n int, k string"
+    docs = spark.createDataFrame([("a", i, "mine", "s", "p", "t", t, 7, "u", "v", "w", 1, "z") for i, t in rows], schema)
+    spark.createDataFrame([(3, 1, 0), (5, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = run(spark, docs, str(tmp_path))
+    got = out.collect()
+    if stage == 4:
+        assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(i for i, _ in rows)
+    else:
+        assert out.columns == docs.columns and all((r["kept"], r["n_words"], r["score"], r["_pos"], r["_row"], r["_text"], r["_in0"]) == ("mine", "a", "s", "p", 7, "u", "w") for r in got)
+        left = Counter((r["doc_id"], r["text"]) for r in got)
+        want = {
+            "quality_rules": [r for r in rows if r[1] and len(r[1]) > 9], "toxicity": rows,
+            "exact_dedup": [(2, ""), (None, "a b"), (4, long), (6, rows[8][1])], "ngram_jaccard": [(1, None), (2, ""), (None, "a b"), (3, long), (None, None), (5, rows[7][1])],
+        }[name]
+        assert left == Counter(want)
+    none = run(spark, docs.where("false"), str(tmp_path))
+    assert none.count() == 0 and (stage == 4 or none.columns == docs.columns)
+
+
 def test_queries_have_the_agreed_columns(spark):
     from labelflow.llm import entries
 
