@@ -21,6 +21,11 @@ MOBILE_SIGNATURES = ["Sent from my iPhone", "Sent from my iPad", "Sent from my G
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
+def bind(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f names it: Catalyst would else copy c into each place."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -31,8 +36,7 @@ def rstrip(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """splitlines(): no trailing empty line, none for an empty text."""
-    parts = F.split(c, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bind(F.split(c, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def words(c: Column) -> Column:
@@ -112,8 +116,11 @@ def strip_html_parsed(c: Column) -> Column:
 
 def _before(parts: Column, hit) -> Column:
     """Elements before the first that hit holds for; all if none does."""
-    at = F.array_position(F.transform(parts, hit), True)
-    return F.when(at > 0, F.slice(parts, F.lit(1), (at - 1).cast("int"))).otherwise(parts)
+
+    def cut(parts: Column) -> Column:
+        return bind(F.array_position(F.transform(parts, hit), True), lambda at: F.when(at > 0, F.slice(parts, F.lit(1), (at - 1).cast("int"))).otherwise(parts))
+
+    return bind(parts, cut)
 
 
 def remove_quoted_replies(c: Column) -> Column:
@@ -128,16 +135,20 @@ def remove_forwarded(c: Column) -> Column:
 
 def trim_signature(c: Column) -> Column:
     """Cut at the first line that is '--'; without one, at the first that a phone's signature opens."""
-    parts = lines(c)
-    dash = F.array_position(F.transform(parts, lambda x: rstrip(x) == "--"), True)
-    phone = F.array_position(F.transform(parts, lambda x: strip(x).rlike("^(?:" + "|".join(MOBILE_SIGNATURES) + ")")), True)
-    at = F.when(dash > 0, dash).otherwise(phone)
-    return F.when(at > 0, rstrip(F.array_join(F.slice(parts, F.lit(1), (at - 1).cast("int")), "\n"))).otherwise(c)
+    opens = "^(?:" + "|".join(MOBILE_SIGNATURES) + ")"
+
+    def cut(text: Column, parts: Column) -> Column:
+        dash = F.array_position(F.transform(parts, lambda x: rstrip(x) == "--"), True)
+        phone = F.array_position(F.transform(parts, lambda x: strip(x).rlike(opens)), True)
+        at = bind(dash, lambda d: F.when(d > 0, d).otherwise(phone))
+        return bind(at, lambda at: F.when(at > 0, rstrip(F.array_join(F.slice(parts, F.lit(1), (at - 1).cast("int")), "\n"))).otherwise(text))
+
+    return bind(c, lambda text: bind(lines(text), lambda parts: cut(text, parts)))
 
 
 def truncate_words(c: Column, most: int = MAX_WORDS) -> Column:
-    w = words(c)
-    return F.when(F.size(w) <= most, c).otherwise(F.array_join(F.slice(w, 1, most), " "))
+    cut = lambda text: bind(words(text), lambda w: F.when(F.size(w) <= most, text).otherwise(F.array_join(F.slice(w, 1, most), " ")))
+    return bind(c, cut)
 
 
 def normalise_body(html: Column, parsed: bool = False) -> Column:

@@ -20,10 +20,12 @@ def is_system_label(label_id: Column) -> Column:
 
 def explode_history(records: DataFrame) -> DataFrame:
     """Events of change-log records (id, messagesAdded, labelsAdded, labelsRemoved: arrays of struct(message_id,
-    label_ids)); within a record in this order."""
+    label_ids)); within a record in this order. seq has room for 100,000 items of a kind in a record and for ids up to
+    9.2e12; a record beyond that is an error, never a wrong order."""
     parts = [records.select("id", F.lit(k).alias("k"), F.posexplode(c), F.lit(c).alias("type")) for k, c in enumerate(("messagesAdded", "labelsAdded", "labelsRemoved"))]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select((F.col("id") * 1_000_000 + F.col("k") * 100_000 + F.col("pos")).alias("seq"), "type", "col.message_id", "col.label_ids")
+    seq = F.when((F.col("pos") < 100_000) & F.col("id").between(0, 9_200_000_000_000), F.col("id") * 1_000_000 + F.col("k") * 100_000 + F.col("pos"))
+    return out.select(F.coalesce(seq, F.raise_error(F.lit("a change-log record has more items or a larger id than seq can order")).cast("bigint")).alias("seq"), "type", "col.message_id", "col.label_ids")
 
 
 def new_inbox_ids(events: DataFrame, seen: DataFrame | None = None) -> DataFrame:

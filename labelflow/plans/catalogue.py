@@ -326,7 +326,18 @@ def truncate_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate_words(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@query()
+_BODY = f"""WITH h AS ({_HTML}), f AS (SELECT page_id, {_strip_sql("regexp_replace(text, '(?s)\\n*-{5,}\\s*Forwarded message\\s*-{5,}.*', '')", False)} AS t FROM h),
+    ql AS (SELECT page_id, {_lines_sql('t')} AS ls FROM f), qp AS (SELECT page_id, ls, coalesce(list_position(list_transform(ls, lambda x: regexp_matches(x, '^On .+wrote:$') OR starts_with(x, '>')), true), 0) AS i FROM ql),
+    q AS (SELECT page_id, regexp_replace(coalesce(array_to_string(CASE WHEN i > 0 THEN ls[:i - 1] ELSE ls END, chr(10)), ''), '(^|\\n){_WS}*\\z', '') AS t FROM qp),
+    sl AS (SELECT page_id, t, {_lines_sql('t')} AS ls FROM q),
+    sp AS (SELECT *, coalesce(list_position(list_transform(ls, lambda x: {_strip_sql('x', False)} = '--'), true), 0) AS a,
+      coalesce(list_position(list_transform(ls, lambda x: regexp_matches({_strip_sql('x')}, '^(?:{'|'.join(text.MOBILE_SIGNATURES)})')), true), 0) AS b FROM sl),
+    s AS (SELECT page_id, CASE WHEN a > 0 THEN {_strip_sql("coalesce(array_to_string(ls[:a - 1], chr(10)), '')", False)} WHEN b > 0 THEN {_strip_sql("coalesce(array_to_string(ls[:b - 1], chr(10)), '')", False)} ELSE t END AS t FROM sp),
+    w AS (SELECT page_id, t, list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> '') AS ws FROM s)
+    SELECT page_id, CASE WHEN len(ws) <= 400 THEN t ELSE array_to_string(ws[:400], ' ') END AS text FROM w"""
+
+
+@query(_BODY)
 def normalise_body(spark, sf_dir):
     """All steps over whole pages."""
     return table(spark, sf_dir, "pages").select("page_id", text.normalise_body(F.col("html")).alias("text"))
