@@ -62,8 +62,8 @@ def op7_language_model(spark, sf_dir):
     from labelflow.llm.common import remainder_column
 
     docs = read_table(spark, sf_dir, "documents")
-    model, counts = language_model.fit(docs.where(remainder_column("doc_id", 7) != 2))
-    scored = language_model.score(docs, model, counts)
+    model, _ = language_model.fit(docs.where(remainder_column("doc_id", 7) != 2))
+    scored = language_model.score(docs, model)
     return quality_classifier.with_held_out(scored, 7, 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

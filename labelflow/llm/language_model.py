@@ -1,19 +1,21 @@
 """Operator 7: a hierarchical Pitman-Yor language model.
 
-Restaurants. Every word that a token follows is a context whose restaurant serves every token seen after it. The parent
-of a context's restaurant is that of its class (each of CONTEXTS frequent words is a class of its own, the others
-together are one more), which serves DISHES frequent words and one dish for all rarer ones; the classes share the root
-restaurant; the root's base is uniform over the V known tokens and one unknown. What the rarer dish stands for is drawn
-from a restaurant of its own that serves every other token of the corpus, however many there are.
-
-Seating. A Gibbs sweep empties a restaurant and seats its customers again one after the other (long queues in blocks
-that grow with the queue), each at an old table of its dish or at a new one, given the parent's current predictive
-probabilities; new tables become the parent's customers. Tables and the classes' probabilities are averaged over sweeps.
-
-Scale. Counts of all tokens and of all pairs are gathered by a shuffle and stay in tables. Pairs lie in one row per
-context, those of frequent contexts in several; each row seats its own customers. Texts meet the pairs in a join. Only
-statistics of bounded size reach the driver or a broadcast: at most HEAD of the most frequent tokens with their counts,
-tables by class and dish, and how many rare tokens have each count.
+Restaurants. Every token that another one follows is a context whose restaurant serves all tokens seen after it; the
+parent of all of them is the root restaurant, which serves every token of the corpus, rare and frequent alike; its base
+is uniform over the V known tokens and one unknown. A table of a context's restaurant is a customer of the root's.
+
+Seating. Seats start from a sequential Chinese-restaurant draw. A Gibbs step then takes one customer of each dish that
+has several off a table, drawn by the tables' sizes, and seats it again, at an old table with weight size - discount or
+at a new one with weight (strength + discount * tables) * (the parent's probability of the dish). Steps of different
+dishes run side by side; their restaurant's number of tables is brought up to date after each. Passes over the contexts
+alternate with passes over the root; discounts and strengths of both levels are drawn after each pass from their
+posterior by the usual auxiliary variables. Predictive probabilities are averaged over the steps of the last pass.
+
+Scale. Counts of tokens and pairs, the seats of every pair and the root's seats lie in tables that grow with the corpus;
+nothing is cut off. A pass joins the pairs with their tokens' root probabilities (a frequent token's pairs are dealt over
+many tasks), gathers them by context, and seats each context's customers in one row; a context with more than ROOM and
+more than 1/HOT of all customers has several rows, whose numbers of tables meet once a pass. Texts meet the seats in
+joins. The driver holds four parameters and the fewer than HOT frequent contexts.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import folded_words, materialise, with_row_id
+from labelflow.llm.common import HOT, discard, folded_words, materialise, spread_join, with_row_id
 
-CONTEXTS, DISHES, HEAD = 512, 2048, 200_000
 #: Tokens whose pairs a task counts before it hands them on, and customers of one row of a frequent context.
 FLUSH, ROOM = 4_000_000, 50_000
 #: The end of a text; words are never empty.
@@ -77,14 +78,9 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "c string, w string, n bigint").groupBy("c", "w").agg(F.sum("n").alias("n"))
 
 
-def discount(ones: float, twos: float) -> float:
-    """The usual estimate of a discount from how many dishes have one and two customers."""
-    return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos else 0.5
-
-
 def seat(customers: np.ndarray, mass: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers have been seated one after the other; mass: the weight of a new table
-    (strength + discount * tables, times the parent's probability of the dish)."""
+    """Tables of each dish after its customers sat down one after the other (long queues in blocks that grow with the
+    queue); mass: the weight of a new table. Seats start from this draw."""
     tables = (customers > 0).astype(np.int64)
     seated = tables.copy()
     at = np.flatnonzero(customers > seated)
@@ -98,226 +94,278 @@ def seat(customers: np.ndarray, mass: np.ndarray, d: float, rng: np.random.Gener
     return tables
 
 
+class Seats:
+    """Table sizes of dishes in restaurants, re-seated by Gibbs steps.
+
+    n: customers of each dish; house: its restaurant; p: the parent's probability of it; elsewhere: tables of each
+    restaurant that are not among these dishes. sizes: table sizes of all dishes one after the other and how many tables
+    each has, or None for a first draw."""
+
+    def __init__(self, n, house, p, elsewhere, d: float, strength: float, rng, sizes=None):
+        self.n, self.house, self.p, self.d, self.strength, self.rng = n, house, p, d, strength, rng
+        if sizes is None:
+            first = np.bincount(house, minlength=len(elsewhere)) + elsewhere
+            t = seat(n, (strength + d * first[house]) * p, d, rng)
+            share = rng.standard_gamma(1 - d, int(t.sum())) + 1e-12
+            owner = np.repeat(np.arange(len(n)), t)
+            flat = 1 + np.floor((n - t)[owner] * share / np.bincount(owner, share, len(n))[owner]).astype(np.int64)
+            flat[np.cumsum(t) - t] += n - np.bincount(owner, flat, len(n)).astype(np.int64)
+        else:
+            flat, t = sizes
+        self.single = np.flatnonzero(n == 1)
+        self.many = np.flatnonzero(n > 1)  # a single customer always has one table
+        self.t = t.astype(np.int64).copy()
+        self.tables = np.bincount(house, self.t, len(elsewhere)) + elsewhere
+        at = np.repeat(n > 1, t)
+        self._lay(flat[at], self.t[self.many])
+
+    def _lay(self, flat: np.ndarray, t: np.ndarray) -> None:
+        """Slots for the tables of dishes with several customers, some of them free."""
+        slots = np.minimum(self.n[self.many], t + 2 + t // 2)
+        self.first = np.concatenate([[0], np.cumsum(slots)])
+        self.owner = np.repeat(np.arange(len(slots)), slots)
+        self.size = np.zeros(self.first[-1], np.int64)
+        inner = np.arange(len(flat)) - np.repeat(np.cumsum(t) - t, t)
+        self.size[np.repeat(self.first[:-1], t) + inner] = flat
+
+    def step(self) -> None:
+        """Takes one customer of each dish that has several off its table and seats it again."""
+        if not len(self.many):
+            return
+        house, n, (lo, hi) = self.house[self.many], self.n[self.many], (self.first[:-1], self.first[1:])
+        total = np.cumsum(self.size)
+        left = np.searchsorted(total, total[lo] - self.size[lo] + np.floor(self.rng.random(len(n)) * n).astype(np.int64), side="right")
+        self.size[left] -= 1
+        gone = self.size[left] == 0
+        t = self.t[self.many] - gone
+        free = hi - lo - t
+        if (free == 0).any() and (full := (free == 0) & (t < n)).any():
+            # No slot for a new table: make room for all dishes and put their customers where they were.
+            self.size[left] += 1
+            used = self.size > 0
+            self._lay(self.size[used], self.t[self.many])
+            return self.step() if full.any() else None
+        tables = self.tables - np.bincount(house[gone], minlength=len(self.tables))
+        mass = (self.strength + self.d * tables[house]) * self.p[self.many] / np.maximum(free, 1)
+        total = np.cumsum(np.where(self.size > 0, self.size - self.d, mass[self.owner]))
+        start = np.concatenate([[0.0], total])[lo]
+        new = np.searchsorted(total, start + self.rng.random(len(n)) * (total[hi - 1] - start), side="right").clip(lo, hi - 1)
+        opened = self.size[new] == 0
+        self.size[new] += 1
+        self.tables = tables + np.bincount(house[opened], minlength=len(self.tables))
+        self.t[self.many] = t + opened
+
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of all tables, dish by dish, and how many each dish has."""
+        out = np.ones(int(self.t.sum()), np.int64)
+        out[np.repeat(self.n > 1, self.t)] = self.size[self.size > 0]
+        return out, self.t
+
+    def evidence(self, whole: np.ndarray) -> np.ndarray:
+        """What the draw of discount and strength needs of the dishes' tables, (sum of 1 - z), and of restaurants that
+        are whole here: (sums of 1 - y, of y, and of log x)."""
+        flat, _ = self.sizes()
+        d, s = self.d, self.strength
+        more = len(flat) - np.cumsum(np.bincount(flat))[:-1]  # tables with more than j customers, from j = 0
+        j = np.arange(1, len(more))
+        z = self.rng.binomial(more[1:].astype(np.int64), (1 - d) / (j - d)).sum() if len(j) else 0
+        t = self.tables[whole].astype(np.int64)
+        customers = np.bincount(self.house, self.n, len(self.tables))[whole]
+        return np.array([z, *_strength_evidence(customers, t, d, s, self.rng)], float)
+
+
+def _strength_evidence(customers: np.ndarray, tables: np.ndarray, d: float, strength: float, rng) -> tuple[float, float, float]:
+    tables = tables[customers > 1]
+    customers = customers[customers > 1]
+    if not len(tables):
+        return 0.0, 0.0, 0.0
+    more = len(tables) - np.cumsum(np.bincount(tables))[:-1]
+    i = np.arange(1, len(more))
+    y = rng.binomial(more[1:].astype(np.int64), strength / (strength + d * i)).sum() if len(i) else 0
+    return float(more[1:].sum() - y), float(y), float(np.log(rng.beta(strength + 1, customers - 1)).sum())
+
+
+def draw_parameters(evidence: np.ndarray, rng) -> tuple[float, float]:
+    """Discount and strength from their posterior: beta(1, 1) and gamma(1, 1) before the evidence of Seats."""
+    z, not_y, y, log_x = evidence
+    d = float(np.clip(rng.beta(1 + not_y, 1 + z), 0.02, 0.98))
+    return d, float(np.clip(rng.gamma(1 + y, 1 / (1 - log_x)), 1e-3, 1e6))
+
+
 @dataclass
 class Model:
-    head: list[str]
-    head_counts: np.ndarray
     n_train: int
     n_types: int
-    contexts: int
-    dishes: int
-    log_pair: np.ndarray  # log10 P(dish | context)
-    tail_counts: np.ndarray  # counts that rare tokens have, ascending, from 0
-    tail_log: np.ndarray  # log10 P(token | rare) by its count
-    hot_weight: np.ndarray  # the parent's weight in each frequent context
-    seats: DataFrame  # c, w, n_w, gain, weight, tail of every pair: its probability is gain + weight * P(dish | class) * tail
-    weights: DataFrame  # c, weight of every other context
-
-
-def sample_tail(values: np.ndarray, types: np.ndarray, rng, sweeps: int = 8, burn: int = 3, strength: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of a rare token by its count, from `types` tokens of each count; tokens of one count are
-    exchangeable, so up to 64 of them are seated and stand for all. The base is uniform over them and one unknown."""
-    n_types, total = int(types.sum()), int((values * types).sum())
-    d = discount(float(types[values == 1].sum()), float(types[values == 2].sum()))
-    copies = np.minimum(types, 64)
-    customers, tables, out = np.repeat(values, copies), float(n_types), []
-    owner = np.repeat(np.arange(len(values)), copies)
-    for sweep in range(sweeps):
-        mean = np.bincount(owner, seat(customers, np.full(len(customers), (strength + d * tables) / (n_types + 1)), d, rng), len(values)) / np.maximum(copies, 1)
-        tables = float((mean * types).sum())
-        if sweep >= burn:
-            new = (strength + d * tables) / (strength + total) / (n_types + 1)
-            out.append(np.concatenate([[new], (values - d * mean) / (strength + total) + new]))
-    return np.concatenate([[0], values]), np.log10(np.mean(out, 0))
-
-
-def sample_pairs(counts: np.ndarray, base: np.ndarray, rng, sweeps: int = 7, burn: int = 3, strength: float = 10.0) -> np.ndarray:
-    """Averaged predictive probabilities of every dish in every context."""
-    row, col = np.nonzero(counts)
-    customers = counts[row, col]
-    d = discount(float((customers == 1).sum()), float((customers == 2).sum()))
-    size = counts.sum(1)
-    root, tables, out = base.copy(), np.bincount(row, minlength=len(counts)).astype(float), np.zeros(counts.shape)
-    for sweep in range(sweeps):
-        t = seat(customers, (strength + d * tables[row]) * root[col], d, rng)
-        tables = np.bincount(row, t, len(counts))
-        guests = np.bincount(col, t, counts.shape[1]).astype(np.int64)
-        d0 = 0.5
-        opened = seat(guests, (strength + d0 * (guests > 0).sum()) * base, d0, rng)
-        root = np.maximum(guests - d0 * opened, 0) / (strength + guests.sum()) + (strength + d0 * opened.sum()) / (strength + guests.sum()) * base
-        root /= root.sum()
-        if sweep >= burn:
-            p = ((strength + d * tables) / (strength + size))[:, None] * root[None, :]
-            p[row, col] += (customers - d * t) / (strength + size[row])
-            out += p / p.sum(1, keepdims=True)
-    return out / (sweeps - burn)
-
-
-def _rooms(pairs: DataFrame, counts: DataFrame, words: list[str], freq: np.ndarray, contexts: int, dishes: int) -> DataFrame:
-    """A row per context with all that was seen after it: k (its class), n_c, and lists of w, n, j (the dish) and n_w.
-    A frequent context has one row per ROOM of its customers. Frequent words get their numbers by a broadcast of `dishes` rows,
-    rarer ones meet their counts in a join, so that no frequent word is a join's key."""
-    spark = pairs.sparkSession
-    top = spark.createDataFrame([(w, i, int(n)) for i, (w, n) in enumerate(zip(words[:dishes], freq))], "w string, j int, n_w bigint")
-    hot = spark.createDataFrame([(w, i, int(n)) for i, (w, n) in enumerate(zip(words[:contexts], freq))], "c string, k int, n_hot bigint")
-    common = pairs.join(F.broadcast(top), "w")
-    rare = pairs.join(F.broadcast(top), "w", "left_anti").join(counts.select(F.col("word").alias("w"), F.col("n").alias("n_w")), "w").select("w", "c", "n", F.lit(dishes).alias("j"), "n_w")
-    both = common.unionByName(rare).join(F.broadcast(hot), "c", "left").withColumn("k", F.coalesce("k", F.lit(contexts)))
-    room = F.when(F.col("n_hot").isNotNull(), F.pmod(F.xxhash64("w"), 1 + F.floor(F.col("n_hot") / ROOM))).otherwise(F.lit(0)).alias("room")
-    return both.groupBy("c", "k", room).agg(F.max("n_hot").alias("n_hot"), F.collect_list(F.struct("w", "n", "j", "n_w")).alias("l")).select("c", "k", "n_hot", *[F.col(f"l.{x}").alias(x) for x in ("w", "n", "j", "n_w")])
-
-
-def _seated(batch: pa.RecordBatch, p: np.ndarray, hot: np.ndarray, d: float, tail: tuple[np.ndarray, np.ndarray], rng, sweeps: int, burn: int, strength: float):
-    """Seats the customers of rows of _rooms. p: P(dish | class), hot: tables of the frequent contexts. Gives for each
-    pair the row of its context, its tables after the last sweep, their mean, and P(token | rare) (1 for a dish of its own)."""
+    unknown: float  # the root's probability of the unknown token, and its share of every other's
+    seats: DataFrame  # c, w, n_w, gain, weight, root: a pair's probability is gain + weight * root
+    weights: DataFrame  # c, weight: how much of a context's probability goes by the root
+    words: DataFrame  # w, n, root: the tokens' counts and root probabilities
+
+
+def _sat(batch: pa.RecordBatch, elsewhere: dict, d: float, strength: float, rng) -> tuple[Seats, np.ndarray, np.ndarray]:
+    """Seats of rows (c, room, lists of n, p, sizes); also the row of each dish and whether a row is a whole context."""
     flat = lambda x: batch.column(x).flatten().to_numpy(zero_copy_only=False)
-    n, j, n_w, k = flat("n"), flat("j"), flat("n_w"), batch.column("k").to_numpy()
-    row = np.repeat(np.arange(len(k)), np.diff(batch.column("n").offsets.to_numpy()))
-    cold, dishes = k == len(hot), p.shape[1] - 1
-    spell = np.ones(len(n))
-    spell[j == dishes] = 10 ** tail[1][np.searchsorted(tail[0], n_w[j == dishes])]
-    parent = p[k[row], j] * spell
-    t, mean = (n > 0).astype(np.int64), np.zeros(len(n))
-    more = np.flatnonzero(n > 1)  # a single customer has one table
-    fixed = np.concatenate([hot, [0.0]])[k]
-    for sweep in range(sweeps):
-        tables = np.where(cold, np.bincount(row, t, len(k)), fixed)
-        t[more] = seat(n[more], (strength + d * tables[row[more]]) * parent[more], d, rng)
-        if sweep >= burn:
-            mean += t
-    return row, t, mean / (sweeps - burn), spell
-
-
-def fit(train: DataFrame, seed: int = 7, contexts: int = CONTEXTS, dishes: int = DISHES, head_size: int = HEAD, passes: int = 3, sweeps: int = 7, burn: int = 3, strength: float = 10.0) -> tuple[Model, DataFrame]:
-    """The model and the table of all token counts. train: rows with a text; a null text is an empty one. Without any
-    row every token is unknown. Ties in frequency are settled by the token. Each pass seats the customers of all
-    contexts, given the classes' probabilities, and draws these again from the tables."""
+    row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("n").offsets.to_numpy()))
+    known = [elsewhere.get(c) for c in batch.column("c").to_pylist()]
+    whole = np.array([k is None for k in known], bool)
+    n, p, sizes = flat("n"), flat("p"), batch.column("sizes").flatten()
+    t = np.diff(sizes.offsets.to_numpy())
+    started = (sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), t) if t.sum() else None
+    mine = np.bincount(row, t if t.sum() else np.ones(len(n)), batch.num_rows)
+    others = np.array([0.0 if k is None else max(0.0, k[1] - m) for k, m in zip(known, mine)])
+    return Seats(n, row, p, others, d, strength, rng, started), row, whole
+
+
+def fit(train: DataFrame, seed: int = 7, passes: int = 3, steps: int = 24, room: int = ROOM) -> tuple[Model, DataFrame]:
+    """The model and the table (w, n, root) of all tokens. train: rows with a text; a null text is an empty one, repeated
+    rows count each, and texts count whole, however long. Without any row every token is unknown. Each pass makes `steps`
+    Gibbs steps in all contexts and in the root; the last pass averages over the second half of its steps."""
     spark = train.sparkSession
-    pairs = materialise(pair_counts(train), "pair_counts")
-    counts = materialise(pairs.groupBy(F.col("w").alias("word")).agg(F.sum("n").alias("n")), "token_counts")
-    n_train, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # How many tokens have each count: a number of rows that grows with the square root of the corpus at most. It gives
-    # the least count that at most head_size tokens reach, so that the head is a filter and needs no global sort.
-    spread = {int(n): int(m) for n, m in counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
-    floor, held = 1 << 62, 0
-    for n in sorted(spread, reverse=True):
-        held += spread[n]
-        if held > head_size:
-            break
-        floor = n
-    head = sorted(((-n, w) for w, n in counts.where(F.col("n") >= floor).select("word", "n").toPandas().itertuples(index=False)))
-    words, freq = [w for _, w in head], np.array([-n for n, _ in head], np.int64)
-    dishes = min(dishes, len(words))
-    contexts = min(contexts, dishes)
-    for n in freq[:dishes].tolist():
-        spread[n] -= 1
-    values = np.array(sorted(n for n, m in spread.items() if m > 0), np.int64)
     rng = np.random.default_rng(seed)
-    tail = sample_tail(values, np.array([spread[int(n)] for n in values], np.int64), rng)
-    base = np.full(dishes + 1, 1 / (n_types + 1))
-    base[dishes] = (n_types + 1 - dishes) / (n_types + 1)
-
-    d = discount(*pairs.agg(*[F.coalesce(F.sum((F.col("n") == x).cast("bigint")), F.lit(0)) for x in (1, 2)]).first())
-    rooms = materialise(_rooms(pairs, counts, words, freq, contexts, dishes), "rooms")
-    wide, size = dishes + 1, (contexts + 1) * (dishes + 1)
-
-    def by_class(rows: DataFrame) -> np.ndarray:
-        """Tables by class and dish; rows: key, t. At most `size` rows come to the driver."""
-        found = rows.groupBy("key").agg(F.sum("t").alias("t")).toPandas()
-        out = np.zeros(size, np.int64)
-        out[found["key"].to_numpy()] = found["t"].to_numpy()
-        return out.reshape(contexts + 1, wide)
-
-    def seating(sent, number):
+    pairs = materialise(pair_counts(train), "pair_counts")
+    words = materialise(pairs.groupBy("w").agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("t")), "token_counts")
+    n_train, n_types, guests = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
+    base = 1 / (n_types + 1)
+    # Contexts of several rows: fewer than HOT. Their customers are those of the token of that name.
+    room = max(room, n_train // HOT)
+    hot = {w: [int(n), 0.0] for w, n in words.where(F.col("n") > room).select("w", "n").collect()}
+    hot_rows = spark.createDataFrame([(c, n) for c, (n, _) in hot.items()], "c string, n_hot bigint")
+    d, strength, d0, strength0 = 0.7, 5.0, 0.6, 20.0
+    state = pairs.withColumn("sizes", F.array().cast("array<int>"))
+    root_tables = 0.0
+
+    def root_pass(words, first: bool, last: bool):
+        """Seats the root's customers; (w, n, t, sizes, mean) and its number of tables."""
+        args = d0, strength0, root_tables
+
         def run(batches):
-            p, hot = sent.value
-            draw = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
-            total = np.zeros(size, np.int64)
+            d0, strength0, tables = args
+            draw = np.random.default_rng([seed, 1, TaskContext.get().partitionId()])
             for batch in batches:
-                row, t, _, _ = _seated(batch, p, hot, d, tail, draw, sweeps, burn, strength)
-                key = batch.column("k").to_numpy()[row].astype(np.int64) * wide + batch.column("j").flatten().to_numpy()
-                total += np.bincount(key, t, size).astype(np.int64)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["key", "t"])
+                guests = batch.column("t").to_numpy().round().astype(np.int64)
+                # Of the root's tables those of other rows stay as they were; a table a dish is the first guess.
+                other = np.array([max(0.0, (tables or float(n_types)) - len(guests))])
+                s = Seats(guests, np.zeros(len(guests), np.int64), np.full(len(guests), base), other, d0, strength0, draw)
+                mean = np.zeros(len(guests))
+                for k in range(steps):
+                    s.step()
+                    if 2 * k >= steps:
+                        mean += s.t
+                mean /= steps - (steps + 1) // 2
+                e = s.evidence(np.zeros(1, bool))
+                z = np.zeros(len(guests))
+                z[:1] = e[0]
+                yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("n"), pa.array(guests.astype(float)), pa.array(mean), pa.array(s.t), pa.array(z)], names=["w", "n", "t", "mean", "now", "z"])
+
+        return materialise(words.select("w", "n", "t").mapInArrow(run, "w string, n bigint, t double, mean double, now bigint, z double"), "root")
+
+    def seating(last: bool):
+        args = d, strength, dict(hot)
 
-        return run
-
-    def final(sent):
         def run(batches):
-            p, hot = sent.value
-            draw = np.random.default_rng([seed, passes, TaskContext.get().partitionId()])
+            d, strength, elsewhere = args
+            draw = np.random.default_rng([seed, 2, TaskContext.get().partitionId()])
             for batch in batches:
-                row, _, mean, spell = _seated(batch, p, hot, d, tail, draw, sweeps, burn, strength)
-                n, k = batch.column("n").flatten().to_numpy(), batch.column("k").to_numpy()
-                cold = k == contexts
-                whole = np.where(cold, np.bincount(row, n, len(k)), batch.column("n_hot").fill_null(0).to_numpy())
-                weight = np.where(cold, (strength + d * np.bincount(row, mean, len(k))) / (strength + whole), 1.0)
+                s, row, whole = _sat(batch, elsewhere, d, strength, draw)
+                mean, tables, kept = np.zeros(len(s.n)), np.zeros(batch.num_rows), 0
+                for k in range(steps):
+                    s.step()
+                    if last and 2 * k >= steps:
+                        mean, tables, kept = mean + s.t, tables + s.tables, kept + 1
+                flat, t = s.sizes()
+                e = np.zeros((4, len(s.n)))
+                e[:, :1] = s.evidence(whole)[:, None]
+                mean, tables = (mean / kept, tables / kept) if kept else (s.t.astype(float), s.tables)
+                customers = np.array([(elsewhere.get(c) or [n])[0] for c, n in zip(batch.column("c").to_pylist(), np.bincount(row, s.n, batch.num_rows))], float)
+                sizes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(t)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+                gain, weight = (s.n - d * mean) / (strength + customers[row]), (strength + d * tables[row]) / (strength + customers[row])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("c").take(pa.array(row)), batch.column("w").flatten(), batch.column("n_w").flatten(), pa.array((n - d * mean) / (strength + whole[row])), pa.array(weight[row]), pa.array(spell), pa.array(k[row]), pa.array(mean)],
-                    names=["c", "w", "n_w", "gain", "weight", "tail", "k", "t"],
+                    [batch.column("c").take(pa.array(row)), batch.column("w").flatten(), pa.array(s.n), batch.column("n_w").flatten(), batch.column("p").flatten(), sizes, pa.array(mean), pa.array(gain), pa.array(weight), *map(pa.array, e)],
+                    names=["c", "w", "n", "n_w", "p", "sizes", "mean", "gain", "weight", "z", "e1", "e2", "e3"],
                 )
 
         return run
 
-    # At first each pair has one table.
-    tables = by_class(rooms.select("k", F.explode("j").alias("j")).select((F.col("k") * wide + F.col("j")).alias("key"), F.lit(1).alias("t")))
     for number in range(passes):
-        p = sample_pairs(tables, base, rng)
-        sent = spark.sparkContext.broadcast((p, tables[:contexts].sum(1).astype(float)))
-        if number < passes - 1:
-            tables = by_class(rooms.mapInArrow(seating(sent, number), "key int, t bigint"))
-            sent.unpersist()
-    seats = materialise(rooms.mapInArrow(final(sent), "c string, w string, n_w bigint, gain double, weight double, tail double, k int, t double"), "seats")
-    sent.unpersist()
-    weights = materialise(seats.where(F.col("k") == contexts).groupBy("c").agg(F.first("weight").alias("weight")), "weights")
-    hot = np.zeros(contexts)
-    for k, t in seats.where(F.col("k") < contexts).groupBy("k").agg(F.sum("t")).collect():
-        hot[k] = t
-    return Model(words, freq, int(n_train), int(n_types), contexts, dishes, np.log10(p).astype(np.float32), *tail, (strength + d * hot) / (strength + freq[:contexts]), seats.drop("k", "t"), weights), counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row's whole text.
-
-    base_score is the add-one unigram's log10 probability. A null or empty text is END alone. Repeated rows are scored
-    each on its own; columns other than doc_id and text are not read.
+        last = number == passes - 1
+        # The root, given the contexts' tables.
+        root = root_pass(words, number == 0, last)
+        guests, opened, tables, z = root.agg(*[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)) for c in ("t", "mean", "now", "z")]).first()
+        if guests:
+            e = _strength_evidence(np.array([guests]), np.array([int(tables)]), d0, strength0, rng)
+            used = d0, strength0
+            if not last:
+                d0, strength0 = draw_parameters(np.array([z, *e]), rng)
+        else:
+            used = d0, strength0
+        root_tables = tables
+        unknown = (used[1] + used[0] * opened) / (used[1] + guests) * base if guests else 1.0
+        probability = root.select("w", F.col("n").alias("n_w"), ((F.col("t") - used[0] * F.col("mean")) / (used[1] + guests) + unknown).alias("p"))
+        # The contexts, given the root.
+        met = spread_join(state.select("c", "w", "n", "sizes"), probability, ["w"], ["c"])
+        part = F.when(F.col("n_hot").isNotNull(), F.pmod(F.xxhash64("w"), 1 + F.floor(F.col("n_hot") / room))).otherwise(F.lit(0)).alias("room")
+        rows = met.join(F.broadcast(hot_rows), "c", "left").groupBy("c", part).agg(F.collect_list(F.struct("w", "n", "n_w", "p", "sizes")).alias("l"))
+        if number == 0 and hot:
+            for c, t in pairs.join(F.broadcast(hot_rows), "c").groupBy("c").agg(F.count(F.lit(1))).collect():
+                hot[c][1] = float(t)
+        schema = "c string, w string, n bigint, n_w bigint, p double, sizes array<int>, mean double, gain double, weight double, z double, e1 double, e2 double, e3 double"
+        old = [root, words] + ([state] if number else [])
+        state = materialise(rows.select("c", *[F.col(f"l.{x}").alias(x) for x in ("w", "n", "n_w", "p", "sizes")]).mapInArrow(seating(last), schema), "seats")
+        if hot:
+            for c, t in state.join(F.broadcast(hot_rows), "c").groupBy("c").agg(F.sum("mean" if last else F.size("sizes"))).collect():
+                hot[c][1] = float(t)
+        if last:
+            break
+        evidence = np.array([float(x or 0) for x in state.agg(*[F.sum(c) for c in ("z", "e1", "e2", "e3")]).first()])
+        if hot:
+            evidence[1:] += _strength_evidence(np.array([n for n, _ in hot.values()]), np.array([int(t) for _, t in hot.values()]), d, strength, rng)
+        d, strength = draw_parameters(evidence, rng)
+        words = materialise(state.groupBy("w").agg(F.first("n_w").alias("n"), F.sum(F.size("sizes")).cast("double").alias("t")), "guests")
+        discard(*old)
+    table = materialise(probability.select("w", F.col("n_w").alias("n"), F.col("p").alias("root")), "words")
+    seats = state.select("c", "w", "n_w", "gain", "weight", F.col("p").alias("root"))
+    if hot:
+        # A context's weight is the same in all its rows.
+        weight = spark.createDataFrame([(c, (strength + d * t) / (strength + n)) for c, (n, t) in hot.items()], "c string, of_all double")
+        seats = seats.join(F.broadcast(weight), "c", "left").withColumn("weight", F.coalesce("of_all", "weight")).drop("of_all")
+    weights = materialise(seats.groupBy("c").agg(F.max("weight").alias("weight")), "weights")
+    discard(pairs)
+    return Model(int(n_train), int(n_types), float(unknown), seats, weights, table), table
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row's whole text, however long.
+
+    base_score is the add-one unigram's log10 probability, score the model's. A null or empty text is END alone. Repeated
+    rows are scored each on its own; an empty table gives no rows; columns other than doc_id and text are not read.
     """
-    spark = docs.sparkSession
     m = model
-    contexts, dishes = m.contexts, m.dishes
-    sent = spark.sparkContext.broadcast((m.head[:dishes], m.head_counts[:dishes], 10.0 ** m.log_pair.astype(np.float64) * np.concatenate([m.hot_weight, [1.0]])[:, None]))
     floor = float(m.n_train + m.n_types + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        head, freq, p = sent.value
-        start = _Ids((w.encode("utf-8"), i) for i, w in enumerate(head))
-        freq = np.concatenate([freq, [0]])
         for batch in batches:
             rows, docs_, texts = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_pylist()
             at = 0
             while at < len(texts):
-                first, ids, size, held = at, _Ids(start), 0, []
+                first, ids, size, held = at, _Ids(), 0, []
                 while at < len(texts) and size < FLUSH // 8:
                     words = [END.encode(), *folded_words(texts[at]), END.encode()]
                     held.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
                     size, at = size + len(words), at + 1
                 found = [np.unique(x[:-1] * len(ids) + x[1:], return_counts=True) for x in held]
                 k, n, of = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), np.repeat(np.arange(first, at), [len(x) for x, _ in found])
-                c, j = np.minimum(k // len(ids), contexts), np.minimum(k % len(ids), dishes)
                 own, none = at - first, pa.nulls(at - first, pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([rows[first:at], rows[of]])), pa.concat_arrays([docs_.slice(first, own), pa.nulls(len(k), docs_.type)]),
-                        *[pa.concat_arrays([none, x]) for x in _pairs(ids, k)],
-                        pa.array(np.concatenate([[len(x) - 1 for x in held], n]).astype(np.int64)), pa.array(np.concatenate([np.zeros(own), p[c, j]])),
-                        pa.array(np.concatenate([np.zeros(own, bool), c < contexts])), pa.array(np.concatenate([np.zeros(own, np.int64), freq[j]]).astype(np.int64)),
+                        *[pa.concat_arrays([none, x]) for x in _pairs(ids, k)], pa.array(np.concatenate([[len(x) - 1 for x in held], n]).astype(np.int64)),
                     ],
-                    names=["_row", "doc_id", "c", "w", "times", "p", "hot", "n_top"],
+                    names=["_row", "doc_id", "c", "w", "times"],
                 )
 
-    # Of each text one row without a pair, and one row per pair. n_top: the count of a dish of its own, else 0.
-    parts = with_row_id(_texts(docs, "doc_id")).select("_row", "doc_id", "_text").mapInArrow(run, f"_row bigint, doc_id {kind}, c string, w string, times bigint, p double, hot boolean, n_top bigint")
+    # Of each text one row without a pair, and one row per pair.
+    parts = with_row_id(_texts(docs, "doc_id")).select("_row", "doc_id", "_text").mapInArrow(run, f"_row bigint, doc_id {kind}, c string, w string, times bigint")
     # A text's own row has a key that no pair has (it holds a space), spread over all tasks.
     spread = parts.withColumn("own", F.col("w").isNull()).withColumn("w", F.coalesce("w", F.concat(F.lit(" "), F.col("_row").cast("string")))).withColumn("c", F.coalesce("c", F.lit("")))
     joined = spread.join(m.seats, ["c", "w"], "left")
@@ -327,19 +375,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     # Pairs that no training text has are gathered by text, to meet their context's and their token's rows on their own.
     once = joined.groupBy("_row").agg(
         F.max("doc_id").alias("doc_id"), F.sum(F.when(F.col("own"), F.col("times"))).alias("n_tokens"),
-        *sums(F.when(seen, F.col("times")), F.when(seen, F.col("times") * unigram(F.col("n_w"))), F.when(seen, F.col("times") * F.log10(F.col("gain") + F.col("weight") * F.col("p") * F.col("tail")))),
-        F.collect_list(F.when(~seen & ~F.col("own"), F.struct("c", "w", "times", "p", "hot", "n_top"))).alias("new"),
+        *sums(F.when(seen, F.col("times")), F.when(seen, F.col("times") * unigram(F.col("n_w"))), F.when(seen, F.col("times") * F.log10(F.col("gain") + F.col("weight") * F.col("root")))),
+        F.collect_list(F.when(~seen & ~F.col("own"), F.struct("c", "w", "times"))).alias("new"),
     )
     once = materialise(once, "scored")
-    # As many rows as counts that rare tokens have.
-    tail = spark.createDataFrame([(int(c), float(10.0**p)) for c, p in zip(m.tail_counts, m.tail_log)], "n_tail bigint, tail double")
     new = once.select("_row", F.explode("new").alias("e")).select("_row", "e.*")
-    # Frequent words' figures are known; their rows get keys of their own, which spreads them.
-    apart = lambda x, skip: F.when(skip, F.concat_ws(" ", "c", F.lit(""), "w")).otherwise(F.col(x))
-    new = new.withColumn("_c", apart("c", F.col("hot"))).withColumn("_w", apart("w", F.col("n_top") > 0))
-    new = new.join(m.weights.withColumnRenamed("c", "_c"), "_c", "left").join(counts.select(F.col("word").alias("_w"), F.col("n").alias("n_rare")), "_w", "left")
-    new = new.withColumn("n_w", F.when(F.col("n_top") > 0, F.col("n_top")).otherwise(F.coalesce("n_rare", F.lit(0)))).withColumn("n_tail", F.when(F.col("n_top") == 0, F.col("n_w"))).join(F.broadcast(tail), "n_tail", "left")
-    lone = new.groupBy("_row").agg(*sums(F.when(F.col("n_w") > 0, F.col("times")), F.col("times") * unigram(F.col("n_w")), F.col("times") * F.log10(F.coalesce("weight", F.lit(1.0)) * F.col("p") * F.coalesce("tail", F.lit(1.0)))))
+    new = materialise(spread_join(new, m.weights, ["c"], ["_row", "w"], "left"), "new")
+    new = spread_join(new, m.words, ["w"], ["_row", "c"], "left")
+    p = F.coalesce("weight", F.lit(1.0)) * F.coalesce("root", F.lit(m.unknown))
+    lone = new.groupBy("_row").agg(*sums(F.when(F.col("n").isNotNull(), F.col("times")), F.col("times") * unigram(F.coalesce("n", F.lit(0))), F.col("times") * F.log10(p)))
     zero = lambda x: F.coalesce(f"once.{x}", F.lit(0)) + F.coalesce(f"lone.{x}", F.lit(0))
     return (
         once.drop("new").alias("once").join(lone.alias("lone"), "_row", "left")
