@@ -70,17 +70,19 @@ def _steady(plan) -> bool:
     return plan.nodeName().split(" ")[0] in _STEADY and plan.deterministic() and all(_steady(plan.children().apply(i)) for i in range(plan.children().size()))
 
 
-def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """A row id of our own, so that repeated or null doc_ids stay separate rows. Scans give the same ids when a task
-    runs again; what comes from a shuffle or a random plan is written to the shared folder first. How files are split
-    depends on the number of cores at hand, so it is pinned for the session: losing an executor must not change the ids
-    of a second read."""
+def steady(df: DataFrame) -> DataFrame:
+    """df, such that a second run has the same rows in the same order and tasks. Scans do; what comes from a shuffle or a
+    random plan is written to the shared folder first. How files are split depends on the number of cores at hand, so it
+    is pinned for the session: losing an executor must not change a second read."""
     spark = df.sparkSession
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    if not _steady(df._jdf.queryExecution().optimizedPlan()):
-        df = materialise(df, "rows")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return df if _steady(df._jdf.queryExecution().optimizedPlan()) else materialise(df, "rows")
+
+
+def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
+    """A row id of our own, so that repeated or null doc_ids stay separate rows; the same each time that it is computed."""
+    return steady(df).withColumn(name, F.monotonically_increasing_id())
 
 
 #: A key with more than 1/HOT of all rows is hot: there are fewer than HOT of them, whatever the data.
