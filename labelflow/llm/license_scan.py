@@ -1,8 +1,10 @@
 """Operator 9: licence scan by sparse TF-IDF cosine, with inheritance from the nearest directory above.
 
 Every line of a text is a sparse vector of word uni- and bigrams, weighted by their inverse frequency among the
-templates, and is compared with each template; a line counts at `threshold` or more. A file whose words are mostly such
-lines is a licence file and speaks for its directory. Files without a licence of their own take that of the nearest
+templates, and is compared with each template. Statements wrap: a line that resembles a template in part (OPENS) is
+joined with the lines around it for as long as the cosine rises, up to WINDOW lines; comment marks count for nothing. A
+line or window counts at `threshold` or more. (The window's vector is the sum of its lines', so one of at most eight
+lines has at least 1/sqrt(8) of its cosine, but for the bigrams across line ends.) A file whose words are mostly such lines is a licence file and speaks for its directory. Files without a licence of their own take that of the nearest
 directory above that has one: directories are matched with their ancestors by a join on paths, once per directory, and
 files with their directory.
 """
@@ -18,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import materialise, with_row_id
+from labelflow.llm.common import materialise, spread_join, with_row_id
 
 #: Licence statements by name (fixed values: wordings in common use).
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
+    "MIT": ["MIT License", "The MIT License (MIT)", "Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction."],
+    "GPL-3.0": ["GNU General Public License Version 3, 29 June 2007", "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["GNU General Public License Version 2, June 1991", "This work is licensed under the GNU General Public License, version 2."],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
@@ -35,6 +37,8 @@ TEMPLATES = {
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
+#: Lines of a window at most, and the cosine at which a line opens one.
+WINDOW, OPENS = 8, 0.25
 _TOKEN = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -59,7 +63,16 @@ class Matcher:
             norm = math.sqrt(sum(x * x for x in v.values()))
             for g, x in v.items():
                 self.index.setdefault(g, []).append((i, x / norm))
-        self.words = {g for g in self.idf if " " not in g and len(g) > 4} | {"cc", "mit", "bsd", "gnu", "cc0", "cc by"}
+        # A template's telling words: its longer ones and those of no other licence; where it has none of them, all.
+        held: dict[str, set[str]] = {}
+        for name, c in rows:
+            for g in c:
+                held.setdefault(g, set()).add(name)
+        self.words = set()
+        for _, c in rows:
+            single = {g for g in c if " " not in g}
+            self.words |= {g for g in single if len(g) > 4 or len(held[g]) == 1 and len(g) > 2 and not g.isdigit()} or single
+        self.words |= {"cc"} & set(self.idf)
 
     def best(self, line: str) -> tuple[str | None, float]:
         """The nearest template's name and its cosine; of equal ones the first."""
@@ -83,20 +96,30 @@ def _matcher(key: tuple) -> Matcher:
 
 
 def scan_text(text: str, matcher: Matcher, threshold: float) -> tuple[str | None, float, int | None, float]:
-    """(licence, cosine, line, share of the text's words in licence lines) of the best line; a tie goes to the first."""
-    best, words, inside = (None, 0.0, None), 0, 0
-    for k, line in enumerate(text.split("\n")):
-        parts = line.split()
-        words += len(parts)
+    """(licence, cosine, first line, share of the text's words in licence lines) of the best line or window; a tie goes to
+    the first. An empty text has none."""
+    lines = text.split("\n")
+    many = [len(x.split()) for x in lines]
+    best, inside = (None, 0.0, None), set()
+    for k, line in enumerate(lines):
         # Without a telling word of a template no cosine reaches a threshold: what is left is shared by all of them.
         if matcher.words.isdisjoint(_TOKEN.findall(line.lower())):
             continue
         name, cosine = matcher.best(line)
+        if cosine < OPENS:
+            continue
+        lo, hi = k, k + 1
+        while hi - lo < WINDOW:
+            wider = [(*matcher.best(" ".join(lines[a:b])), a, b) for a, b in ((lo - 1, hi), (lo, hi + 1)) if a >= 0 and b <= len(lines)]
+            found = max(wider, key=lambda f: f[1], default=(None, 0.0))
+            if found[1] <= cosine + 1e-12:
+                break
+            name, cosine, lo, hi = found
         if cosine >= threshold:
-            inside += len(parts)
+            inside.update(range(lo, hi))
             if cosine > best[1] + 1e-12:
-                best = name, cosine, k
-    return *best, inside / words if words else 0.0
+                best = name, cosine, lo
+    return *best, sum(many[k] for k in inside) / max(sum(many), 1)
 
 
 def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.75, templates: dict[str, list[str]] | None = None, license_share: float = 0.5) -> DataFrame:
@@ -105,12 +128,14 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float
     license is the row's own (null if none), distance how many directories above the file's own the effective licence
     comes from (0: its own directory; null: its own text, or none at all). Of a directory's licence files the highest
     cosine counts, then the first name. Null paths have no directory; null and empty texts have no licence. Rows are
-    kept apart even if repeated; columns other than keep, path and text are not read.
+    kept apart even if repeated; texts are read whole, however long; an empty table gives no rows. Columns other than
+    keep, path and text are not read, and may have any name.
     """
     key = tuple((k, tuple(v)) for k, v in (templates or TEMPLATES).items())
     kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields}
     k = len(keep)
-    names = [*keep, "_dir", "license", "score", "line", "share"]
+    kept = [f"_keep{i}" for i in range(k)]
+    names = [*kept, "_dir", "license", "score", "line", "share"]
 
     def run(batches):
         m = _matcher(key)
@@ -120,7 +145,7 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k + 1)), *cols], names=names)
 
     folder = F.regexp_extract(F.col("path").cast("string"), r"^(.*)/[^/]*$", 1).alias("_dir")
-    own = files.select(*keep, folder, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["_dir string, license string, score double, line int, share double"]))
+    own = files.select(*keep, folder, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join([f"{a} {kinds[c]}" for a, c in zip(kept, keep)] + ["_dir string, license string, score double, line int, share double"]))
     own = own.withColumn("is_license_file", F.col("license").isNotNull() & (F.col("share") >= license_share)).drop("share")
     own = materialise(with_row_id(own), "license_scan")
     # A row per directory, then per directory and ancestor: paths are short, so this grows with directories alone.
@@ -128,6 +153,8 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float
     parts = F.split("_dir", "/")
     above = own.where("_dir is not null").select("_dir").distinct().select("_dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - i), "/"))).alias("_up", "_above"))
     nearest = above.join(said, "_above").groupBy("_dir").agg(F.min(F.struct("_up", "_taken")).alias("v"))
-    return own.join(nearest, "_dir", "left").select(
-        *keep, "license", "score", "line", "is_license_file", F.coalesce("license", "v._taken").alias("effective_license"), F.when(F.col("license").isNull(), F.col("v._up")).alias("distance")
+    # The files of a large directory are dealt over several tasks.
+    own = spread_join(own, nearest.select("_dir", F.col("v._up").alias("_up"), F.col("v._taken").alias("_taken")), ["_dir"], ["_row"], "left")
+    return own.select(
+        *[F.col(a).alias(c) for a, c in zip(kept, keep)], "license", "score", "line", "is_license_file", F.coalesce("license", "_taken").alias("effective_license"), F.when(F.col("license").isNull(), F.col("_up")).alias("distance")
     )
