@@ -196,12 +196,21 @@ def test_training_order(spark, rows, tmp_path):
     path = f"file://{tmp_path}/shards"
     total = training_order.write_shards(make(spark, rows), BYTE, path, length=32, per_shard=16)
     got = training_order.read_shards(spark, path, length=32).collect()
-    assert all(r["ok"] for r in got) and len({r["slot"] for r in got}) == len(got) and max(r["slot"] for r in got) < total
-    by = defaultdict(list)
-    for r in sorted(got, key=lambda r: (r["shard"], r["record"])):
-        by[r["shard"]].append(r["slot"])
-    assert all(s == sorted(s) for s in by.values()) and [min(by[k]) for k in sorted(by)] == sorted(min(s) for s in by.values())
-    t, stride = Tokenizer.from_file(BYTE), training_order.record_bytes(32)
+    assert all(r["ok"] for r in got) and len(got) == total
+    got.sort(key=lambda r: r["slot"])
+    # Slots are 0 to n - 1, in the order of the permutation's draws; a shard holds a range of them.
+    assert [r["slot"] for r in got] == list(range(total)) and [r["draw"] for r in got] == sorted({r["draw"] for r in got})
+    assert [(r["shard"], r["record"]) for r in got] == sorted((r["shard"], r["record"]) for r in got) and len({r["shard"] for r in got}) > 3
+    index, stride = training_order.shard_index(spark, path), training_order.record_bytes(32)
+    for r in got[:: max(1, total // 40)]:
+        file, at = training_order.locate(index, r["slot"])
+        with open(file.removeprefix("file:"), "rb") as f:
+            f.seek(at)
+            record = f.read(stride)
+        assert zlib.crc32(record[:64]) == r["tokens_crc32"] and int.from_bytes(record[64:72], "little") == r["draw"]
+    with pytest.raises(IndexError):
+        training_order.locate(index, total)
+    t = Tokenizer.from_file(BYTE)
     tokens = Counter()
     for f in tmp_path.glob("shards/shard=*/part-*"):
         data = f.read_bytes()
@@ -214,11 +223,19 @@ def test_training_order(spark, rows, tmp_path):
     assert training_order.write_shards(make(spark, []), BYTE, empty) == 0 and training_order.read_shards(spark, empty).count() == 0
 
 
-def test_language_model(spark, rows):
+def probabilities(model):
+    seats = {(r["c"], r["w"]): r["gain"] + r["weight"] * r["root"] for r in model.seats.collect()}
+    weights, root = {r["c"]: r["weight"] for r in model.weights.collect()}, {r["w"]: r["root"] for r in model.words.collect()}
+    return lambda c, w: seats[c, w] if (c, w) in seats else weights.get(c, 1.0) * root.get(w, model.unknown)
+
+
+@pytest.mark.parametrize("room", [50_000, 40])
+def test_language_model(spark, rows, room):
+    """Whole contexts, and frequent ones cut into rows of 40 customers."""
     docs = make(spark, rows)
     train = docs.where("doc_id is null or doc_id % 3 <> 0")
-    model, counts = language_model.fit(train, contexts=8, dishes=16, head_size=40)
-    got = language_model.score(docs, model, counts).collect()
+    model, counts = language_model.fit(train, room=room)
+    got = language_model.score(docs, model).collect()
     c = Counter()
     low = lambda x: SPLIT.findall((x or "").translate({k: k + 32 for k in range(65, 91)}))
     for i, x in rows:
@@ -227,14 +244,15 @@ def test_language_model(spark, rows):
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), len(low(x)) + 1, sum(c[w] > 0 for w in [*low(x), ""]), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*low(x), ""]), 4)) for i, x in rows)
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in got) == want
-    assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
-    # Proper: over every known token and one unknown, a context's probabilities sum to one.
-    tail = dict(zip(model.tail_counts.tolist(), model.tail_log.tolist()))
-    rest = 10 ** tail[0] + sum(10 ** tail[c[w]] for w in c if w not in set(model.head[: model.dishes]))
-    assert math.isclose(rest, 1, abs_tol=1e-6) and np.allclose((10.0 ** model.log_pair).sum(1), 1, atol=1e-4)
-    assert language_model.score(make(spark, []), model, counts).count() == 0
-    none, table = language_model.fit(make(spark, []))
-    assert language_model.score(make(spark, [(1, "a b")]), none, table).first()["n_known"] == 0
+    assert all(r["train_tokens"] == n and r["score"] < 0 for r in got) and {(r["w"], r["n"]) for r in counts.collect()} == set(c.items())
+    # Proper: over every known token and one unknown, each context's probabilities sum to one, and give the scores.
+    p = probabilities(model)
+    assert all(math.isclose(sum(p(a, w) for w in [*c, "unheard"]), 1, abs_tol=1e-6) for a in ["", "one", "nowhere", *list(c)[:6]])
+    want = sorted((str(i), sum(math.log10(p(a, b)) for a, b in zip(["", *low(x)], [*low(x), ""]))) for i, x in rows if i != 10)
+    assert all(a == str(r["doc_id"]) and math.isclose(s, r["score"], abs_tol=1e-6, rel_tol=1e-9) for (a, s), r in zip(want, sorted((r for r in got if r["doc_id"] != 10), key=lambda r: (str(r["doc_id"]), r["score"]))))
+    assert language_model.score(make(spark, []), model).count() == 0
+    none, _ = language_model.fit(make(spark, []))
+    assert language_model.score(make(spark, [(1, "a b")]), none).first()["n_known"] == 0
 
 
 def labelled(spark):
@@ -273,6 +291,24 @@ def test_license_scan(spark):
     assert license_scan.scan(df.where("false")).count() == 0
 
 
+def test_license_cosine_is_tf_idf(spark):
+    """A line's cosine against the definition; wrapped headers; templates of short words; a large directory."""
+    templates = {"A": ["do as you wish with it"], "B": ["share alike in all the same ways", "share alike"]}
+    m = license_scan._matcher(tuple((k, tuple(v)) for k, v in templates.items()))
+    rows = [license_scan.grams(t) for v in templates.values() for t in v]
+    idf = lambda g: 1 + math.log((1 + len(rows)) / (1 + sum(g in r for r in rows)))
+    line = license_scan.grams("please share alike in the end")
+    norm = lambda c: math.sqrt(sum((n * idf(g)) ** 2 for g, n in c.items()))
+    want = max(sum(n * r[g] * idf(g) ** 2 for g, n in line.items()) / norm(line) / norm(r) for r in rows)
+    assert math.isclose(m.best("please share alike in the end")[1], want)
+    header = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nimport os"
+    files = [("d/a.py", header), ("d/b.txt", "Do as you wish\nwith it"), ("e/LICENSE", "Released under the MIT License."), ("e/LICENSE", "Released under the MIT License.")] + [(f"e/f{k}", "plain") for k in range(600)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id bigint, path string, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert got[0]["license"] == "GPL-3.0" and got[1]["license"] is None and all(got[k]["effective_license"] == "MIT" for k in range(2, 604))
+    assert {r["doc_id"]: r["license"] for r in license_scan.scan(df, templates=templates).where("doc_id < 2").collect()} == {0: None, 1: "A"}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
@@ -335,26 +371,35 @@ def test_queries_have_the_agreed_columns(spark):
 
 
 def test_language_model_keeps_every_context(spark):
-    """Contexts and followers far beyond `contexts` and `dishes` have probabilities of their own."""
+    """Every context and follower has probabilities of its own, and the model beats the unigram by far where pairs tell."""
     text = " ".join(f"c{k} f{k} c{k} g{k}" for k in range(200))
-    model, counts = language_model.fit(make(spark, [(k, text) for k in range(5)]), contexts=4, dishes=8, head_size=20)
-    pairs = {(r["c"], r["w"]) for r in model.seats.collect()}
+    model, _ = language_model.fit(make(spark, [(k, text) for k in range(5)]))
     words_ = ["", *text.split(), ""]
-    assert pairs == set(zip(words_, words_[1:]))
-    got = {r["doc_id"]: r for r in language_model.score(make(spark, [(1, "c150 f150"), (2, "c150 f151"), (3, "f150 c150"), (4, "zz c150"), (5, None)]), model, counts).collect()}
+    assert {(r["c"], r["w"]) for r in model.seats.collect()} == set(zip(words_, words_[1:]))
+    got = {r["doc_id"]: r for r in language_model.score(make(spark, [(1, "c150 f150"), (2, "c150 f151"), (3, "f150 c150"), (4, "zz c150"), (5, None)]), model).collect()}
     assert got[1]["score"] > got[2]["score"] + 1 and math.isclose(got[1]["base_score"], got[2]["base_score"])
     assert [got[k]["n_known"] for k in (1, 2, 3, 4, 5)] == [3, 3, 3, 2, 1]
-    # Proper: the probabilities of all known tokens and one unknown after a context sum to one, and are those of score.
-    n = {r["word"]: r["n"] for r in counts.collect()}
-    seats, weights = {(r["c"], r["w"]): r["gain"] for r in model.seats.collect()}, {r["c"]: r["weight"] for r in model.weights.collect()}
-    rank, tail = {w: i for i, w in enumerate(model.head)}, dict(zip(model.tail_counts.tolist(), model.tail_log.tolist()))
-
-    def p(c, w):
-        k, j = min(rank.get(c, 99), model.contexts), min(rank.get(w, 99), model.dishes)
-        weight = model.hot_weight[k] if k < model.contexts else weights.get(c, 1.0)
-        return seats.get((c, w), 0.0) + weight * 10 ** float(model.log_pair[k, j]) * (10 ** tail[n.get(w, 0)] if j == model.dishes else 1.0)
-
-    assert all(math.isclose(sum(p(c, w) for w in [*n, "unheard"]), 1, abs_tol=1e-4) for c in ["", "c150", "f7", "zz", *model.head[1:6]])
-    for k, t in ((1, "c150 f150"), (2, "c150 f151"), (3, "f150 c150"), (4, "zz c150"), (5, "")):
-        w = ["", *t.split(), ""]
-        assert math.isclose(got[k]["score"], sum(math.log10(p(*x)) for x in zip(w, w[1:])), abs_tol=1e-4)
+
+
+def test_classifiers_equal_brute_force(spark, rows):
+    """Scores of the whole path against the same sums written out one text at a time."""
+    rng = np.random.default_rng(3)
+    w = rng.normal(0, 0.05, 1 << 18).astype(np.float32)
+    sigmoid = lambda x: 1 / (1 + math.exp(-max(-35.0, min(35.0, x))))
+    def toxic(text):
+        seen = set()
+        for word in SPLIT.findall(text):
+            bare = word.lower()
+            while bare and not bare[0].isalnum():
+                bare = bare[1:]
+            while bare and not bare[-1].isalnum():
+                bare = bare[:-1]
+            for part in ([f"w {bare}"] + [f"{n} {bare[:n]}" for n in (4, 5) if len(bare) > n and bare.isalpha()]) if bare else []:
+                seen.add(zlib.crc32(part.encode()) >> 14)
+        return sigmoid(sum(float(w[k]) for k in seen) - 0.3)
+    def quality(text):
+        at, x = quality_classifier.features(text)
+        return sigmoid(sum(float(w[a]) * float(v) for a, v in zip(at, x)) - 0.3)
+    for operator, brute in ((toxicity, toxic), (quality_classifier, quality)):
+        got = operator.score(make(spark, rows), (w, -0.3), keep=("doc_id", "score", "text")).collect()
+        assert len(got) == len(rows) and all(r[1] == 0.5 and math.isclose(r[3], brute(r[2] or ""), abs_tol=1e-4) for r in got)

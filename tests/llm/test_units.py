@@ -151,23 +151,71 @@ def test_counterfactual_penalty_frees_identity_terms():
     assert not toxicity.train([])[0].any()
 
 
-def test_pitman_yor_sums_to_one():
-    rng = np.random.default_rng(1)
-    counts = rng.integers(0, 50, (4, 6)) * (rng.random((4, 6)) < 0.6)
-    base = np.full(6, 1 / 6)
-    p = language_model.sample_pairs(counts, base, rng)
-    assert np.allclose(p.sum(1), 1) and (p > 0).all()
-    values, types = np.array([1, 2, 9]), np.array([5, 3, 1])
-    at, lp = language_model.sample_tail(values, types, rng)
-    assert at.tolist() == [0, 1, 2, 9] and math.isclose((10 ** lp[1:] * types).sum() + 10 ** lp[0], 1) and (np.diff(lp) > 0).all()
-    assert language_model.sample_tail(np.zeros(0, np.int64), np.zeros(0, np.int64), rng)[1].tolist() == [0.0]
-
-
-def test_seating_bounds():
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+
+@pytest.mark.parametrize("first", ["drawn", "one table", "all apart"])
+def test_gibbs_steps_reach_the_exact_distribution(first):
+    """Numbers of tables of 20,000 restaurants of one dish against the sum over all partitions of its customers."""
+    n, d, strength, p, many = 5, 0.6, 2.0, 0.3, 20_000
+    exact = Counter()
+    for part in partitions(list(range(n))):
+        weight = math.prod((strength + d * i) * p for i in range(len(part))) * math.prod(math.gamma(len(b) - d) / math.gamma(1 - d) for b in part)
+        exact[len(part)] += weight
+    whole = sum(exact.values())
+    sizes = {"drawn": None, "one table": (np.full(many, n), np.ones(many, np.int64)), "all apart": (np.ones(many * n, np.int64), np.full(many, n))}[first]
+    s = language_model.Seats(np.full(many, n), np.arange(many), np.full(many, p), np.zeros(many), d, strength, np.random.default_rng(2), sizes)
+    for _ in range(60):
+        s.step()
+    got = Counter(s.t.tolist())
+    assert all(abs(got[t] / many - exact[t] / whole) < 0.015 for t in range(1, n + 1))
+    flat, t = s.sizes()
+    assert (np.bincount(np.repeat(np.arange(many), t), flat) == n).all() and (s.tables == t).all()
+
+
+def test_seats_keep_their_customers():
     rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 1000, 100_000])
-    t = language_model.seat(c, np.full(5, 3.0), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
+    n = np.array([1, 2, 3, 50, 1000, 1, 70_000])
+    house = np.array([0, 0, 0, 1, 1, 1, 1])
+    s = language_model.Seats(n, house, np.full(7, 1 / 8), np.array([0.0, 5.0]), 0.5, 3.0, rng)
+    for _ in range(300):
+        s.step()
+    flat, t = s.sizes()
+    assert (np.bincount(np.repeat(np.arange(7), t), flat) == n).all() and (flat > 0).all() and (t <= n).all() and (t >= 1).all()
+    assert s.tables.tolist() == [t[:3].sum(), t[3:].sum() + 5]
+    assert np.isfinite(s.evidence(np.array([True, False]))).all()
+
+
+def test_parameters_are_found_again():
+    """Seats drawn with known parameters give these back."""
+    rng = np.random.default_rng(1)
+    d, strength, n, houses = 0.6, 4.0, 40, 400
+    flat, t = [], []
+    for _ in range(houses):
+        tables = [1]
+        for k in range(1, n):
+            w = np.array([x - d for x in tables] + [strength + d * len(tables)])
+            j = rng.choice(len(w), p=w / w.sum())
+            if j == len(tables):
+                tables.append(1)
+            else:
+                tables[j] += 1
+        flat += tables
+        t.append(len(tables))
+    got, at = [], (0.3, 20.0)
+    for k in range(400):
+        s = language_model.Seats(np.full(houses, n), np.arange(houses), np.ones(houses), np.zeros(houses), *at, rng, (np.array(flat), np.array(t)))
+        at = language_model.draw_parameters(s.evidence(np.ones(houses, bool)), rng)
+        got.append(at)
+    mean = np.mean(got[100:], 0)
+    assert abs(mean[0] - d) < 0.06 and abs(mean[1] - strength) < 1.5
 
 
 @pytest.mark.parametrize("line, name", [("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("All rights reserved.", "Proprietary"), ("// licensed under the apache license, version 2.0", "Apache-2.0"), ("The quick brown fox of the north", None), ("", None)])
