@@ -53,9 +53,12 @@ def _packed(rows: DataFrame, columns: list[str], schema: str) -> DataFrame:
 
 
 def neighbours_blocked(queries: DataFrame, index: DataFrame, k: int = K_NEIGHBOURS, exclude_self: bool = False) -> DataFrame:
-    """As neighbours_sql; ids are integers."""
-    q = _packed(queries.where("vector is not null").select(F.col("id").cast("bigint").alias("q"), "vector"), ["q"], "q array<bigint>").withColumnsRenamed({"m": "qm", "n": "qn"})
-    i = _packed(index.where("vector is not null").select(F.col("id").cast("bigint").alias("i"), F.col("label").cast("string").alias("l"), "vector"), ["i", "l"], "i array<bigint>, l array<string>")
+    """As neighbours_sql; ids are integers or strings, of one kind on both sides."""
+    kind = "string" if index.schema["id"].dataType.simpleString() == "string" else "bigint"
+    q = _packed(queries.where("vector is not null").select(F.col("id").cast(kind).alias("q"), "vector"), ["q"], f"q array<{kind}>").withColumnsRenamed({"m": "qm", "n": "qn"})
+    i = _packed(index.where("vector is not null").select(F.col("id").cast(kind).alias("i"), F.col("label").cast("string").alias("l"), "vector"), ["i", "l"], f"i array<{kind}>, l array<string>")
+
+    ids = pa.string() if kind == "string" else pa.int64()
 
     def run(batches):
         for batch in batches:
@@ -78,7 +81,7 @@ def neighbours_blocked(queries: DataFrame, index: DataFrame, k: int = K_NEIGHBOU
                     c = c[np.isfinite(line[c])]
                     out_q.append(np.full(len(c), r)), out_i.append(c)
                 x, y = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (out_q, out_i))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[x]), pa.array(iid[y]), pa.array([lab[j] for j in y], pa.string()), pa.array(s[x, y])], names=["query_id", "neighbour_id", "label", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(qid[x].tolist(), ids), pa.array(iid[y].tolist(), ids), pa.array([lab[j] for j in y], pa.string()), pa.array(s[x, y])], names=["query_id", "neighbour_id", "label", "similarity"])
 
-    pairs = q.crossJoin(i).select("q", "qm", "qn", "i", "l", "m", "n").mapInArrow(run, "query_id bigint, neighbour_id bigint, label string, similarity double")
+    pairs = q.crossJoin(i).select("q", "qm", "qn", "i", "l", "m", "n").mapInArrow(run, f"query_id {kind}, neighbour_id {kind}, label string, similarity double")
     return _ranked(pairs, k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelflow.functions import fingerprints, mail, text
 from labelflow.functions.vector import cosine, norm
-from labelflow.operators import changes, keyed, knn, lifecycle, maturity, vote, worklist
+from labelflow.operators import changes, keyed, knn, lifecycle, live, maturity, vote, worklist
 from labelflow.operators import registry as reg
 from labelflow.plans import views
 from labelflow.plans.views import table
@@ -652,6 +652,98 @@ def status_report(spark, sf_dir):
     return status(e, l, pending_first_wins(spark, sf_dir))
 
 
+# ---- live path and batch jobs ---------------------------------------------------------------------------------------
+
+_FRESH = f"""{_HISTORY}, fresh AS (SELECT message_id FROM ev WHERE type = 'messagesAdded' AND message_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1),
+    {_vectors_sql(0.5).replace(f"id % {views.QUERY_STEP} = 0", "id IN (SELECT message_id FROM fresh)").replace("sims AS (", "old AS (SELECT * FROM idx WHERE id NOT IN (SELECT id FROM q)), sims AS (").replace("FROM q, idx i", "FROM q, old i")},
+    results AS (SELECT query_id AS message_id, label, confidence, action, action IN ('label', 'label_with_review') AND label IN ('L0', 'L1', 'L2', 'L3', 'L4') AS applied FROM acted)"""
+
+
+def _results(spark, sf_dir):
+    """New inbox messages of the change log; a message's vector is that of its id, the index all others."""
+    index = views.vectors(spark, sf_dir, 0.5)
+    fresh = changes.new_inbox_ids(views.history(spark, sf_dir), views.state_labels(spark, sf_dir))
+    known = views.registry(spark).withColumn("label_name", F.col("label_id"))
+    by_id = lambda ids: index.select(F.col("id").alias("message_id"), "vector").join(ids.select("message_id"), "message_id", "left_semi")
+    return live.classify_new(fresh, index, known, by_id)
+
+
+@query(f"WITH {_FRESH} SELECT message_id, label, round(confidence, 6) AS confidence, action, applied FROM results")
+def process_history(spark, sf_dir):
+    """From the change log to verdicts."""
+    return _results(spark, sf_dir).select("message_id", "label", _r6("confidence"), "action", "applied")
+
+
+@query(f"WITH {_FRESH} SELECT message_id, label AS add_label, 'INBOX' AS remove_label FROM results WHERE applied")
+def outbox(spark, sf_dir):
+    return live.outbox(_results(spark, sf_dir))
+
+
+@query(f"WITH {_FRESH} SELECT message_id, '{SKIP}' AS label_id, 'auto' AS source FROM results WHERE action = 'no_label'")
+def learnt_rejects(spark, sf_dir):
+    return live.learnt(_results(spark, sf_dir))[0].select("message_id", "label_id", "source")
+
+
+@query(f"WITH {_FRESH} SELECT seq, message_id, label_id, type FROM ch WHERE message_id NOT IN (SELECT message_id FROM results WHERE applied)")
+def echo_after_outbox(spark, sf_dir):
+    """Label changes without those of messages that we labelled."""
+    applied = live.outbox(_results(spark, sf_dir))
+    return changes.suppress_echoes(changes.relevant_changes(views.history(spark, sf_dir), views.registry(spark)), applied)[0].select("seq", "message_id", "label_id", "type")
+
+
+_ALIVE = "alive AS (SELECT vec_id AS message_id FROM embeddings WHERE label <> 7)"
+
+
+def _jobs(spark, sf_dir):
+    """Stored labels and vectors (of labels 0 to 2), and an embedder that knows the messages of all labels but 7."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_id"), F.col("embedding").alias("vector"), "label")
+    alive = e.where("label <> 7")
+    return views.state_labels(spark, sf_dir), e.where("label < 3").select("message_id", "vector"), e, lambda ids: alive.join(ids.select("message_id"), "message_id", "left_semi").select("message_id", "vector")
+
+
+def _with_vectors(labels, vectors):
+    return labels.join(vectors.select("message_id", F.lit(True).alias("v")), "message_id", "left").select("message_id", "label_id", "label_name", "source", F.coalesce("v", F.lit(False)).alias("has_vector"))
+
+
+_WANTED = "want AS (SELECT vec_id AS message_id, 'T' || (label % 2) AS label_id, 'n' AS label_name, 'user' AS source FROM embeddings WHERE label >= 2 AND label <> 7)"
+
+
+def _wanted(e):
+    return e.where("label >= 2").select(F.col("message_id").alias("pos"), "message_id", F.concat(F.lit("T"), (F.col("label") % 2).cast("string")).alias("label_id"), F.lit("n").alias("label_name"), F.lit("user").alias("source"))
+
+
+@query(f"WITH {_STATE}, {_WANTED}, vec AS (SELECT vec_id AS message_id FROM embeddings WHERE label <> 7) SELECT u.*, u.message_id IN (SELECT message_id FROM vec WHERE message_id IN (SELECT vec_id FROM embeddings WHERE label < 3) OR message_id IN (SELECT message_id FROM want)) AS has_vector FROM (SELECT * FROM want UNION ALL SELECT * FROM lab WHERE message_id NOT IN (SELECT message_id FROM want)) u")
+def bootstrap_state(spark, sf_dir):
+    """A work list added to the stored labels; messages of label 7 no longer exist."""
+    labels, vectors, e, embed = _jobs(spark, sf_dir)
+    return _with_vectors(*live.bootstrap(_wanted(e), labels, vectors, embed))
+
+
+@query(f"WITH {_WANTED} SELECT *, true AS has_vector FROM want")
+def resync_applied(spark, sf_dir):
+    """The stored labels after a resync to the work list."""
+    labels, vectors, e, embed = _jobs(spark, sf_dir)
+    return _with_vectors(*live.apply_resync(labels, vectors, _wanted(e), embed))
+
+
+@query(f"""WITH {_STATE}, {_ALIVE}, new AS (SELECT vec_id AS message_id, 'N' AS label_id, 'new' AS label_name, 'user' AS source FROM embeddings WHERE label = 4),
+    u AS (SELECT * FROM new UNION ALL SELECT * FROM lab WHERE label_name <> 'clean' AND message_id NOT IN (SELECT message_id FROM new))
+    SELECT u.*, u.message_id IN (SELECT vec_id FROM embeddings WHERE label < 3 OR label = 4) AS has_vector FROM u""")
+def exclusions_applied(spark, sf_dir):
+    """'clean' is no longer included, 'new' is: its messages are those of label 4."""
+    labels, vectors, e, embed = _jobs(spark, sf_dir)
+    included = values(spark, [("T1", ""), ("N", "new")], "label_id string, label_name string")
+    listing = e.where("label = 4").select(F.col("message_id").alias("pos"), "message_id", F.lit("N").alias("label_id"))
+    return _with_vectors(*live.apply_exclusions(labels, vectors, included, listing, embed))
+
+
+@query(f"WITH {_STATE}, {_ALIVE} SELECT message_id FROM lab WHERE message_id IN (SELECT message_id FROM alive)")
+def rebuild_vectors(spark, sf_dir):
+    """Which labelled messages a new model has vectors of."""
+    labels, _, _, embed = _jobs(spark, sf_dir)
+    return live.rebuild(labels, embed).select("message_id")
+
+
 # ---- streams: the same rows as their batch twins -----------------------------------------------------------------
 
 

@@ -33,4 +33,6 @@ LABELS = T.StructType([T.StructField(c, _s) for c in ("message_id", "label_id",
 PENDING = T.StructType([T.StructField(c, _s) for c in ("message_id", "first_seen_history_id", "reason")])
 META = T.StructType([T.StructField("key", _s), T.StructField("value", _s)])
 REGISTRY = T.StructType([T.StructField("label_id", _s), T.StructField("label_name", _s), T.StructField("is_excluded", T.BooleanType())])
-STATE_TABLES = {"embeddings": EMBEDDINGS, "labels": LABELS, "pending_new": PENDING, "meta": META}
+OUTBOX = T.StructType([T.StructField(c, _s) for c in ("message_id", "add_label", "remove_label")])
+ECHOES = T.StructType([T.StructField("message_id", _s)])
+STATE_TABLES = {"embeddings": EMBEDDINGS, "labels": LABELS, "pending_new": PENDING, "meta": META, "outbox": OUTBOX, "echoes": ECHOES}

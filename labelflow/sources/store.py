@@ -49,7 +49,9 @@ class SnapshotStore:
         return self._manifest()[0]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(STATE_TABLES[name]).parquet(self._manifest()[1][name])
+        """The table's rows; a table that an older store lacks is empty."""
+        path = self._manifest()[1].get(name)
+        return self.spark.read.schema(STATE_TABLES[name]).parquet(path) if path else self.spark.createDataFrame([], STATE_TABLES[name])
 
     def commit(self, tables: dict[str, DataFrame], batch_id: int | None = None) -> int:
         """Replaces tables in one step. A batch_id that was committed before changes nothing: replays are harmless."""
@@ -65,14 +67,35 @@ class SnapshotStore:
         if batch_id is not None:
             new["_batch"] = str(batch_id)
         self._fs.mkdirs(self._path(f"{self.root}/manifests"))
+        # A claim that only one writer can create comes first: not every file system refuses to rename onto a file.
+        claim = self._path(f"{self.root}/manifests/.claim-{version + 1:012d}")
+        if not self._fs.createNewFile(claim):
+            raise RuntimeError("another writer committed first")
         temp = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(temp)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
         if not self._fs.rename(temp, self._path(f"{self.root}/manifests/{version + 1:012d}")):
-            raise RuntimeError("another writer committed first")
+            self._fs.delete(claim, False)
+            raise RuntimeError("the manifest could not be put in place")
         return version + 1
 
+    def vacuum(self) -> int:
+        """Deletes folders of tables that the present version does not name, and older manifests; how many folders.
+        To be run while no reader of an older version and no writer is at work."""
+        version, paths = self._manifest()
+        kept, gone = {p for k, p in paths.items() if not k.startswith("_")}, 0
+        for name in STATE_TABLES:
+            folder = self._path(f"{self.root}/tables/{name}")
+            for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                if f"{self.root}/tables/{name}/{s.getPath().getName()}" not in kept:
+                    self._fs.delete(s.getPath(), True)
+                    gone += 1
+        for s in self._fs.listStatus(self._path(f"{self.root}/manifests")):
+            if s.getPath().getName().isdigit() and int(s.getPath().getName()) < version:
+                self._fs.delete(s.getPath(), False)
+        return gone
+
     def get_meta(self, key: str) -> str | None:
         row = self.table("meta").where(F.col("key") == key).select("value").first()
         return row and row[0]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from labelflow.operators import changes, keyed, lifecycle
+from labelflow.operators import changes, keyed, lifecycle, live
 from labelflow.schemas import BACKOFF_MOST_S, HISTORY
 from labelflow.sources.mailbox import stream_history
 from labelflow.sources.store import SnapshotStore
@@ -35,21 +35,28 @@ def _shared(spark: SparkSession) -> str:
 
 
 class ChangeConsumer:
-    """Applies each micro-batch of events to the store: corrections always; new messages are parked while the gate is
-    shut and handed to classify once it is open. messages: current mailbox rows (message_id, labels)."""
+    """Applies each micro-batch of events to the store: corrections always, but for the echoes of our own labels; new
+    messages are parked while the gate is shut and classified once it is open. messages: current mailbox rows
+    (message_id, labels).
 
-    def __init__(self, store: SnapshotStore, registry: Callable[[], DataFrame], messages: Callable[[], DataFrame], gate_open: Callable[[], bool], classify: Callable[[DataFrame], DataFrame] | None = None, now_ms: Callable[[], int] = lambda: 0):
-        self.store, self.registry, self.messages, self.gate_open, self.classify, self.now_ms = store, registry, messages, gate_open, classify, now_ms
+    With embed (see operators.live), new messages go the whole way: vector, vote against the stored index, outbox; the
+    store keeps what was applied as echoes to come, rejects with their vectors, and the vectors of corrected messages.
+    classify instead maps new (message_id, seq) to rows of labels. A batch rewrites the tables that it changes, no others."""
+
+    def __init__(self, store: SnapshotStore, registry: Callable[[], DataFrame], messages: Callable[[], DataFrame], gate_open: Callable[[], bool], classify: Callable[[DataFrame], DataFrame] | None = None, now_ms: Callable[[], int] = lambda: 0, embed: live.Embed | None = None):
+        self.store, self.registry, self.messages, self.gate_open, self.classify, self.now_ms, self.embed = store, registry, messages, gate_open, classify, now_ms, embed
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """foreachBatch body. Reads the registry afresh, so that renamed and new labels are seen."""
         if batch.isEmpty():
             return
-        batch = batch.persist()
+        batch, results, tables = batch.persist(), None, {}
         try:
             labels, pending = self.store.table("labels"), self.store.table("pending_new")
             registry, messages = self.registry(), self.messages()
-            sets = changes.change_sets(changes.relevant_changes(batch, registry))
+            echoes = self.store.table("echoes")
+            mine, spent = changes.suppress_echoes(changes.relevant_changes(batch, registry), echoes)
+            sets = changes.change_sets(mine)
             outcomes = changes.label_outcomes(sets, messages, registry)
             labels = changes.apply_outcomes(labels, outcomes.withColumn("message_id", F.col("message_id").cast("string")))
             seen = labels.select("message_id").unionByName(pending.select("message_id"))
@@ -59,17 +66,33 @@ class ChangeConsumer:
             if not self.gate_open():
                 delta = fresh.select("message_id", F.col("seq").cast("string").alias("first_seen_history_id"), F.lit("immature").alias("reason"), "seq")
                 pending = keyed.insert_ignore(pending, delta, "message_id")
+            elif self.embed is not None:
+                parked = pending.select("message_id", F.col("first_seen_history_id").cast("bigint").alias("seq"))
+                index = keyed.index_join(self.store.table("embeddings"), labels).select(F.col("message_id").alias("id"), "vector", F.col("index_label").alias("label"))
+                results = live.classify_new(fresh.unionByName(parked), index, registry, self.embed).persist()
+                rejects, vectors = live.learnt(results)
+                labels = keyed.upsert(labels, rejects, "message_id", None)
+                tables["embeddings"] = keyed.upsert(self.store.table("embeddings"), vectors, "message_id", None)
+                tables["outbox"] = self.store.table("outbox").unionByName(live.outbox(results))
+                spent = spent.unionByName(results.where("applied").select("message_id"))
+                pending = pending.where("false")
             elif self.classify is not None:
                 # What was parked is classified with the new messages and leaves only in this very commit.
                 parked = pending.select("message_id", F.col("first_seen_history_id").cast("bigint").alias("seq"))
                 labels = keyed.upsert(labels, self.classify(fresh.unionByName(parked)), "message_id", None)
                 pending = pending.where("false")
             pending = keyed.delete(pending, outcomes.where("op in ('upsert', 'skip')").select(F.col("message_id").cast("string").alias("message_id")), "message_id")
+            if self.embed is not None:
+                corrected = outcomes.where("op in ('upsert', 'skip')").select(F.col("message_id").cast("string").alias("message_id"))
+                tables["embeddings"] = live.missing_vectors(corrected, tables.get("embeddings", self.store.table("embeddings")), self.embed)
+                tables["echoes"] = spent.distinct()
             last = batch.agg(F.max("seq")).first()[0]
             meta = self.store.with_meta({"last_processed_history_id": str(last), "last_processed_at": str(self.now_ms())})
-            self.store.commit({"labels": labels, "pending_new": pending, "meta": meta}, batch_id)
+            self.store.commit({**tables, "labels": labels, "pending_new": pending, "meta": meta}, batch_id)
         finally:
             batch.unpersist()
+            if results is not None:
+                results.unpersist()
 
     def start(self, spark: SparkSession, path: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
         """Runs over the files at path; without seconds it takes what is there and ends."""

@@ -176,3 +176,34 @@ def test_retries():
     assert waits == [5, 10, 20, 40, 60, 60]
     with pytest.raises(OSError):
         run_with_retries(lambda: Q(True), lambda e: False, waits.append)
+
+
+def test_consumer_goes_the_whole_way(spark, tmp_path):
+    """A new message is labelled and leaves through the outbox; its echo is ignored once; a far one becomes a reject."""
+    from labelflow.sources.store import SnapshotStore
+    from labelflow.streaming.pipeline import ChangeConsumer
+
+    store = SnapshotStore(spark, f"file://{tmp_path}/live")
+    near, far, odd = [1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]
+    vectors = {**{f"a{k}": near for k in range(6)}, **{f"s{k}": far for k in range(6)}, "new": near, "off": far, "moved": odd}
+    table = spark.createDataFrame(list(vectors.items()), "message_id string, vector array<float>")
+    store.commit({
+        "embeddings": table.where("message_id like 'a%' or message_id like 's%'"),
+        "labels": spark.createDataFrame([(f"a{k}", "A", "Alpha", "user") for k in range(6)] + [(f"s{k}", "__skip__", "__skip__", "auto") for k in range(6)], "message_id string, label_id string, label_name string, source string"),
+    })
+    labels = spark.createDataFrame([("A", "Alpha", False)], "label_id string, label_name string, is_excluded boolean")
+    messages = spark.createDataFrame([("new", ["INBOX"]), ("off", ["INBOX"]), ("moved", ["A"])], "message_id string, labels array<string>")
+    embed = lambda ids: table.join(ids.select("message_id"), "message_id", "left_semi")
+    consumer = ChangeConsumer(store, lambda: labels, lambda: messages, lambda: True, embed=embed)
+    event = "seq bigint, type string, message_id string, label_ids array<string>"
+    consumer.process(spark.createDataFrame([(1, "messagesAdded", "new", ["INBOX"]), (2, "messagesAdded", "off", ["INBOX"]), (3, "messagesAdded", "lost", ["INBOX"]), (4, "labelsAdded", "moved", ["A"])], event), 0)
+    rows = lambda name: {tuple(r) for r in store.table(name).collect()}
+    assert rows("outbox") == {("new", "A", "INBOX")} and rows("echoes") == {("new",)}
+    assert {r[0]: r[1] for r in rows("labels") if r[0] in vectors and r[0][0] not in "a" and len(r[0]) > 2} == {"off": "__skip__", "moved": "A"}
+    assert {r["message_id"] for r in store.table("embeddings").collect()} >= {"off", "moved"}
+    consumer.process(spark.createDataFrame([(5, "labelsAdded", "new", ["A"])], event), 1)
+    assert rows("echoes") == set() and not any(r[0] == "new" for r in rows("labels"))
+    consumer.process(spark.createDataFrame([(6, "labelsAdded", "new", ["A"])], event), 2)
+    assert ("new", "A", "Alpha", "user") in rows("labels")
+    version = store.version
+    assert store.vacuum() > 0 and store.version == version and ("new", "A", "Alpha", "user") in rows("labels") and store.vacuum() == 0
