@@ -11,27 +11,35 @@ dishes run side by side; their restaurant's number of tables is brought up to da
 alternate with passes over the root; discounts and strengths of both levels are drawn after each pass from their
 posterior by the usual auxiliary variables. Predictive probabilities are averaged over the steps of the last pass.
 
-Scale. Counts of tokens and pairs, the seats of every pair and the root's seats lie in tables that grow with the corpus;
-nothing is cut off. A pass joins the pairs with their tokens' root probabilities (a frequent token's pairs are dealt over
-many tasks), gathers them by context, and seats each context's customers in one row; a context with more than ROOM and
-more than 1/HOT of all customers has several rows, whose numbers of tables meet once a pass. Texts meet the seats in
-joins. The driver holds four parameters and the fewer than HOT frequent contexts.
+Scale. Everything grows with the corpus and nothing is cut off. A context belongs to a bucket of about 20 x ROOM
+customers; a bucket's words, pairs and seats are one block of compressed arrays, so that a pair takes a few bytes in a
+shuffle. A pass asks for the root's probability of each distinct word of a bucket, not of each pair, and seats a bucket's
+customers at once. A context with more than ROOM and more than 1/HOT of all customers is dealt over several buckets by
+its followers, and the numbers of tables there meet once a pass. Texts send their pairs to the buckets, which answer with
+sums for each text; words that a bucket doesn't know meet their root probability in a join. The driver holds four
+parameters and the fewer than HOT frequent contexts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from labelflow.llm.common import HOT, discard, folded_words, materialise, spread_join, with_row_id
+from labelflow.llm.common import HOT, discard, folded_words, materialise, spread_join, steady
 
-#: Tokens whose pairs a task counts before it hands them on, and customers of one row of a frequent context.
-FLUSH, ROOM = 4_000_000, 50_000
+#: Tokens whose pairs a task gathers before it hands them on, distinct words likewise, and customers that a bucket holds of
+#: one frequent context (a bucket holds BUCKET times as many customers).
+FLUSH, WORDS, ROOM, BUCKET = 2_000_000, 500_000, 50_000, 20
 #: The end of a text; words are never empty.
 END = ""
 
@@ -48,34 +56,141 @@ class _Ids(dict):
         return n
 
 
-def _pairs(words: _Ids, k: np.ndarray) -> list[pa.Array]:
-    """The previous token and the token of each key k = previous * len(words) + token."""
-    names = pa.array(list(words), pa.binary()).cast(pa.string())
-    return [names.take(pa.array(k // len(words))), names.take(pa.array(k % len(words)))]
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(w, n) over all texts: how often token w occurs. Each text ends with END."""
 
+    def run(batches):
+        seen = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                seen.update(folded_words(t))
+                seen[END.encode()] += 1
+                if len(seen) >= WORDS:
+                    yield out()
+                    seen = Counter()
+        yield out()
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(c, w, n) over all texts: how often token w follows token c. Each text ends with END, and END stands before it."""
+    return _texts(docs).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
-    def run(batches):
-        ids, held, size = _Ids(), [], 0
 
-        def out():
-            k, n = np.unique(np.concatenate([x[:-1] * len(ids) + x[1:] for x in held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([*_pairs(ids, k), pa.array(n, pa.int64())], names=["c", "w", "n"])
+def _pack(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as bytes: first the lowest byte of each, then the next, compressed."""
+    x = np.ascontiguousarray(x, kind)
+    return zstandard.ZstdCompressor().compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def _unpack(b: bytes, kind: str = "<u4") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1)
+    x = np.ascontiguousarray(x.T).view(kind).ravel()
+    return x.astype(np.int64) if kind == "<u4" else x
+
+
+def _ascending(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=0))
+
+
+def _pack_names(names: list[bytes]) -> bytes:
+    """Words hold no space; END is empty."""
+    return zstandard.ZstdCompressor().compress(b" ".join(names))
+
+
+def _unpack_names(b: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(b).split(b" ")
+
+
+class _Gathered:
+    """Texts as numbered tokens, until they are handed on to buckets."""
+
+    def __init__(self):
+        self.ids, self.texts, self.size = _Ids(), [], 0
+
+    def add(self, text: str) -> int:
+        words = [END.encode(), *folded_words(text), END.encode()]
+        self.texts.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+        self.size += len(words)
+        return len(words) - 1
+
+    def slices(self, buckets: int, parts: dict[bytes, int], c: np.ndarray, w: np.ndarray):
+        """(bucket, its places in c and w, its words, c and w as places in these)."""
+        names = list(self.ids)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        own = np.array([parts.get(x, 1) for x in names], np.uint64)
+        bucket = ((h[c] % np.uint64(buckets) + (h[w] >> np.uint64(32)) % own[c]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for lo, hi in zip(first, [*first[1:], len(order)]):
+            at = order[lo:hi]
+            used, inner = np.unique(np.concatenate([c[at], w[at]]), return_inverse=True)
+            yield int(bucket[order[lo]]), at, [names[k] for k in used], inner[: len(at)], inner[len(at) :]
+
+
+_BLOCK = pa.list_(pa.binary())
+_STATE = "bucket int, k int, w string, t double, block array<binary>, hot_c array<string>, hot_t array<double>, e array<double>"
+
 
+def _state(bucket: int, names: list[bytes], t: np.ndarray, block: list[bytes], hot: dict[str, float], e=(0.0,) * 4) -> pa.Table:
+    """A row for each word that follows another in the bucket, with its tables t there, and one with the block."""
+    n = len(t)
+    empty = lambda kind, last: pa.concat_arrays([pa.nulls(n, kind), pa.array([last], kind)])
+    return pa.Table.from_arrays(
+        [
+            pa.array(np.full(n + 1, bucket, np.int32)), pa.array(np.append(np.arange(n), -1).astype(np.int32)),
+            pa.concat_arrays([pa.array(names[:n], pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.append(t, 0.0).astype(float)),
+            empty(_BLOCK, block), empty(pa.list_(pa.string()), list(hot)), empty(pa.list_(pa.float64()), list(hot.values())), empty(pa.list_(pa.float64()), [float(x) for x in e]),
+        ],
+        names=["bucket", "k", "w", "t", "block", "hot_c", "hot_t", "e"],
+    )
+
+
+def pair_blocks(docs: DataFrame, buckets: int, parts: dict[str, int]) -> DataFrame:
+    """Blocks of pairs (previous token, token) with their counts: words (those that follow another first), contexts as
+    places in the words, and of each pair the context's place, the word's place and the count; no seats yet. END stands
+    before each text. A frequent context's followers are dealt over `parts` buckets."""
+    parts = {c.encode(): n for c, n in parts.items()}
+
+    def gather(batches):
+        def out(g):
+            k, n = np.unique(np.concatenate([x[:-1] * len(g.ids) + x[1:] for x in g.texts]), return_counts=True)
+            rows = [(b, [_pack_names(names), _ascending(c), _pack(w), _pack(n[at])]) for b, at, names, c, w in g.slices(buckets, parts, k // len(g.ids), k % len(g.ids))]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], _BLOCK)], names=["bucket", "block"])
+
+        g = _Gathered()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                words = [END.encode(), *folded_words(t), END.encode()]
-                held.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-                size += len(words)
-                if size >= FLUSH:
-                    yield out()
-                    ids, held, size = _Ids(), [], 0
-        if held:
-            yield out()
-
-    return _texts(docs).mapInArrow(run, "c string, w string, n bigint").groupBy("c", "w").agg(F.sum("n").alias("n"))
+                g.add(t)
+                if g.size >= FLUSH:
+                    yield out(g)
+                    g = _Gathered()
+        if g.texts:
+            yield out(g)
+
+    def merge(table: pa.Table) -> pa.Table:
+        ids, c, w, n = _Ids(), [], [], []
+        for names, cs, ws, ns in table.column("block").to_pylist():
+            names = _unpack_names(names)
+            at = np.fromiter(map(ids.__getitem__, names), np.int64, len(names))
+            c.append(at[np.cumsum(_unpack(cs))]), w.append(at[_unpack(ws)]), n.append(_unpack(ns))
+        key = np.concatenate(c) * len(ids) + np.concatenate(w)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        key, n = key[order[first]], np.add.reduceat(np.concatenate(n)[order], first)
+        c, w = key // len(ids), key % len(ids)
+        follow, own = np.unique(w), np.unique(c)
+        place = np.full(len(ids), -1)
+        place[follow] = np.arange(len(follow))
+        rest = own[place[own] < 0]
+        place[rest] = len(follow) + np.arange(len(rest))
+        names = list(ids)
+        names = [names[k] for k in [*follow, *rest]]
+        house = np.searchsorted(own, c)
+        block = [_pack_names(names), _pack(place[own]), _ascending(house), _pack(place[w]), _pack(n), b"", b""]
+        many = np.bincount(house)
+        hot = {names[place[o]].decode(): float(many[k]) for k, o in enumerate(own) if names[place[o]] in parts}
+        return _state(table.column("bucket")[0].as_py(), names, np.bincount(place[w], minlength=len(follow)), block, hot)
+
+    return _texts(docs).mapInArrow(gather, "bucket int, block array<binary>").groupBy("bucket").applyInArrow(merge, _STATE)
 
 
 def seat(customers: np.ndarray, mass: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -197,50 +312,117 @@ class Model:
     n_train: int
     n_types: int
     unknown: float  # the root's probability of the unknown token, and its share of every other's
-    seats: DataFrame  # c, w, n_w, gain, weight, root: a pair's probability is gain + weight * root
-    weights: DataFrame  # c, weight: how much of a context's probability goes by the root
+    blocks: DataFrame  # bucket, block: _Fitted
     words: DataFrame  # w, n, root: the tokens' counts and root probabilities
+    buckets: int
+    parts: dict[str, int]  # over how many buckets a frequent context's followers are dealt
+    frequent: dict[str, tuple[float, float]]  # a frequent context's weight and customers
+    d: float
+    strength: float
 
+    def _rows(self, kind: str, rows) -> DataFrame:
+        frequent, d, strength = {c.encode(): x for c, x in self.frequent.items()}, self.d, self.strength
 
-def _sat(batch: pa.RecordBatch, elsewhere: dict, d: float, strength: float, rng) -> tuple[Seats, np.ndarray, np.ndarray]:
-    """Seats of rows (c, room, lists of n, p, sizes); also the row of each dish and whether a row is a whole context."""
-    flat = lambda x: batch.column(x).flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("n").offsets.to_numpy()))
-    known = [elsewhere.get(c) for c in batch.column("c").to_pylist()]
-    whole = np.array([k is None for k in known], bool)
-    n, p, sizes = flat("n"), flat("p"), batch.column("sizes").flatten()
-    t = np.diff(sizes.offsets.to_numpy())
-    started = (sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), t) if t.sum() else None
-    mine = np.bincount(row, t if t.sum() else np.ones(len(n)), batch.num_rows)
-    others = np.array([0.0 if k is None else max(0.0, k[1] - m) for k, m in zip(known, mine)])
-    return Seats(n, row, p, others, d, strength, rng, started), row, whole
+        def run(batches):
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    yield rows(_Fitted(block, frequent, d, strength))
+
+        return self.blocks.select("block").mapInArrow(run, kind)
+
+    @property
+    def seats(self) -> DataFrame:
+        """c, w, gain, weight, root of every pair seen: its probability is gain + weight * root."""
+
+        def rows(b: _Fitted) -> pa.RecordBatch:
+            names = pa.array(b.names, pa.binary()).cast(pa.string())
+            cols = [names.take(pa.array(b.own[b.house])), names.take(pa.array(b.w)), *map(pa.array, (b.gain, b.weight[b.house], b.p[b.w]))]
+            return pa.RecordBatch.from_arrays(cols, names=["c", "w", "gain", "weight", "root"])
+
+        return self._rows("c string, w string, gain double, weight double, root double", rows)
+
+    @property
+    def weights(self) -> DataFrame:
+        """c, weight of every context: how much of its probability goes by the root."""
+
+        def rows(b: _Fitted) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b.names[k] for k in b.own], pa.binary()).cast(pa.string()), pa.array(b.weight)], names=["c", "weight"])
+
+        return self._rows("c string, weight double", rows).groupBy("c").agg(F.max("weight").alias("weight"))
+
+
+class _Fitted:
+    """A bucket's block after the last pass: the predictive probabilities of its pairs."""
+
+    def __init__(self, block: list[bytes], frequent: dict[bytes, tuple[float, float]], d: float, strength: float):
+        self.names = _unpack_names(block[0])
+        self.own, self.house, self.w = _unpack(block[1]), np.cumsum(_unpack(block[2])), _unpack(block[3])
+        n, mean, tables = _unpack(block[4]), _unpack(block[5], "<f8"), _unpack(block[6], "<f8")
+        self.p, self.n_w = _unpack(block[7], "<f8"), _unpack(block[8], "<i8")
+        customers = np.bincount(self.house, n, len(self.own))
+        self.weight = np.zeros(len(self.own))
+        for k, o in enumerate(self.own):
+            if self.names[o] in frequent:
+                self.weight[k], customers[k] = frequent[self.names[o]]
+        here = self.weight == 0
+        self.weight[here] = ((strength + d * tables) / (strength + customers))[here]
+        self.gain = (n - d * mean) / (strength + customers[self.house])
+
+
+def _seated(bucket: int, left: pa.Table, right: pa.Table, hot: dict, d: float, strength: float, seed: list[int], steps: int, last: bool) -> pa.Table:
+    """_state rows of a bucket after one pass. left: its block; right: (k, n_w, p) of its words; hot: customers and
+    tables of the frequent contexts."""
+    names, own, house, w, n, t, sizes = left.column("block")[0].as_py()
+    names, own, house, w, n = _unpack_names(names), _unpack(own), np.cumsum(_unpack(house)), _unpack(w), _unpack(n)
+    words = int(w.max()) + 1
+    p, n_w, k = np.zeros(words), np.zeros(words, np.int64), right.column("k").to_numpy()
+    p[k], n_w[k] = right.column("p").to_numpy(), right.column("n_w").to_numpy()
+    started = (_unpack(sizes), _unpack(t)) if t else None
+    mine = np.bincount(house, started[1] if t else None, len(own))
+    at = {k: names[o].decode() for k, o in enumerate(own) if names[o].decode() in hot}
+    whole, others = np.ones(len(own), bool), np.zeros(len(own))
+    for h, c in at.items():
+        whole[h], others[h] = False, max(0.0, hot[c][1] - mine[h])
+    s = Seats(n, house, p[w], others, d, strength, np.random.default_rng([*seed, bucket]), started)
+    mean, tables, kept = np.zeros(len(n)), np.zeros(len(own)), 0
+    for step in range(steps):
+        s.step()
+        if last and 2 * step >= steps:
+            mean, tables, kept = mean + s.t, tables + s.tables, kept + 1
+    flat, now = s.sizes()
+    mean, tables = (mean / kept, tables / kept) if kept else (now.astype(float), s.tables.astype(float))
+    here = np.bincount(house, mean, len(own))
+    block = [*left.column("block")[0].as_py()[:5], *([_pack(mean, "<f8"), _pack(tables, "<f8"), _pack(p, "<f8"), _pack(n_w, "<i8")] if last else [_pack(now), _pack(flat)])]
+    return _state(bucket, names, np.bincount(w, mean, words), block, {c: here[h] for h, c in at.items()}, s.evidence(whole))
 
 
 def fit(train: DataFrame, seed: int = 7, passes: int = 3, steps: int = 24, room: int = ROOM) -> tuple[Model, DataFrame]:
     """The model and the table (w, n, root) of all tokens. train: rows with a text; a null text is an empty one, repeated
     rows count each, and texts count whole, however long. Without any row every token is unknown. Each pass makes `steps`
     Gibbs steps in all contexts and in the root; the last pass averages over the second half of its steps."""
-    spark = train.sparkSession
     rng = np.random.default_rng(seed)
-    pairs = materialise(pair_counts(train), "pair_counts")
-    words = materialise(pairs.groupBy("w").agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("t")), "token_counts")
-    n_train, n_types, guests = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
+    counts = materialise(token_counts(train), "token_counts")
+    n_train, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     base = 1 / (n_types + 1)
-    # Contexts of several rows: fewer than HOT. Their customers are those of the token of that name.
-    room = max(room, n_train // HOT)
-    hot = {w: [int(n), 0.0] for w, n in words.where(F.col("n") > room).select("w", "n").collect()}
-    hot_rows = spark.createDataFrame([(c, n) for c, (n, _) in hot.items()], "c string, n_hot bigint")
+    # A context has as many customers as the token of its name; fewer than HOT contexts are frequent.
+    buckets = 1 + n_train // (BUCKET * room)
+    hot = {w: [int(n), 0.0] for w, n in counts.where(F.col("n") > max(room, n_train // HOT)).select("w", "n").collect()}
+    parts = {c: min(buckets, 1 + n // room) for c, (n, _) in hot.items()}
     d, strength, d0, strength0 = 0.7, 5.0, 0.6, 20.0
-    state = pairs.withColumn("sizes", F.array().cast("array<int>"))
+    state = materialise(pair_blocks(train, buckets, parts), "pairs")
     root_tables = 0.0
 
-    def root_pass(words, first: bool, last: bool):
-        """Seats the root's customers; (w, n, t, sizes, mean) and its number of tables."""
+    def meet() -> None:
+        for c, t in state.where("k < 0").select(F.explode(F.arrays_zip("hot_c", "hot_t")).alias("h")).groupBy("h.hot_c").agg(F.sum("h.hot_t")).collect():
+            hot[c][1] = float(t)
+
+    def root_pass(words: DataFrame, number: int) -> DataFrame:
+        """Seats the root's customers: (w, n, t, mean, now, z)."""
         args = d0, strength0, root_tables
 
         def run(batches):
             d0, strength0, tables = args
-            draw = np.random.default_rng([seed, 1, TaskContext.get().partitionId()])
+            draw = np.random.default_rng([seed, 1, number, TaskContext.get().partitionId()])
             for batch in batches:
                 guests = batch.column("t").to_numpy().round().astype(np.int64)
                 # Of the root's tables those of other rows stay as they were; a table a dish is the first guess.
@@ -252,85 +434,85 @@ def fit(train: DataFrame, seed: int = 7, passes: int = 3, steps: int = 24, room:
                     if 2 * k >= steps:
                         mean += s.t
                 mean /= steps - (steps + 1) // 2
-                e = s.evidence(np.zeros(1, bool))
                 z = np.zeros(len(guests))
-                z[:1] = e[0]
+                z[:1] = s.evidence(np.zeros(1, bool))[0]
                 yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("n"), pa.array(guests.astype(float)), pa.array(mean), pa.array(s.t), pa.array(z)], names=["w", "n", "t", "mean", "now", "z"])
 
-        return materialise(words.select("w", "n", "t").mapInArrow(run, "w string, n bigint, t double, mean double, now bigint, z double"), "root")
+        return materialise(words.mapInArrow(run, "w string, n bigint, t double, mean double, now bigint, z double"), "root")
 
-    def seating(last: bool):
-        args = d, strength, dict(hot)
-
-        def run(batches):
-            d, strength, elsewhere = args
-            draw = np.random.default_rng([seed, 2, TaskContext.get().partitionId()])
-            for batch in batches:
-                s, row, whole = _sat(batch, elsewhere, d, strength, draw)
-                mean, tables, kept = np.zeros(len(s.n)), np.zeros(batch.num_rows), 0
-                for k in range(steps):
-                    s.step()
-                    if last and 2 * k >= steps:
-                        mean, tables, kept = mean + s.t, tables + s.tables, kept + 1
-                flat, t = s.sizes()
-                e = np.zeros((4, len(s.n)))
-                e[:, :1] = s.evidence(whole)[:, None]
-                mean, tables = (mean / kept, tables / kept) if kept else (s.t.astype(float), s.tables)
-                customers = np.array([(elsewhere.get(c) or [n])[0] for c, n in zip(batch.column("c").to_pylist(), np.bincount(row, s.n, batch.num_rows))], float)
-                sizes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(t)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
-                gain, weight = (s.n - d * mean) / (strength + customers[row]), (strength + d * tables[row]) / (strength + customers[row])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("c").take(pa.array(row)), batch.column("w").flatten(), pa.array(s.n), batch.column("n_w").flatten(), batch.column("p").flatten(), sizes, pa.array(mean), pa.array(gain), pa.array(weight), *map(pa.array, e)],
-                    names=["c", "w", "n", "n_w", "p", "sizes", "mean", "gain", "weight", "z", "e1", "e2", "e3"],
-                )
-
-        return run
+    def seating(number: int):
+        args = dict(hot), d, strength, [seed, 2, number], steps, number == passes - 1
+        return lambda key, left, right: _seated(key[0].as_py(), left, right, *args)
 
+    meet()
     for number in range(passes):
-        last = number == passes - 1
         # The root, given the contexts' tables.
-        root = root_pass(words, number == 0, last)
+        guests_of = state.where("k >= 0").select("w", F.lit(0).cast("bigint").alias("n"), "t").unionByName(counts.select("w", "n", F.lit(0.0).alias("t")))
+        root = root_pass(guests_of.groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), number)
         guests, opened, tables, z = root.agg(*[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)) for c in ("t", "mean", "now", "z")]).first()
-        if guests:
-            e = _strength_evidence(np.array([guests]), np.array([int(tables)]), d0, strength0, rng)
-            used = d0, strength0
-            if not last:
-                d0, strength0 = draw_parameters(np.array([z, *e]), rng)
-        else:
-            used = d0, strength0
+        used = d0, strength0
+        if guests and number < passes - 1:
+            d0, strength0 = draw_parameters(np.array([z, *_strength_evidence(np.array([guests]), np.array([int(tables)]), d0, strength0, rng)]), rng)
         root_tables = tables
         unknown = (used[1] + used[0] * opened) / (used[1] + guests) * base if guests else 1.0
         probability = root.select("w", F.col("n").alias("n_w"), ((F.col("t") - used[0] * F.col("mean")) / (used[1] + guests) + unknown).alias("p"))
-        # The contexts, given the root.
-        met = spread_join(state.select("c", "w", "n", "sizes"), probability, ["w"], ["c"])
-        part = F.when(F.col("n_hot").isNotNull(), F.pmod(F.xxhash64("w"), 1 + F.floor(F.col("n_hot") / room))).otherwise(F.lit(0)).alias("room")
-        rows = met.join(F.broadcast(hot_rows), "c", "left").groupBy("c", part).agg(F.collect_list(F.struct("w", "n", "n_w", "p", "sizes")).alias("l"))
-        if number == 0 and hot:
-            for c, t in pairs.join(F.broadcast(hot_rows), "c").groupBy("c").agg(F.count(F.lit(1))).collect():
-                hot[c][1] = float(t)
-        schema = "c string, w string, n bigint, n_w bigint, p double, sizes array<int>, mean double, gain double, weight double, z double, e1 double, e2 double, e3 double"
-        old = [root, words] + ([state] if number else [])
-        state = materialise(rows.select("c", *[F.col(f"l.{x}").alias(x) for x in ("w", "n", "n_w", "p", "sizes")]).mapInArrow(seating(last), schema), "seats")
-        if hot:
-            for c, t in state.join(F.broadcast(hot_rows), "c").groupBy("c").agg(F.sum("mean" if last else F.size("sizes"))).collect():
-                hot[c][1] = float(t)
-        if last:
+        # The contexts, given the root. A word is asked for once a bucket.
+        met = state.where("k >= 0").select("bucket", "k", "w").join(probability, "w").select("bucket", "k", "n_w", "p")
+        blocks = state.where("k < 0").select(F.col("bucket").alias("of"), "block")
+        old, state = [state, root], materialise(blocks.groupBy("of").cogroup(met.groupBy("bucket")).applyInArrow(seating(number), _STATE), "seats")
+        meet()
+        if number == passes - 1:
             break
-        evidence = np.array([float(x or 0) for x in state.agg(*[F.sum(c) for c in ("z", "e1", "e2", "e3")]).first()])
+        evidence = np.array([float(x or 0) for x in state.where("k < 0").agg(*[F.sum(F.col("e")[k]) for k in range(4)]).first()])
         if hot:
             evidence[1:] += _strength_evidence(np.array([n for n, _ in hot.values()]), np.array([int(t) for _, t in hot.values()]), d, strength, rng)
         d, strength = draw_parameters(evidence, rng)
-        words = materialise(state.groupBy("w").agg(F.first("n_w").alias("n"), F.sum(F.size("sizes")).cast("double").alias("t")), "guests")
         discard(*old)
     table = materialise(probability.select("w", F.col("n_w").alias("n"), F.col("p").alias("root")), "words")
-    seats = state.select("c", "w", "n_w", "gain", "weight", F.col("p").alias("root"))
-    if hot:
-        # A context's weight is the same in all its rows.
-        weight = spark.createDataFrame([(c, (strength + d * t) / (strength + n)) for c, (n, t) in hot.items()], "c string, of_all double")
-        seats = seats.join(F.broadcast(weight), "c", "left").withColumn("weight", F.coalesce("of_all", "weight")).drop("of_all")
-    weights = materialise(seats.groupBy("c").agg(F.max("weight").alias("weight")), "weights")
-    discard(pairs)
-    return Model(int(n_train), int(n_types), float(unknown), seats, weights, table), table
+    discard(counts, *old)
+    frequent = {c: ((strength + d * t) / (strength + n), float(n)) for c, (n, t) in hot.items()}
+    return Model(int(n_train), int(n_types), float(unknown), state.where("k < 0").select("bucket", "block"), table, buckets, parts, frequent, d, strength), table
+
+
+def _answered(left: pa.Table, right: pa.Table, schema: pa.Schema, fitted) -> pa.Table:
+    """Sums of a bucket's pairs for each text that sent some, tokens that the bucket doesn't know, and rows (ids, tokens)
+    as they came. left: requests; right: the bucket's block, if it has one."""
+    log, weights, unigram = np.log10, fitted[0], fitted[2]
+    b = _Fitted(right.column("block")[0].as_py(), weights, *fitted[1]) if right.num_rows else None
+    look = {x: k for k, x in enumerate(b.names)} if b else {}
+    known = len(b.p) if b else 0
+    house_of = np.full(len(look) + 1, -1)
+    if b:
+        house_of[b.own] = np.arange(len(b.own))
+        key = b.house * known + b.w
+    out = [left.filter(pa.compute.is_valid(left.column("ids"))).select(["flush", "ids", "tokens"])]
+    sums, unmet = [], []
+    asked = left.filter(pa.compute.is_valid(left.column("block")))
+    for flush, (words, text, c, w) in zip(asked.column("flush").to_pylist(), asked.column("block").to_pylist()):
+        words, text, c, w = _unpack_names(words), np.cumsum(_unpack(text)), _unpack(c), _unpack(w)
+        at = np.fromiter((look.get(x, -1) for x in words), np.int64, len(words))
+        h, v = house_of[at[c]], at[w]
+        share = np.ones(len(c))
+        if b:
+            share = np.where(h >= 0, b.weight[h], 1.0)
+        often = np.array([weights[x][0] if x in weights else 0.0 for x in words])[c]
+        share = np.where(often > 0, often, share)
+        met = (v >= 0) & (v < known)
+        if met.any():
+            k = h[met] * known + v[met]
+            pos = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            p = share[met] * b.p[v[met]] + np.where((h[met] >= 0) & (key[pos] == k), b.gain[pos], 0.0)
+            texts, inner = np.unique(text[met], return_inverse=True)
+            sums.append((flush, [_ascending(texts), _pack(np.bincount(inner)), _pack(np.bincount(inner, unigram(b.n_w[v[met]])), "<f8"), _pack(np.bincount(inner, log(p)), "<f8")]))
+        if not met.all():
+            off = np.flatnonzero(~met)
+            unmet.append((np.full(len(off), flush), text[off], [words[k] for k in w[off]], share[off]))
+    out.append(pa.table([pa.array([f for f, _ in sums], pa.int64()), pa.array([x for _, x in sums], _BLOCK)], names=["flush", "block"]))
+    if unmet:
+        f, k, x, share = (np.concatenate(y) for y in zip(*unmet))
+        out.append(pa.table([pa.array(f), pa.array(k.astype(np.int32)), pa.array(x.tolist(), pa.binary()).cast(pa.string()), pa.array(share)], names=["flush", "k", "w", "weight"]))
+    whole = [pa.Table.from_arrays([t.column(f.name).cast(f.type) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in schema], schema=schema) for t in out]
+    return pa.concat_tables(whole)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -342,50 +524,65 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     m = model
     floor = float(m.n_train + m.n_types + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
+    buckets, parts = m.buckets, {c.encode(): n for c, n in m.parts.items()}
+    fitted = {c.encode(): x for c, x in m.frequent.items()}, (m.d, m.strength), lambda n: np.log10((n + 1) / floor)
+
+    def ask(batches):
+        """Of some texts at a time: a row with their doc_ids and numbers of tokens, and their pairs for each bucket."""
+        first = TaskContext.get().partitionId() << 32
+
+        def out(g, ids, n, flush):
+            c, w = (np.concatenate([x[a:b] for x in g.texts]) for a, b in ((0, -1), (1, None)))
+            text = np.repeat(np.arange(len(n)), n)
+            rows = [(b, [_pack_names(names), _ascending(text[at]), _pack(c), _pack(w)]) for b, at, names, c, w in g.slices(buckets, parts, c, w)]
+            ids = pa.chunked_array(ids).combine_chunks()
+            own = lambda x: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x), pa.nulls(len(rows), pa.list_(x.type))])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([flush % buckets, *(b for b, _ in rows)], pa.int32()), pa.array(np.full(len(rows) + 1, flush)), pa.array([None, *(x for _, x in rows)], _BLOCK), own(ids), own(pa.array(n, pa.int32()))],
+                names=["bucket", "flush", "block", "ids", "tokens"],
+            )
+
+        g, ids, n, flush = _Gathered(), [], [], first
         for batch in batches:
-            rows, docs_, texts = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_pylist()
-            at = 0
-            while at < len(texts):
-                first, ids, size, held = at, _Ids(), 0, []
-                while at < len(texts) and size < FLUSH // 8:
-                    words = [END.encode(), *folded_words(texts[at]), END.encode()]
-                    held.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-                    size, at = size + len(words), at + 1
-                found = [np.unique(x[:-1] * len(ids) + x[1:], return_counts=True) for x in held]
-                k, n, of = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), np.repeat(np.arange(first, at), [len(x) for x, _ in found])
-                own, none = at - first, pa.nulls(at - first, pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([rows[first:at], rows[of]])), pa.concat_arrays([docs_.slice(first, own), pa.nulls(len(k), docs_.type)]),
-                        *[pa.concat_arrays([none, x]) for x in _pairs(ids, k)], pa.array(np.concatenate([[len(x) - 1 for x in held], n]).astype(np.int64)),
-                    ],
-                    names=["_row", "doc_id", "c", "w", "times"],
-                )
-
-    # Of each text one row without a pair, and one row per pair.
-    parts = with_row_id(_texts(docs, "doc_id")).select("_row", "doc_id", "_text").mapInArrow(run, f"_row bigint, doc_id {kind}, c string, w string, times bigint")
-    # A text's own row has a key that no pair has (it holds a space), spread over all tasks.
-    spread = parts.withColumn("own", F.col("w").isNull()).withColumn("w", F.coalesce("w", F.concat(F.lit(" "), F.col("_row").cast("string")))).withColumn("c", F.coalesce("c", F.lit("")))
-    joined = spread.join(m.seats, ["c", "w"], "left")
-    unigram = lambda n: F.log10((n + 1) / F.lit(floor))
-    seen = F.col("gain").isNotNull()
-    sums = lambda known, base, mine: (F.sum(known).alias("known"), F.sum(base).alias("base"), F.sum(mine).alias("mine"))
-    # Pairs that no training text has are gathered by text, to meet their context's and their token's rows on their own.
-    once = joined.groupBy("_row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum(F.when(F.col("own"), F.col("times"))).alias("n_tokens"),
-        *sums(F.when(seen, F.col("times")), F.when(seen, F.col("times") * unigram(F.col("n_w"))), F.when(seen, F.col("times") * F.log10(F.col("gain") + F.col("weight") * F.col("root")))),
-        F.collect_list(F.when(~seen & ~F.col("own"), F.struct("c", "w", "times"))).alias("new"),
-    )
-    once = materialise(once, "scored")
-    new = once.select("_row", F.explode("new").alias("e")).select("_row", "e.*")
-    new = materialise(spread_join(new, m.weights, ["c"], ["_row", "w"], "left"), "new")
-    new = spread_join(new, m.words, ["w"], ["_row", "c"], "left")
-    p = F.coalesce("weight", F.lit(1.0)) * F.coalesce("root", F.lit(m.unknown))
-    lone = new.groupBy("_row").agg(*sums(F.when(F.col("n").isNotNull(), F.col("times")), F.col("times") * unigram(F.coalesce("n", F.lit(0))), F.col("times") * F.log10(p)))
-    zero = lambda x: F.coalesce(f"once.{x}", F.lit(0)) + F.coalesce(f"lone.{x}", F.lit(0))
-    return (
-        once.drop("new").alias("once").join(lone.alias("lone"), "_row", "left")
-        .select("doc_id", "n_tokens", zero("known").alias("n_known"), F.lit(m.n_train).cast("bigint").alias("train_tokens"), zero("base").alias("base_score"), zero("mine").alias("score"))
-    )
+            lo = 0
+            for k, t in enumerate(batch.column(1).to_pylist(), 1):
+                n.append(g.add(t))
+                if g.size >= FLUSH:
+                    yield out(g, [*ids, batch.column(0).slice(lo, k - lo)], n, flush)
+                    g, ids, n, flush, lo = _Gathered(), [], [], flush + 1, k
+            if lo < batch.num_rows:
+                ids.append(batch.column(0).slice(lo))
+        if n:
+            yield out(g, ids, n, flush)
+
+    asked = _texts(steady(docs), "doc_id").mapInArrow(ask, f"bucket int, flush bigint, block array<binary>, ids array<{kind}>, tokens array<int>")
+    form = f"flush bigint, block array<binary>, ids array<{kind}>, tokens array<int>, k int, w string, weight double"
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    schema = pa.schema([("flush", pa.int64()), ("block", _BLOCK), ("ids", pa.list_(id_type)), ("tokens", pa.list_(pa.int32())), ("k", pa.int32()), ("w", pa.string()), ("weight", pa.float64())])
+    answer = lambda left, right: _answered(left, right, schema, fitted)
+    answers = materialise(asked.groupBy("bucket").cogroup(m.blocks.groupBy("bucket")).applyInArrow(answer, form), "answers")
+    # Tokens that their bucket doesn't know meet their own rows.
+    new = materialise(answers.where("w is not null").select("flush", "k", "w", "weight"), "new")
+    new = spread_join(new, m.words, ["w"], ["flush", "k"], "left")
+    one = lambda x: F.coalesce("n", F.lit(0)) + x
+    alone = new.groupBy("flush", "k").agg(
+        F.count("n").alias("known"), F.sum(F.log10(one(1) / F.lit(floor))).alias("base"), F.sum(F.log10(F.col("weight") * F.coalesce("root", F.lit(m.unknown)))).alias("mine")
+    )
+    parts_of = answers.where("w is null").select("flush", "block", "ids", "tokens").unionByName(alone, allowMissingColumns=True)
+
+    def total(table: pa.Table) -> pa.Table:
+        rows = table.filter(pa.compute.is_valid(table.column("ids")))
+        ids, tokens = rows.column("ids").combine_chunks().flatten(), rows.column("tokens").combine_chunks().flatten()
+        sums = np.zeros((3, len(tokens)))
+        for block in table.column("block").to_pylist():
+            if block:
+                at = np.cumsum(_unpack(block[0]))
+                for k, (b, form) in enumerate(zip(block[1:], ("<u4", "<f8", "<f8"))):
+                    sums[k, at] += _unpack(b, form)
+        lone = table.filter(pa.compute.is_valid(table.column("k")))
+        for k, name in enumerate(("known", "base", "mine")):
+            sums[k, lone.column("k").to_numpy()] += lone.column(name).to_numpy()
+        return pa.table([ids, tokens.cast(pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = parts_of.groupBy("flush").applyInArrow(total, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(m.n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
