@@ -11,13 +11,14 @@ dishes run side by side; their restaurant's number of tables is brought up to da
 alternate with passes over the root; discounts and strengths of both levels are drawn after each pass from their
 posterior by the usual auxiliary variables. Predictive probabilities are averaged over the steps of the last pass.
 
-Scale. Everything grows with the corpus and nothing is cut off. A context belongs to a bucket of about 20 x ROOM
+Scale. Everything grows with the corpus and nothing is cut off. A context belongs to a bucket of about BUCKET x ROOM
 customers; a bucket's words, pairs and seats are one block of compressed arrays, so that a pair takes a few bytes in a
-shuffle. A pass asks for the root's probability of each distinct word of a bucket, not of each pair, and seats a bucket's
-customers at once. A context with more than ROOM and more than 1/HOT of all customers is dealt over several buckets by
-its followers, and the numbers of tables there meet once a pass. Texts send their pairs to the buckets, which answer with
-sums for each text; words that a bucket doesn't know meet their root probability in a join. The driver holds four
-parameters and the fewer than HOT frequent contexts.
+shuffle. The root's customers lie in parts by a hash of the word; in each pass a bucket sends every part the tables of its
+words, and the part answers with the root's, both as compressed arrays again, once a word of a bucket, not once a pair. A
+context with more than ROOM and more than 1/HOT of all customers is dealt over several buckets by its followers, and the
+numbers of tables there meet once a pass. Texts send their pairs to the buckets, which answer with sums for each text;
+words that a bucket doesn't know meet their root probability in a join. The driver holds four parameters and the fewer
+than HOT frequent contexts.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from labelflow.llm.common import HOT, discard, folded_words, materialise, spread
 #: Tokens whose pairs a task gathers before it hands them on, distinct words likewise, and customers that a bucket holds of
 #: one frequent context (a bucket holds BUCKET times as many customers).
 FLUSH, WORDS, ROOM, BUCKET = 2_000_000, 500_000, 50_000, 20
+#: Distinct words of a part of the root's customers (about).
+ROOT = 200_000
 #: The end of a text; words are never empty.
 END = ""
 
@@ -118,33 +121,49 @@ class _Gathered:
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
         own = np.array([parts.get(x, 1) for x in names], np.uint64)
         bucket = ((h[c] % np.uint64(buckets) + (h[w] >> np.uint64(32)) % own[c]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        # numpy sorts 16-bit numbers by radix.
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
         first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        place = np.zeros(len(names), np.int64)
         for lo, hi in zip(first, [*first[1:], len(order)]):
             at = order[lo:hi]
-            used, inner = np.unique(np.concatenate([c[at], w[at]]), return_inverse=True)
-            yield int(bucket[order[lo]]), at, [names[k] for k in used], inner[: len(at)], inner[len(at) :]
+            here = np.zeros(len(names), bool)
+            here[c[at]] = here[w[at]] = True
+            used = np.flatnonzero(here)
+            place[used] = np.arange(len(used))
+            yield int(bucket[order[lo]]), at, [names[k] for k in used.tolist()], place[c[at]], place[w[at]]
 
 
 _BLOCK = pa.list_(pa.binary())
-_STATE = "bucket int, k int, w string, t double, block array<binary>, hot_c array<string>, hot_t array<double>, e array<double>"
+_STATE = "bucket int, block array<binary>, part int, guests array<binary>, hot_c array<string>, hot_t array<double>, e array<double>"
 
 
-def _state(bucket: int, names: list[bytes], t: np.ndarray, block: list[bytes], hot: dict[str, float], e=(0.0,) * 4) -> pa.Table:
-    """A row for each word that follows another in the bucket, with its tables t there, and one with the block."""
-    n = len(t)
-    empty = lambda kind, last: pa.concat_arrays([pa.nulls(n, kind), pa.array([last], kind)])
+def _part(name: bytes, parts: int) -> int:
+    """Which part of the root's customers a word is in."""
+    return (xxhash.xxh3_64_intdigest(name) >> 48) % parts
+
+
+def _state(bucket: int, block: list[bytes], guests: list[tuple[int, list[bytes]]], hot: dict[str, float], e=(0.0,) * 4) -> pa.Table:
+    """A row with a bucket's block, and one for each part of the words that follow another in it: the words, their tables
+    there, and their customers."""
+    n = len(guests)
+    first = lambda x, kind: pa.array([x, *[None] * n], kind)
     return pa.Table.from_arrays(
         [
-            pa.array(np.full(n + 1, bucket, np.int32)), pa.array(np.append(np.arange(n), -1).astype(np.int32)),
-            pa.concat_arrays([pa.array(names[:n], pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.append(t, 0.0).astype(float)),
-            empty(_BLOCK, block), empty(pa.list_(pa.string()), list(hot)), empty(pa.list_(pa.float64()), list(hot.values())), empty(pa.list_(pa.float64()), [float(x) for x in e]),
+            pa.array(np.full(n + 1, bucket, np.int32)), first(block, _BLOCK), pa.array([None, *(p for p, _ in guests)], pa.int32()), pa.array([None, *(x for _, x in guests)], _BLOCK),
+            first(list(hot), pa.list_(pa.string())), first(list(hot.values()), pa.list_(pa.float64())), first([float(x) for x in e], pa.list_(pa.float64())),
         ],
-        names=["bucket", "k", "w", "t", "block", "hot_c", "hot_t", "e"],
+        names=["bucket", "block", "part", "guests", "hot_c", "hot_t", "e"],
     )
 
 
-def pair_blocks(docs: DataFrame, buckets: int, parts: dict[str, int]) -> DataFrame:
+def _guests(names: list[bytes], tables: np.ndarray, customers: np.ndarray, parts: list[int], sizes: list[int]) -> list[tuple[int, list[bytes]]]:
+    """Words, which stand in the order of their parts, cut by part."""
+    ends = np.cumsum(sizes)
+    return [(p, [_pack_names(names[b - n : b]), _pack(tables[b - n : b]), _pack(customers[b - n : b])]) for p, n, b in zip(parts, sizes, ends.tolist())]
+
+
+def pair_blocks(docs: DataFrame, buckets: int, parts: dict[str, int], root_parts: int) -> DataFrame:
     """Blocks of pairs (previous token, token) with their counts: words (those that follow another first), contexts as
     places in the words, and of each pair the context's place, the word's place and the count; no seats yet. END stands
     before each text. A frequent context's followers are dealt over `parts` buckets."""
@@ -172,23 +191,33 @@ def pair_blocks(docs: DataFrame, buckets: int, parts: dict[str, int]) -> DataFra
             names = _unpack_names(names)
             at = np.fromiter(map(ids.__getitem__, names), np.int64, len(names))
             c.append(at[np.cumsum(_unpack(cs))]), w.append(at[_unpack(ws)]), n.append(_unpack(ns))
-        key = np.concatenate(c) * len(ids) + np.concatenate(w)
+        # Words in the order of their part of the root.
+        names = list(ids)
+        part = np.fromiter((_part(x, root_parts) for x in names), np.int64, len(names))
+        by_part = np.argsort(part, kind="stable")
+        rank = np.empty(len(names), np.int64)
+        rank[by_part] = np.arange(len(names))
+        key = rank[np.concatenate(c)] * len(ids) + rank[np.concatenate(w)]
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.diff(key[order], prepend=-1))
         key, n = key[order[first]], np.add.reduceat(np.concatenate(n)[order], first)
         c, w = key // len(ids), key % len(ids)
-        follow, own = np.unique(w), np.unique(c)
+        here = np.zeros((2, len(names)), bool)
+        here[0, w] = here[1, c] = True
+        follow, own = map(np.flatnonzero, here)
+        rest = np.flatnonzero(here[1] & ~here[0])
         place = np.full(len(ids), -1)
         place[follow] = np.arange(len(follow))
-        rest = own[place[own] < 0]
         place[rest] = len(follow) + np.arange(len(rest))
-        names = list(ids)
-        names = [names[k] for k in [*follow, *rest]]
-        house = np.searchsorted(own, c)
-        block = [_pack_names(names), _pack(place[own]), _ascending(house), _pack(place[w]), _pack(n), b"", b""]
+        names = [names[k] for k in by_part[np.concatenate([follow, rest])].tolist()]
+        house = np.cumsum(np.diff(c, prepend=c[0]) > 0)
+        w = place[w]
+        block = [_pack_names(names), _pack(place[own]), _ascending(house), _pack(w), _pack(n), b"", b""]
         many = np.bincount(house)
-        hot = {names[place[o]].decode(): float(many[k]) for k, o in enumerate(own) if names[place[o]] in parts}
-        return _state(table.column("bucket")[0].as_py(), names, np.bincount(place[w], minlength=len(follow)), block, hot)
+        hot = {names[o].decode(): float(many[k]) for k, o in enumerate(place[own].tolist()) if names[o] in parts}
+        of, sizes = np.unique(part[by_part[follow]], return_counts=True)
+        guests = _guests(names[: len(follow)], np.bincount(w), np.bincount(w, n), of.tolist(), sizes.tolist())
+        return _state(table.column("bucket")[0].as_py(), block, guests, hot)
 
     return _texts(docs).mapInArrow(gather, "bucket int, block array<binary>").groupBy("bucket").applyInArrow(merge, _STATE)
 
@@ -227,11 +256,11 @@ class Seats:
             flat[np.cumsum(t) - t] += n - np.bincount(owner, flat, len(n)).astype(np.int64)
         else:
             flat, t = sizes
-        self.single = np.flatnonzero(n == 1)
-        self.many = np.flatnonzero(n > 1)  # a single customer always has one table
+        # A single customer always has one table, two have one or two; only more need the tables' sizes.
+        self.two, self.many = np.flatnonzero(n == 2), np.flatnonzero(n > 2)
         self.t = t.astype(np.int64).copy()
         self.tables = np.bincount(house, self.t, len(elsewhere)) + elsewhere
-        at = np.repeat(n > 1, t)
+        at = np.repeat(n > 2, t)
         self._lay(flat[at], self.t[self.many])
 
     def _lay(self, flat: np.ndarray, t: np.ndarray) -> None:
@@ -245,35 +274,55 @@ class Seats:
 
     def step(self) -> None:
         """Takes one customer of each dish that has several off its table and seats it again."""
-        if not len(self.many):
-            return
-        house, n, (lo, hi) = self.house[self.many], self.n[self.many], (self.first[:-1], self.first[1:])
+        tables, opened = self.tables, None
+        if len(self.many):
+            taken = self._take()
+            if taken is None:
+                return self.step()
+            gone, free, lo, hi, t = taken
+            house = self.house[self.many]
+            tables = tables - np.bincount(house[gone], minlength=len(tables))
+        both = self.t[self.two] == 2
+        of = self.house[self.two]
+        tables = tables - np.bincount(of[both], minlength=len(tables))
+        if len(self.many):
+            mass = (self.strength + self.d * tables[house]) * self.p[self.many] / np.maximum(free, 1)
+            total = np.cumsum(np.where(self.size > 0, self.size - self.d, mass[self.owner]))
+            start = np.concatenate([[0.0], total])[lo]
+            new = np.searchsorted(total, start + self.rng.random(len(t)) * (total[hi - 1] - start), side="right").clip(lo, hi - 1)
+            opened = self.size[new] == 0
+            self.size[new] += 1
+            self.t[self.many] = t + opened
+        # Of two customers one is left, alone at a table.
+        mass = (self.strength + self.d * tables[of]) * self.p[self.two]
+        apart = self.rng.random(len(of)) * (mass + 1 - self.d) < mass
+        self.t[self.two] = 1 + apart
+        tables = tables + np.bincount(of[apart], minlength=len(tables))
+        self.tables = tables if opened is None else tables + np.bincount(house[opened], minlength=len(tables))
+
+    def _take(self):
+        """Takes a customer of each dish of more than two off its table. None if slots had to be laid anew first."""
+        n, (lo, hi) = self.n[self.many], (self.first[:-1], self.first[1:])
         total = np.cumsum(self.size)
         left = np.searchsorted(total, total[lo] - self.size[lo] + np.floor(self.rng.random(len(n)) * n).astype(np.int64), side="right")
         self.size[left] -= 1
         gone = self.size[left] == 0
         t = self.t[self.many] - gone
         free = hi - lo - t
-        if (free == 0).any() and (full := (free == 0) & (t < n)).any():
+        if ((free == 0) & (t < n)).any():
             # No slot for a new table: make room for all dishes and put their customers where they were.
             self.size[left] += 1
             used = self.size > 0
             self._lay(self.size[used], self.t[self.many])
-            return self.step() if full.any() else None
-        tables = self.tables - np.bincount(house[gone], minlength=len(self.tables))
-        mass = (self.strength + self.d * tables[house]) * self.p[self.many] / np.maximum(free, 1)
-        total = np.cumsum(np.where(self.size > 0, self.size - self.d, mass[self.owner]))
-        start = np.concatenate([[0.0], total])[lo]
-        new = np.searchsorted(total, start + self.rng.random(len(n)) * (total[hi - 1] - start), side="right").clip(lo, hi - 1)
-        opened = self.size[new] == 0
-        self.size[new] += 1
-        self.tables = tables + np.bincount(house[opened], minlength=len(self.tables))
-        self.t[self.many] = t + opened
+            return None
+        return gone, free, lo, hi, t
 
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
         """Sizes of all tables, dish by dish, and how many each dish has."""
         out = np.ones(int(self.t.sum()), np.int64)
-        out[np.repeat(self.n > 1, self.t)] = self.size[self.size > 0]
+        at = np.cumsum(self.t) - self.t
+        out[at[self.two]] = 3 - self.t[self.two]
+        out[np.repeat(self.n > 2, self.t)] = self.size[self.size > 0]
         return out, self.t
 
     def evidence(self, whole: np.ndarray) -> np.ndarray:
@@ -369,14 +418,14 @@ class _Fitted:
         self.gain = (n - d * mean) / (strength + customers[self.house])
 
 
-def _seated(bucket: int, left: pa.Table, right: pa.Table, hot: dict, d: float, strength: float, seed: list[int], steps: int, last: bool) -> pa.Table:
-    """_state rows of a bucket after one pass. left: its block; right: (k, n_w, p) of its words; hot: customers and
-    tables of the frequent contexts."""
+def _seated(bucket: int, left: pa.Table, right: pa.Table, root: tuple[float, float, float], hot: dict, d: float, strength: float, seed: list[int], steps: int, last: bool) -> pa.Table:
+    """_state rows of a bucket after one pass. left: its block; right: what each part of the root answers; root: weights
+    of the root's t, mean and of all; hot: customers and tables of the frequent contexts."""
     names, own, house, w, n, t, sizes = left.column("block")[0].as_py()
     names, own, house, w, n = _unpack_names(names), _unpack(own), np.cumsum(_unpack(house)), _unpack(w), _unpack(n)
-    words = int(w.max()) + 1
-    p, n_w, k = np.zeros(words), np.zeros(words, np.int64), right.column("k").to_numpy()
-    p[k], n_w[k] = right.column("p").to_numpy(), right.column("n_w").to_numpy()
+    answers = sorted(zip(right.column("part").to_pylist(), right.column("answer").to_pylist()))
+    guests, opened, n_w = (np.concatenate([_unpack(x[k]) for _, x in answers]) for k in range(3))
+    p, words = root[0] * guests - root[1] * opened + root[2], len(n_w)
     started = (_unpack(sizes), _unpack(t)) if t else None
     mine = np.bincount(house, started[1] if t else None, len(own))
     at = {k: names[o].decode() for k, o in enumerate(own) if names[o].decode() in hot}
@@ -393,7 +442,8 @@ def _seated(bucket: int, left: pa.Table, right: pa.Table, hot: dict, d: float, s
     mean, tables = (mean / kept, tables / kept) if kept else (now.astype(float), s.tables.astype(float))
     here = np.bincount(house, mean, len(own))
     block = [*left.column("block")[0].as_py()[:5], *([_pack(mean, "<f8"), _pack(tables, "<f8"), _pack(p, "<f8"), _pack(n_w, "<i8")] if last else [_pack(now), _pack(flat)])]
-    return _state(bucket, names, np.bincount(w, mean, words), block, {c: here[h] for h, c in at.items()}, s.evidence(whole))
+    sizes = [] if last else [len(_unpack(x[0])) for _, x in answers]
+    return _state(bucket, block, _guests(names[:words], np.bincount(w, now, words), np.bincount(w, n, words), [k for k, _ in answers], sizes), {c: here[h] for h, c in at.items()}, s.evidence(whole))
 
 
 def fit(train: DataFrame, seed: int = 7, passes: int = 3, steps: int = 24, room: int = ROOM) -> tuple[Model, DataFrame]:
@@ -409,69 +459,79 @@ def fit(train: DataFrame, seed: int = 7, passes: int = 3, steps: int = 24, room:
     hot = {w: [int(n), 0.0] for w, n in counts.where(F.col("n") > max(room, n_train // HOT)).select("w", "n").collect()}
     parts = {c: min(buckets, 1 + n // room) for c, (n, _) in hot.items()}
     d, strength, d0, strength0 = 0.7, 5.0, 0.6, 20.0
-    state = materialise(pair_blocks(train, buckets, parts), "pairs")
+    state = materialise(pair_blocks(train, buckets, parts, 1 + n_types // ROOT), "pairs")
     root_tables = 0.0
 
     def meet() -> None:
-        for c, t in state.where("k < 0").select(F.explode(F.arrays_zip("hot_c", "hot_t")).alias("h")).groupBy("h.hot_c").agg(F.sum("h.hot_t")).collect():
+        for c, t in state.where("block is not null").select(F.explode(F.arrays_zip("hot_c", "hot_t")).alias("h")).groupBy("h.hot_c").agg(F.sum("h.hot_t")).collect():
             hot[c][1] = float(t)
 
-    def root_pass(words: DataFrame, number: int) -> DataFrame:
-        """Seats the root's customers: (w, n, t, mean, now, z)."""
-        args = d0, strength0, root_tables
+    kept = max(1, steps - (steps + 1) // 2)
 
-        def run(batches):
+    def root_pass(number: int) -> DataFrame:
+        """Seats the root's customers, a part at a time: sums (t, mean, now, z) of each part; an answer to each bucket, the
+        words' t, sums of tables over `kept` steps, and n; in the last pass also the words (w, n, t, mean)."""
+        args, last = (d0, strength0, root_tables), number == passes - 1
+        schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("answer", _BLOCK), ("w", pa.string()), ("n", pa.int64()), ("t", pa.float64()), ("mean", pa.float64()), ("now", pa.float64()), ("z", pa.float64())])
+
+        def run(key, table):
             d0, strength0, tables = args
-            draw = np.random.default_rng([seed, 1, number, TaskContext.get().partitionId()])
-            for batch in batches:
-                guests = batch.column("t").to_numpy().round().astype(np.int64)
-                # Of the root's tables those of other rows stay as they were; a table a dish is the first guess.
-                other = np.array([max(0.0, (tables or float(n_types)) - len(guests))])
-                s = Seats(guests, np.zeros(len(guests), np.int64), np.full(len(guests), base), other, d0, strength0, draw)
-                mean = np.zeros(len(guests))
-                for k in range(steps):
-                    s.step()
-                    if 2 * k >= steps:
-                        mean += s.t
-                mean /= steps - (steps + 1) // 2
-                z = np.zeros(len(guests))
-                z[:1] = s.evidence(np.zeros(1, bool))[0]
-                yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("n"), pa.array(guests.astype(float)), pa.array(mean), pa.array(s.t), pa.array(z)], names=["w", "n", "t", "mean", "now", "z"])
-
-        return materialise(words.mapInArrow(run, "w string, n bigint, t double, mean double, now bigint, z double"), "root")
-
-    def seating(number: int):
-        args = dict(hot), d, strength, [seed, 2, number], steps, number == passes - 1
+            part, ids = key[0].as_py(), _Ids()
+            asked = [(_unpack_names(x), _unpack(t), _unpack(n)) for x, t, n in table.column("guests").to_pylist()]
+            at = [np.fromiter(map(ids.__getitem__, x), np.int64, len(x)) for x, _, _ in asked]
+            sums = lambda k: np.bincount(np.concatenate(at), np.concatenate([x[k] for x in asked])).astype(np.int64)
+            guests, n = sums(1), sums(2)
+            # Of the root's tables those of other parts stay as they were; a table a dish is the first guess.
+            other = np.array([max(0.0, (tables or float(n_types)) - len(guests))])
+            s = Seats(guests, np.zeros(len(guests), np.int64), np.full(len(guests), base), other, d0, strength0, np.random.default_rng([seed, 1, number, part]))
+            opened = np.zeros(len(guests), np.int64)
+            for k in range(steps):
+                s.step()
+                if 2 * k >= steps:
+                    opened += s.t
+            mean = opened / kept
+            found = [{"part": part, "t": float(guests.sum()), "mean": float(mean.sum()), "now": float(s.t.sum()), "z": float(s.evidence(np.zeros(1, bool))[0])}]
+            found += [{"bucket": b, "part": part, "answer": [_pack(guests[k]), _pack(opened[k]), _pack(n[k])]} for b, k in zip(table.column("bucket").to_pylist(), at)]
+            out = pa.Table.from_pylist(found, schema)
+            if last:
+                cols = {"w": pa.array(list(ids), pa.binary()).cast(pa.string()), "n": pa.array(n), "t": pa.array(guests.astype(float)), "mean": pa.array(mean)}
+                out = pa.concat_tables([out, pa.Table.from_arrays([cols.get(f.name, pa.nulls(len(n), f.type)) for f in schema], schema=schema)])
+            return out
+
+        asks = state.where("guests is not null").select("bucket", "part", "guests")
+        return materialise(asks.groupBy("part").applyInArrow(run, "bucket int, part int, answer array<binary>, w string, n bigint, t double, mean double, now double, z double"), "root")
+
+    def seating(number: int, weights: tuple[float, float, float]):
+        args = weights, dict(hot), d, strength, [seed, 2, number], steps, number == passes - 1
         return lambda key, left, right: _seated(key[0].as_py(), left, right, *args)
 
     meet()
     for number in range(passes):
         # The root, given the contexts' tables.
-        guests_of = state.where("k >= 0").select("w", F.lit(0).cast("bigint").alias("n"), "t").unionByName(counts.select("w", "n", F.lit(0.0).alias("t")))
-        root = root_pass(guests_of.groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), number)
-        guests, opened, tables, z = root.agg(*[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)) for c in ("t", "mean", "now", "z")]).first()
+        root = root_pass(number)
+        guests, opened, tables, z = root.where("z is not null").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("t", "mean", "now", "z")]).first()
         used = d0, strength0
         if guests and number < passes - 1:
             d0, strength0 = draw_parameters(np.array([z, *_strength_evidence(np.array([guests]), np.array([int(tables)]), d0, strength0, rng)]), rng)
         root_tables = tables
         unknown = (used[1] + used[0] * opened) / (used[1] + guests) * base if guests else 1.0
-        probability = root.select("w", F.col("n").alias("n_w"), ((F.col("t") - used[0] * F.col("mean")) / (used[1] + guests) + unknown).alias("p"))
+        share = 1 / (used[1] + guests), used[0] / (used[1] + guests)
         # The contexts, given the root. A word is asked for once a bucket.
-        met = state.where("k >= 0").select("bucket", "k", "w").join(probability, "w").select("bucket", "k", "n_w", "p")
-        blocks = state.where("k < 0").select(F.col("bucket").alias("of"), "block")
-        old, state = [state, root], materialise(blocks.groupBy("of").cogroup(met.groupBy("bucket")).applyInArrow(seating(number), _STATE), "seats")
+        met = root.where("answer is not null").select("bucket", "part", "answer")
+        blocks = state.where("block is not null").select(F.col("bucket").alias("of"), "block")
+        old, state = [state, root], materialise(blocks.groupBy("of").cogroup(met.groupBy("bucket")).applyInArrow(seating(number, (share[0], share[1] / kept, unknown)), _STATE), "seats")
         meet()
         if number == passes - 1:
             break
-        evidence = np.array([float(x or 0) for x in state.where("k < 0").agg(*[F.sum(F.col("e")[k]) for k in range(4)]).first()])
+        evidence = np.array([float(x or 0) for x in state.where("block is not null").agg(*[F.sum(F.col("e")[k]) for k in range(4)]).first()])
         if hot:
             evidence[1:] += _strength_evidence(np.array([n for n, _ in hot.values()]), np.array([int(t) for _, t in hot.values()]), d, strength, rng)
         d, strength = draw_parameters(evidence, rng)
         discard(*old)
-    table = materialise(probability.select("w", F.col("n_w").alias("n"), F.col("p").alias("root")), "words")
+    table = materialise(root.where("w is not null").select("w", "n", (share[0] * F.col("t") - share[1] * F.col("mean") + unknown).alias("root")), "words")
     discard(counts, *old)
     frequent = {c: ((strength + d * t) / (strength + n), float(n)) for c, (n, t) in hot.items()}
-    return Model(int(n_train), int(n_types), float(unknown), state.where("k < 0").select("bucket", "block"), table, buckets, parts, frequent, d, strength), table
+    return Model(int(n_train), int(n_types), float(unknown), state.where("block is not null").select("bucket", "block"), table, buckets, parts, frequent, d, strength), table
 
 
 def _answered(left: pa.Table, right: pa.Table, schema: pa.Schema, fitted) -> pa.Table:
@@ -495,14 +555,16 @@ def _answered(left: pa.Table, right: pa.Table, schema: pa.Schema, fitted) -> pa.
         share = np.ones(len(c))
         if b:
             share = np.where(h >= 0, b.weight[h], 1.0)
-        often = np.array([weights[x][0] if x in weights else 0.0 for x in words])[c]
-        share = np.where(often > 0, often, share)
+        if weights:
+            often = np.array([weights[x][0] if x in weights else 0.0 for x in words])[c]
+            share = np.where(often > 0, often, share)
         met = (v >= 0) & (v < known)
         if met.any():
             k = h[met] * known + v[met]
             pos = np.minimum(np.searchsorted(key, k), len(key) - 1)
             p = share[met] * b.p[v[met]] + np.where((h[met] >= 0) & (key[pos] == k), b.gain[pos], 0.0)
-            texts, inner = np.unique(text[met], return_inverse=True)
+            start = np.diff(text[met], prepend=-1) > 0  # texts come in order
+            texts, inner = text[met][start], np.cumsum(start) - 1
             sums.append((flush, [_ascending(texts), _pack(np.bincount(inner)), _pack(np.bincount(inner, unigram(b.n_w[v[met]])), "<f8"), _pack(np.bincount(inner, log(p)), "<f8")]))
         if not met.all():
             off = np.flatnonzero(~met)
