@@ -42,7 +42,7 @@ from labelflow.llm.common import HOT, discard, folded_words, materialise, spread
 #: one frequent context (a bucket holds BUCKET times as many customers).
 FLUSH, WORDS, ROOM, BUCKET = 2_000_000, 500_000, 50_000, 20
 #: Distinct words of a part of the root's customers (about).
-ROOT = 200_000
+ROOT = 50_000
 #: The end of a text; words are never empty.
 END = ""
 
@@ -477,9 +477,11 @@ def fit(train: DataFrame, seed: int = 7, passes: int = 3, steps: int = 24, room:
         def run(key, table):
             d0, strength0, tables = args
             part, ids = key[0].as_py(), _Ids()
-            asked = [(_unpack_names(x), _unpack(t), _unpack(n)) for x, t, n in table.column("guests").to_pylist()]
-            at = [np.fromiter(map(ids.__getitem__, x), np.int64, len(x)) for x, _, _ in asked]
-            sums = lambda k: np.bincount(np.concatenate(at), np.concatenate([x[k] for x in asked])).astype(np.int64)
+            at, asked = [], table.column("guests").to_pylist()
+            for x, _, _ in asked:
+                names = _unpack_names(x)
+                at.append(np.fromiter(map(ids.__getitem__, names), np.int64, len(names)))
+            sums = lambda k: np.bincount(np.concatenate(at), np.concatenate([_unpack(x[k]) for x in asked])).astype(np.int64)
             guests, n = sums(1), sums(2)
             # Of the root's tables those of other parts stay as they were; a table a dish is the first guess.
             other = np.array([max(0.0, (tables or float(n_types)) - len(guests))])

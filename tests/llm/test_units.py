@@ -222,3 +222,31 @@ def test_parameters_are_found_again():
 def test_license_lines(line, name):
     m = license_scan._matcher(tuple((k, tuple(v)) for k, v in license_scan.TEMPLATES.items()))
     assert license_scan.scan_text("some words\n" + line, m, 0.75)[0] == name
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=50), st.lists(st.binary(max_size=9).filter(lambda x: b" " not in x), min_size=1, max_size=20))
+def test_language_model_blocks_round_trip(numbers, names):
+    x = np.array(numbers, np.int64)
+    assert language_model._unpack(language_model._pack(x)).tolist() == numbers
+    assert np.cumsum(language_model._unpack(language_model._ascending(np.sort(x)))).tolist() == sorted(numbers)
+    assert language_model._unpack(language_model._pack(x / 7, "<f8"), "<f8").tolist() == (x / 7).tolist()
+    assert language_model._unpack_names(language_model._pack_names(names)) == names
+
+
+def test_language_model_slices_hold_every_pair_once():
+    """Each pair lies in one bucket, the same one whatever else is gathered; a frequent context is dealt over several."""
+    texts = ["a b a c a d a e a f", "x y z a g a h", "", "b a"]
+    found, buckets = Counter(), {}
+    for group in (texts, texts[1:], texts[:1]):
+        g = language_model._Gathered()
+        for t in group:
+            g.add(t)
+        c, w = (np.concatenate([x[a:b] for x in g.texts]) for a, b in ((0, -1), (1, None)))
+        for b, at, names, cs, ws in g.slices(7, {b"a": 5}, c, w):
+            for i, j in zip(cs, ws):
+                found[names[i], names[j]] += group is texts
+                assert buckets.setdefault((names[i], names[j]), b) == b
+    want = Counter(p for t in texts for p in zip([b"", *t.encode().split()], [*t.encode().split(), b""]))
+    assert found == want and len({b for (c, _), b in buckets.items() if c == b"a"}) > 1
+    assert all(len({b for (c, _), b in buckets.items() if c == x}) == 1 for x in {c for c, _ in buckets} - {b"a"})
