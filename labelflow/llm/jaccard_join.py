@@ -152,11 +152,11 @@ def _least_shared(num: int, den: int, n: Column, m: Column) -> Column:
 
 def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, differences: bool) -> DataFrame:
     """pairs (x, y), a written table, with link, and with differences also n2, lacks and adds of x against y, from the
-    whole sets. Many pairs of one set are dealt over several tasks."""
-    left = spread_join(pairs.select("x", "y"), sets.select("x", F.col("set").alias("sx")), ["x"], ["y"])
+    whole sets (_sets of these pairs). Many pairs of one set are dealt over several tasks."""
+    left = spread_join(pairs.select("x", "y"), sets.where("is_x").select("x", F.col("set").alias("sx")), ["x"], ["y"])
     hot = hot_keys(pairs, ["y"])
     left = dealt(left, hot, ["y"], ["x"])
-    right = repeated(sets.select(F.col("x").alias("y"), F.col("set").alias("sy")).join(pairs.select("y").distinct(), "y", "left_semi"), hot, ["y"])
+    right = repeated(sets.where("is_y").select(F.col("x").alias("y"), F.col("set").alias("sy")), hot, ["y"])
     both = left.join(right, ["y", "_part"]).select("x", "y", "sx", "sy")
     extra = ", n2 int, lacks array<bigint>, adds array<bigint>" * differences
 
@@ -175,31 +175,38 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, differences
     return both.mapInArrow(run, f"x bigint, y bigint, link boolean{extra}")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(x, set) of the rows x in wanted. A bitmap of 2^FILTER_BITS hashed row ids, the same size whatever the corpus,
-    lets tasks skip nearly all other texts, so that no text is shuffled; a join takes out the rest."""
+def _sets(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(x, set, is_x, is_y) of the rows that pairs have as x or as y, and which of both. Two bitmaps of 2^FILTER_BITS
+    hashed row ids, the same size whatever the corpus, let tasks skip nearly all other texts, so that neither texts nor
+    sets are shuffled here. The few sets that they let through in error meet no pair later on."""
     place = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
 
     def mark(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros((2, 1 << FILTER_BITS), bool)
         for batch in batches:
-            bits[place(batch.column(0).to_numpy())] = True
-        words = np.packbits(bits).view(np.int64)
+            for side in range(2):
+                bits[side, place(batch.column(side).to_numpy())] = True
+        words = np.packbits(bits, axis=1).view(np.int64).ravel()
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], names=["at", "word"])
 
-    words = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    marked = wanted.mapInArrow(mark, "at int, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    words = np.zeros(2 * (1 << FILTER_BITS) // 64, np.int64)
+    marked = pairs.select("x", "y").mapInArrow(mark, "at int, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
     words[marked["at"].to_numpy()] = marked["word"].to_numpy()
     sent = texts.sparkSession.sparkContext.broadcast(words)
 
     def rebuild(batches):
-        bits = np.unpackbits(sent.value.view(np.uint8)).view(bool)
+        bits = np.unpackbits(sent.value.view(np.uint8)).view(bool).reshape(2, -1)
         for batch in batches:
-            batch = batch.filter(pa.array(bits[place(batch.column(0).to_numpy())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["x", "set"])
+            is_x, is_y = bits[:, place(batch.column(0).to_numpy())]
+            here = is_x | is_y
+            batch = batch.filter(pa.array(here))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary()), pa.array(is_x[here]), pa.array(is_y[here])],
+                names=["x", "set", "is_x", "is_y"],
+            )
 
-    return texts.select("_row", "_text").mapInArrow(rebuild, "x bigint, set binary").join(wanted, "x", "left_semi")
+    return texts.select("_row", "_text").mapInArrow(rebuild, "x bigint, set binary, is_x boolean, is_y boolean")
 
 
 def leaders(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -207,10 +214,13 @@ def leaders(lists: DataFrame, num: int, den: int) -> DataFrame:
     many as a link takes. In a list the set at the least position leads each band of sizes: rare elements come first,
     so it has the fewest of its own and is the most central one. Any choice gives the same result."""
     lists = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))))
-    heads = lists.groupBy("token", "part", "band").agg(F.min(F.struct("i", "x", "n")).alias("h"))
+    first = F.min(F.struct("i", "x", "n"))
+    led = lists.where("parts = 1").withColumn("h", first.over(Window.partitionBy("token", "band")))
     # A list dealt over parts has one leader all the same; a row per part finds it.
-    heads = heads.withColumn("h", F.min("h").over(Window.partitionBy("token", "band")))
-    led = lists.join(heads, ["token", "part", "band"])
+    long = lists.where("parts > 1")
+    heads = long.groupBy("token", "band").agg(first.alias("h"), F.first("parts").alias("_parts"))
+    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    led = led.unionByName(long.join(heads, ["token", "part", "band"]))
     led = led.where("x <> h.x").where(_can_share(num, den, F.col("n"), F.col("i"), F.col("h.n"), F.col("h.i")))
     led = led.groupBy("x", F.col("h.x").alias("y"), "n", F.col("h.n").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
     led = led.where(4 * F.col("shared") >= _least_shared(num, den, F.col("n"), F.col("m")))
@@ -219,15 +229,24 @@ def leaders(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 def _met(lists: DataFrame, order: list[str], fields: list[str], stats: list[Column]) -> DataFrame:
     """Lists (token, parts, part, c, ...) that hold more than one component c, in blocks: all pairs of blocks of one
-    list, with the stats and entries (l) of either, those of the second under names that end in 2."""
+    list, with the stats and entries (l) of either, those of the second under names that end in 2. A list of one block
+    meets itself without a join. Blocks are written once, as all sides read them; the result and what comes of it discard
+    them."""
     w = Window.partitionBy("token", "part")
     mixed = lists.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("parts > 1 or lo < hi")
+    mixed = mixed.withColumn("lone", (F.col("parts") == 1) & (F.count(F.lit(1)).over(w) <= BLOCK))
     laid = mixed.withColumn("k", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / BLOCK))
-    blocks = laid.groupBy("token", "part", "k").agg(F.first("parts").alias("parts"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), *stats, F.collect_list(F.struct(*fields)).alias("l"))
+    blocks = laid.groupBy("token", "part", "k").agg(F.first("parts").alias("parts"), F.first("lone").alias("lone"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), *stats, F.collect_list(F.struct(*fields)).alias("l"))
+    blocks = materialise(blocks, "blocks")
     # A frequent token's blocks meet in as many joins as its list has parts.
-    left = blocks.withColumn("s", F.col("part"))
-    right = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "s", *[F.col(f).alias(f"{f}2") for f in blocks.columns if f not in ("token", "parts")])
-    return left.join(right, ["token", "s"]).where("part < part2 or part = part2 and k <= k2")
+    fields = [f for f in blocks.columns if f not in ("token", "parts", "lone")]
+    twice = [F.col(f).alias(f"{f}2") for f in fields]
+    left = blocks.where("not lone").select("token", F.col("part").alias("s"), *fields)
+    right = blocks.where("not lone").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "s", *twice)
+    met = left.join(right, ["token", "s"]).where("part < part2 or part = part2 and k <= k2").drop("s")
+    met = met.unionByName(blocks.where("lone").select("token", *fields, *twice))
+    met._shared_path = blocks._shared_path
+    return met
 
 
 def _apart(lo: str, hi: str) -> Column:
@@ -252,7 +271,9 @@ def index_pairs(lists: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFr
     pairs = _entry_pairs(met.where(kept), lambda e, o: (e["s"] != o["s"]) & _can_share(num, den, e["n"], e["i"], o["n"], o["i"]))
     pairs = pairs.select(F.least("e.x", "o.x").alias("x"), F.greatest("e.x", "o.x").alias("y"), F.least("e.n", "o.n").alias("n"), F.greatest("e.n", "o.n").alias("m"))
     pairs = pairs.groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= _least_shared(num, den, F.col("n"), F.col("m")))
-    return pairs.select("x", "y"), met, kept
+    pairs = pairs.select("x", "y")
+    pairs._shared_path = met._shared_path
+    return pairs, met, kept
 
 
 def difference_pairs(star: DataFrame, num: int, den: int) -> DataFrame:
@@ -274,19 +295,22 @@ def difference_pairs(star: DataFrame, num: int, den: int) -> DataFrame:
         common = need(e["n"], o["n"]) - e["n2"] + e["a"] + o["a"]
         return (e["d"] - e["i"] >= common) & (o["d"] - o["i"] >= common)
 
-    return _entry_pairs(met.where(kept), fits).select(F.least("e.x", "o.x").alias("x"), F.greatest("e.x", "o.x").alias("y")).distinct()
+    pairs = _entry_pairs(met.where(kept), fits).select(F.least("e.x", "o.x").alias("x"), F.greatest("e.x", "o.x").alias("y")).distinct()
+    pairs._shared_path = met._shared_path
+    return pairs
 
 
 def _links(pairs: DataFrame, star: DataFrame, texts: DataFrame, width: int, num: int, den: int, seen: dict | None) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b) among pairs (x, y): by the formula for sets of one leader, in full for others. Beside them the tables
-    that they read."""
-    right = star.select(F.col("x").alias("y"), F.col("l").alias("l2"), F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"))
+    """Links (a, b) among pairs (x, y), a written table: by the formula for sets of one leader, in full for others. Beside
+    them the tables that they read."""
+    star = star.join(pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))), "x", "left_semi")
+    right = star.select(F.col("x").alias("y"), F.col("l").alias("l2"), F.col("n2").alias("n2_2"), F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"))
     tried = materialise(pairs.join(star, "x", "left").join(right, "y", "left"), "tried")
     common = F.col("n2") - F.size("lacks") - F.size("lacks2") + F.size(F.array_intersect("lacks", "lacks2")) + F.size(F.array_intersect("adds", "adds2"))
-    sizes = 2 * F.col("n2") - F.size("lacks") - F.size("lacks2") + F.size("adds") + F.size("adds2")
+    sizes = F.col("n2") + F.col("n2_2") - F.size("lacks") - F.size("lacks2") + F.size("adds") + F.size("adds2")
     derived = tried.where("l = l2").where(common * den >= (sizes - common) * num).select(F.col("x").alias("a"), F.col("y").alias("b"))
     full = materialise(tried.where("not (l <=> l2) or l is null").select("x", "y"), "full")
-    sets = materialise(_sets(texts, full.select("x").unionByName(full.select(F.col("y").alias("x"))).distinct(), width), "sets")
+    sets = materialise(_sets(texts, full, width), "sets")
     rest = _compared(full, sets, num, den, differences=False).where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
     if seen is not None:
         for name, df in (("derived", tried.where("l = l2")), ("derived_links", derived), ("compared", full)):
@@ -317,7 +341,7 @@ def similar_sets(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     lists = materialise(lists, "lists")
 
     led = materialise(leaders(lists, num, den), "leaders")
-    sets = materialise(_sets(texts, led.select("x").unionByName(led.select(F.col("y").alias("x"))).distinct(), width), "sets")
+    sets = materialise(_sets(texts, led, width), "sets")
     answers = materialise(_compared(led, sets, num, den, differences=True), "answers")
     found = connected(answers.where("link").select(F.col("x").alias("a"), F.col("y").alias("b")))
     # A leader is in its own star, without a difference.
@@ -342,11 +366,12 @@ def similar_sets(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     across, met, needed = index_pairs(at.select("token", "parts", "part", "x", "n", "i", F.coalesce("component", "x").alias("c"), F.coalesce("s", -1 - F.col("x")).alias("s")), num, den)
     if seen is not None:
         seen["led"], seen["block_pairs"], seen["skipped_block_pairs"] = led.count(), met.count(), met.where(~needed).count()
-    pairs = across.unionByName(inside).join(ordered(led).unionByName(again), ["x", "y"], "left_anti")
+    pairs = materialise(across.unionByName(inside).join(ordered(led).unionByName(again), ["x", "y"], "left_anti"), "pairs")
+    discard(across, inside)
     links, tables = _links(pairs, star, texts, width, num, den, seen)
     # Components so far are stars, so new links need only join those.
     merged = joined(found, links)
-    discard(lists, led, answers, star, again, placed, found, *tables)
+    discard(lists, led, answers, star, again, placed, found, pairs, *tables)
 
     named = classes.join(merged.withColumnRenamed("node", "x"), "x", "left").select("key", "size", F.coalesce("component", "x").alias("c"), "_least")
     named = materialise(named, "named")
