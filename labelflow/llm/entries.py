@@ -89,7 +89,25 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_quality_classifier, op4_ngram_jaccard_join, op5_best_fit_packing, op6_training_order, op7_language_model, op8_quality_rules, op9_license_scan, op10_exact_dedup)}
+def op11_lexical_search(spark, sf_dir):
+    from labelflow.llm.lexical_search import rank_documents
+
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_compaction(spark, sf_dir):
+    from labelflow.llm.compaction import write_and_compact
+
+    return write_and_compact(read_table(spark, sf_dir, "clicks"))
+
+
+def op13_sentencepiece(spark, sf_dir):
+    from labelflow.llm.piece_bpe import encode_decode
+
+    return encode_decode(read_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), payload=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_quality_classifier, op4_ngram_jaccard_join, op5_best_fit_packing, op6_training_order, op7_language_model, op8_quality_rules, op9_license_scan, op10_exact_dedup, op11_lexical_search, op12_compaction, op13_sentencepiece)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
@@ -98,4 +116,17 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op11_lexical_search": r"""
+        WITH said AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM said GROUP BY ALL),
+        docs AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+        total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+        m AS (SELECT doc_id, 100 - 50 + (50 * n * big_n) // big_l AS m FROM docs, total),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+              FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY rank <= 50
+    """,
 }
