@@ -401,17 +401,34 @@ def notification_decode(spark, sf_dir):
     return e.select("event_id", mail.notification(F.col("p")).alias("n")).select("event_id", "n.email", "n.history_id")
 
 
-@query()
+_MIME_BODY = "CASE doc_id % 5 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN '<p>' || source || '</p>' WHEN 2 THEN CASE WHEN coalesce(text, '') = '' THEN lang ELSE text END WHEN 3 THEN coalesce(text, '') ELSE coalesce(text, '') END"
+
+
+@query(f"SELECT doc_id AS message_id, lang AS subject, source || '@example.com' AS from_address, lang AS from_name, {_MIME_BODY} AS body_html, 'INBOX,' || source AS labels, source AS list_id, '' AS date FROM documents")
 def mime_messages(spark, sf_dir):
-    """documents as nested MIME messages, parsed; SQL cannot walk a tree of any depth."""
+    """documents as MIME messages of five kinds: nested plain text; HTML beside plain text; an empty HTML part before a
+    multipart, with plain text to fall back to; a text leaf alone; several levels."""
     d = table(spark, sf_dir, "documents")
-    data = F.translate(F.translate(F.base64(F.coalesce("text", F.lit("")).cast("binary")), "+/", "-_"), "\r\n", "")
-    leaf = F.concat(F.lit('{"mimeType":"text/plain","body":{"data":"'), data, F.lit('"}}'))
-    tree = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":[{"mimeType":"multipart/alternative","parts":['), leaf, F.lit(']},{"mimeType":"application/pdf"}]}'))
+    coded = lambda x: F.regexp_replace(F.replace(F.replace(F.base64(x.cast("binary")), F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_")), "[\r\n=]+", "")
+    leaf = lambda kind, x: F.concat(F.lit(f'{{"mimeType":"{kind}","body":{{"data":"'), coded(x), F.lit('"}}'))
+    many = lambda kind, *parts: F.concat(F.lit(f'{{"mimeType":"multipart/{kind}","parts":['), F.concat_ws(",", *parts), F.lit("]}"))
+    said, pdf = F.coalesce("text", F.lit("")), F.lit('{"mimeType":"application/pdf"}')
+    html = F.concat(F.lit("<p>"), "source", F.lit("</p>"))
+    deep = leaf("text/plain", said)
+    for kind in ("alternative", "related", "mixed", "signed"):
+        deep = many(kind, pdf, deep)
+    kinds = [
+        many("mixed", many("alternative", leaf("text/plain", said)), pdf), many("alternative", leaf("text/plain", said), many("mixed", leaf("text/html", said)), leaf("text/html", F.lit("first")), leaf("text/html", html)),
+        many("mixed", leaf("text/plain", F.lit("no")), many("alternative", leaf("text/html", F.lit("before"))), leaf("text/html", F.lit("")), many("mixed", leaf("text/calendar", F.lit("x"))), many("mixed", leaf("text/plain", said)), leaf("text/plain", F.col("lang"))),
+        leaf("text/enriched", said), deep,
+    ]
+    tree = F.lit(None).cast("string")
+    for i, k in enumerate(kinds):
+        tree = F.when(F.col("doc_id") % 5 == i, k).otherwise(tree)
     pair = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
     headers = F.array(pair("From", F.concat("lang", F.lit(" <"), "source", F.lit("@example.com>"))), pair("SUBJECT", F.col("lang")), pair("List-Id", F.concat(F.lit("<"), "source", F.lit(">"))))
-    raw = d.select(F.col("doc_id").alias("id"), F.array(F.lit("INBOX")).alias("labelIds"), headers.alias("headers"), tree.alias("payload"))
-    return mail.parse_messages(raw)
+    raw = d.select(F.col("doc_id").alias("id"), F.array(F.lit("INBOX"), "source").alias("labelIds"), headers.alias("headers"), tree.alias("payload"))
+    return mail.parse_messages(raw).withColumn("labels", F.array_join("labels", ","))
 
 
 # ---- fingerprints ------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,7 +65,42 @@ def _part(kind, body=None, parts=None):
 def test_bodies(spark):
     plain, html = _part("text/plain", "plain"), _part("text/html", "<p>html</p>")
     trees = [plain, html, _part("multipart/alternative", None, [plain, html]), _part("multipart/mixed", None, [plain]), _part("multipart/mixed", None, [_part("multipart/alternative", None, [plain, html]), _part("application/pdf")]), {"mimeType": "multipart/mixed"}, _part("multipart/mixed", None, [plain, _part("multipart/alternative", None, [_part("text/plain", "inner")])])]
-    assert run(spark, mail.decode_body, *map(json.dumps, trees)) == ["plain", "<p>html</p>", "<p>html</p>", "plain", "<p>html</p>", "", "inner"]
+    body = mail.decode_body
+    assert run(spark, body, *map(json.dumps, trees)) == ["plain", "<p>html</p>", "<p>html</p>", "plain", "<p>html</p>", "", "inner"]
+    assert run(spark, body, None, "", "{", "[1]", "{}", '{"mimeType": "text/plain"}', '{"parts": null}') == [""] * 7
+    nested = lambda *parts: _part("multipart/mixed", None, list(parts))
+    # The last HTML part counts, and multiparts before it don't; an empty one lets those after it speak.
+    assert run(spark, body, *map(json.dumps, [nested(html, nested(_part("text/html", "in")), _part("text/html", "last")), nested(nested(html), _part("text/html", ""), plain), nested(_part("text/html", ""), nested(plain), nested(html)), nested(plain, _part("text/plain", "later"))])) == ["last", "plain", "plain", "later"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bodies_of_random_trees(spark, seed):
+    """Against a flat statement of the rule: of all leaves, in the order of their places' keys, the first with text."""
+    rng = random.Random(seed)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.4:
+            return _part(rng.choice(["text/plain", "text/html", "application/pdf"]), rng.choice(["", f"t{rng.random()}"]))
+        return _part(rng.choice(["multipart/mixed", "message/rfc822"]), None, [tree(depth - 1) for _ in range(rng.randint(0, 4))])
+
+    def leaves(node, key):
+        parts = node.get("parts", [])
+        of = lambda kind: [i for i, p in enumerate(parts) if p["mimeType"] == kind]
+        html, plain = of("text/html")[-1:], of("text/plain")[-1:]
+        yield from ((key + ((0, i),), parts[i]) for i in html)
+        yield from ((key + ((2, i),), parts[i]) for i in plain)
+        for i, p in enumerate(parts):
+            if p["mimeType"].startswith("multipart/") and i > max(html, default=-1):
+                yield from leaves(p, key + ((1, i),))
+
+    trees = [_part("multipart/x", None, [tree(4) for _ in range(rng.randint(0, 5))]) for _ in range(60)]
+    want = [next((d for _, p in sorted(leaves(t, ()), key=lambda kv: kv[0]) if (d := base64.urlsafe_b64decode(p["body"]["data"] + "==").decode())), "") for t in trees]
+    assert run(spark, mail.decode_body, *map(json.dumps, trees)) == want and any(want)
+    deep = _part("text/plain", "x")
+    for _ in range(14):
+        deep = _part("multipart/mixed", None, [deep])
+    with pytest.raises(Exception, match="levels"):
+        run(spark, mail.decode_body, json.dumps(deep))
 
 
 def test_messages_and_headers(spark):
