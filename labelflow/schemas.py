@@ -33,6 +33,12 @@ LABELS = T.StructType([T.StructField(c, _s) for c in ("message_id", "label_id",
 PENDING = T.StructType([T.StructField(c, _s) for c in ("message_id", "first_seen_history_id", "reason")])
 META = T.StructType([T.StructField("key", _s), T.StructField("value", _s)])
 REGISTRY = T.StructType([T.StructField("label_id", _s), T.StructField("label_name", _s), T.StructField("is_excluded", T.BooleanType())])
-OUTBOX = T.StructType([T.StructField(c, _s) for c in ("message_id", "add_label", "remove_label")])
-ECHOES = T.StructType([T.StructField("message_id", _s)])
-STATE_TABLES = {"embeddings": EMBEDDINGS, "labels": LABELS, "pending_new": PENDING, "meta": META, "outbox": OUTBOX, "echoes": ECHOES}
+#: batch: which commit asked for the action; an action is known by message and batch.
+OUTBOX = T.StructType([*[T.StructField(c, _s) for c in ("message_id", "add_label", "remove_label")], T.StructField("batch", _l)])
+IDS = T.StructType([T.StructField("message_id", _s)])
+#: The index view (operators.index_view): which messages vote, and for what; how many for each label.
+INDEX_VIEW = T.StructType([T.StructField(c, _s) for c in ("message_id", "index_label")])
+INDEX_COUNTS = T.StructType([T.StructField("label", _s), T.StructField("examples", _l)])
+#: echoes: messages whose next label changes are our own; applied: messages that we labelled and that are no news any more.
+STATE_TABLES = {"embeddings": EMBEDDINGS, "labels": LABELS, "pending_new": PENDING, "meta": META, "outbox": OUTBOX, "echoes": IDS, "applied": IDS, "index_view": INDEX_VIEW, "index_counts": INDEX_COUNTS}
+STATE_KEYS = {name: {"meta": ["key"], "outbox": ["message_id", "batch"], "index_counts": ["label"]}.get(name, ["message_id"]) for name in STATE_TABLES}

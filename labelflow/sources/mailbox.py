@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tomllib
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -43,14 +40,10 @@ def stream_history(spark: SparkSession, path: str, files_per_batch: int = 1) ->
     return spark.readStream.schema(HISTORY).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def load_config(path: str) -> dict:
-    """TOML as a dict, {} if there is no file."""
-    p = Path(path)
-    return tomllib.loads(p.read_text()) if p.exists() else {}
-
-
-def excluded_labels(path: str) -> list[str]:
-    return list(load_config(path).get("labels", {}).get("excluded", []))
+def excluded_names(spark: SparkSession, setting: str | None) -> DataFrame:
+    """(label_name) of the job parameter that names excluded labels, one a line: names are trimmed, empty ones dropped."""
+    lines = spark.createDataFrame([(setting or "",)], "s string").select(F.explode(F.split("s", "\\R")).alias("label_name"))
+    return lines.select(F.trim("label_name").alias("label_name")).where("label_name <> ''").distinct()
 
 
 class PagedSource(DataSource):

@@ -6,32 +6,21 @@ store under its batch id, so a replayed batch changes nothing: process, persist,
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from labelflow.operators import changes, keyed, lifecycle, live
+from labelflow.operators import changes, lifecycle, live
+from labelflow.operators.index_view import IndexView
 from labelflow.schemas import BACKOFF_MOST_S, HISTORY
 from labelflow.sources.mailbox import stream_history
-from labelflow.sources.store import SnapshotStore
-
-
-def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or where the context checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(f"file://{spark._jvm.System.getProperty('java.io.tmpdir')}/streams-{uuid.uuid4().hex}")
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+from labelflow.sources.shared import new_folder
+from labelflow.sources.store import Change, SnapshotStore
 
 
 class ChangeConsumer:
@@ -39,60 +28,82 @@ class ChangeConsumer:
     messages are parked while the gate is shut and classified once it is open. messages: current mailbox rows
     (message_id, labels).
 
-    With embed (see operators.live), new messages go the whole way: vector, vote against the stored index, outbox; the
-    store keeps what was applied as echoes to come, rejects with their vectors, and the vectors of corrected messages.
-    classify instead maps new (message_id, seq) to rows of labels. A batch rewrites the tables that it changes, no others."""
+    With embed (see operators.live), new messages go the whole way: vector, vote against the index view, outbox; the store
+    keeps what was applied (seen for good, and an echo to come), rejects with their vectors, and the vectors of corrected
+    messages. classify instead maps new (message_id, seq) to rows of labels. A batch commits deltas as large as its own
+    effects; tables that it does not change are not written."""
 
     def __init__(self, store: SnapshotStore, registry: Callable[[], DataFrame], messages: Callable[[], DataFrame], gate_open: Callable[[], bool], classify: Callable[[DataFrame], DataFrame] | None = None, now_ms: Callable[[], int] = lambda: 0, embed: live.Embed | None = None):
         self.store, self.registry, self.messages, self.gate_open, self.classify, self.now_ms, self.embed = store, registry, messages, gate_open, classify, now_ms, embed
 
+    def _verdicts(self, fresh: DataFrame, registry: DataFrame) -> tuple[dict[str, Change], DataFrame | None]:
+        """Changes by the classification of fresh (message_id, seq), and results to unpersist."""
+        if self.embed is None:
+            return {"labels": Change(self.classify(fresh))}, None
+        index = IndexView(self.store).rows().select(F.col("message_id").alias("id"), "vector", F.col("index_label").alias("label"))
+        results = live.classify_new(fresh, index, registry, self.embed).persist()
+        rejects, vectors = live.learnt(results)
+        applied = results.where("applied").select("message_id")
+        orders = live.outbox(results).withColumn("batch", F.lit(self.store.version + 1).cast("bigint"))
+        return {"labels": Change(rejects), "embeddings": Change(vectors), "outbox": Change(orders), "applied": Change(applied), "echoes": Change(applied)}, results
+
+    def drain(self) -> int:
+        """Classifies what is parked if the gate is open, without waiting for events; how many messages were parked."""
+        pending = self.store.table("pending_new")
+        if self.embed is None and self.classify is None or not self.gate_open() or not (n := pending.count()):
+            return 0
+        IndexView(self.store).in_step()
+        changes, results = self._verdicts(pending.select("message_id", F.col("first_seen_history_id").cast("bigint").alias("seq")), self.registry())
+        try:
+            IndexView(self.store).apply({**changes, "pending_new": Change(deletes=pending)})
+        finally:
+            if results is not None:
+                results.unpersist()
+        return n
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """foreachBatch body. Reads the registry afresh, so that renamed and new labels are seen."""
         if batch.isEmpty():
+            self.drain()
             return
-        batch, results, tables = batch.persist(), None, {}
+        view = IndexView(self.store).in_step()
+        batch, held = batch.persist(), []
+        keep = lambda df: held.append(df.persist()) or held[-1]
         try:
-            labels, pending = self.store.table("labels"), self.store.table("pending_new")
+            labels, pending, echoes, embeddings = (self.store.table(t) for t in ("labels", "pending_new", "echoes", "embeddings"))
             registry, messages = self.registry(), self.messages()
-            echoes = self.store.table("echoes")
-            mine, spent = changes.suppress_echoes(changes.relevant_changes(batch, registry), echoes)
-            sets = changes.change_sets(mine)
-            outcomes = changes.label_outcomes(sets, messages, registry)
-            labels = changes.apply_outcomes(labels, outcomes.withColumn("message_id", F.col("message_id").cast("string")))
-            seen = labels.select("message_id").unionByName(pending.select("message_id"))
-            fresh = changes.new_inbox_ids(batch, seen)
-            alive = messages.select("message_id", "labels")
-            fresh = changes.without_user_label(fresh.join(alive, "message_id"), registry).select("message_id", "seq")
+            relevant = changes.relevant_changes(batch, registry).withColumn("message_id", F.col("message_id").cast("string"))
+            mine, _ = changes.suppress_echoes(relevant, echoes)
+            outcomes = keep(changes.label_outcomes(changes.change_sets(mine), messages, registry).withColumn("message_id", F.col("message_id").cast("string")))
+            learnt = outcomes.where("op in ('upsert', 'skip')")
+            upserts = learnt.select("message_id", "label_id", "label_name", F.when(F.col("op") == "upsert", "user").otherwise("auto").alias("source"))
+            done = {"echoes": Change(deletes=echoes.join(relevant.select("message_id"), "message_id", "left_semi")), "pending_new": Change(deletes=pending.join(learnt.select("message_id"), "message_id", "left_semi"))}
+            ids = lambda df: df.select("message_id")
+            seen = ids(changes.apply_outcomes(labels, outcomes)).unionByName(ids(pending)).unionByName(ids(self.store.table("applied")))
+            fresh = changes.new_inbox_ids(batch.withColumn("message_id", F.col("message_id").cast("string")), seen)
+            fresh = keep(changes.without_user_label(fresh.join(messages.select("message_id", "labels"), "message_id"), registry).select("message_id", "seq"))
             if not self.gate_open():
-                delta = fresh.select("message_id", F.col("seq").cast("string").alias("first_seen_history_id"), F.lit("immature").alias("reason"), "seq")
-                pending = keyed.insert_ignore(pending, delta, "message_id")
-            elif self.embed is not None:
-                parked = pending.select("message_id", F.col("first_seen_history_id").cast("bigint").alias("seq"))
-                index = keyed.index_join(self.store.table("embeddings"), labels).select(F.col("message_id").alias("id"), "vector", F.col("index_label").alias("label"))
-                results = live.classify_new(fresh.unionByName(parked), index, registry, self.embed).persist()
-                rejects, vectors = live.learnt(results)
-                labels = keyed.upsert(labels, rejects, "message_id", None)
-                tables["embeddings"] = keyed.upsert(self.store.table("embeddings"), vectors, "message_id", None)
-                tables["outbox"] = self.store.table("outbox").unionByName(live.outbox(results))
-                spent = spent.unionByName(results.where("applied").select("message_id"))
-                pending = pending.where("false")
-            elif self.classify is not None:
+                parked = fresh.select("message_id", F.col("seq").cast("string").alias("first_seen_history_id"), F.lit("immature").alias("reason"))
+                done["pending_new"] = Change(parked, done["pending_new"].deletes)
+            elif self.embed is not None or self.classify is not None:
                 # What was parked is classified with the new messages and leaves only in this very commit.
-                parked = pending.select("message_id", F.col("first_seen_history_id").cast("bigint").alias("seq"))
-                labels = keyed.upsert(labels, self.classify(fresh.unionByName(parked)), "message_id", None)
-                pending = pending.where("false")
-            pending = keyed.delete(pending, outcomes.where("op in ('upsert', 'skip')").select(F.col("message_id").cast("string").alias("message_id")), "message_id")
+                parked = ids(pending.join(learnt, "message_id", "left_anti")).join(pending, "message_id").select("message_id", F.col("first_seen_history_id").cast("bigint").alias("seq"))
+                verdicts, results = self._verdicts(fresh.unionByName(parked), registry)
+                held += [results] if results is not None else []
+                upserts = upserts.unionByName(verdicts.pop("labels").upserts.select(upserts.columns))
+                done |= {**verdicts, "pending_new": Change(deletes=pending)}
+                if "echoes" in verdicts:
+                    done["echoes"] = Change(verdicts["echoes"].upserts, echoes.join(relevant.select("message_id"), "message_id", "left_semi"))
+            done["labels"] = Change(upserts, outcomes.where("op in ('remove', 'gone')"))
             if self.embed is not None:
-                corrected = outcomes.where("op in ('upsert', 'skip')").select(F.col("message_id").cast("string").alias("message_id"))
-                tables["embeddings"] = live.missing_vectors(corrected, tables.get("embeddings", self.store.table("embeddings")), self.embed)
-                tables["echoes"] = spent.distinct()
+                vectors = live.new_vectors(learnt, embeddings, self.embed)
+                done["embeddings"] = Change(done["embeddings"].upserts.unionByName(vectors) if "embeddings" in done else vectors)
             last = batch.agg(F.max("seq")).first()[0]
-            meta = self.store.with_meta({"last_processed_history_id": str(last), "last_processed_at": str(self.now_ms())})
-            self.store.commit({**tables, "labels": labels, "pending_new": pending, "meta": meta}, batch_id)
+            done["meta"] = self.store.meta_change({"last_processed_history_id": str(last), "last_processed_at": str(self.now_ms())})
+            view.apply(done, batch_id)
         finally:
-            batch.unpersist()
-            if results is not None:
-                results.unpersist()
+            for df in [batch, *held]:
+                df.unpersist()
 
     def start(self, spark: SparkSession, path: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
         """Runs over the files at path; without seconds it takes what is there and ends."""
@@ -114,8 +125,17 @@ def run_with_retries(start: Callable[[], StreamingQuery], is_transient: Callable
             sleep(wait)
 
 
-def is_network_error(e: BaseException) -> bool:
-    return isinstance(e, OSError) or "unavailable" in str(e).lower() or "503" in str(e)
+#: Error classes and root causes of a query's failure that a restart may mend.
+TRANSIENT = ("java.net.", "java.io.InterruptedIOException", "java.nio.channels.", "org.apache.hadoop.ipc.", "io.grpc.StatusRuntimeException", "TASK_FAILED_WHILE_COMMITTING", "CONCURRENT_")
+
+
+def transient(error: BaseException) -> bool:
+    """Whether a failed query is worth a restart: Python's connection and time-out errors, and Spark's whose error class or
+    any cause named in their text is of the network or the store."""
+    if isinstance(error, (ConnectionError, TimeoutError)):
+        return True
+    condition = (error.getCondition() or "") if isinstance(error, PySparkException) else ""
+    return any(condition.startswith(t) or t in str(error) for t in TRANSIENT)
 
 
 def recovery(cursor: str | None, last_processed_at: str | None, now_ms: int, spark: SparkSession) -> str:
@@ -126,7 +146,7 @@ def recovery(cursor: str | None, last_processed_at: str | None, now_ms: int, spa
 
 def _as_stream(spark: SparkSession, events: DataFrame, message: str) -> tuple[DataFrame, str]:
     """Events written as a file log, read back as a stream, and the work folder."""
-    work = _shared(spark)
+    work = new_folder(spark, "streams")
     rows = events.select("seq", "type", F.col("message_id").cast("string").alias("message_id"), "label_ids")
     rows.repartitionByRange(4, "seq").write.parquet(f"{work}/log")
     return spark.readStream.schema(HISTORY).option("maxFilesPerTrigger", 2).parquet(f"{work}/log"), work
