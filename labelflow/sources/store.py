@@ -18,6 +18,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from labelflow.schemas import STATE_KEYS, STATE_TABLES
 
 #: Age after which a claim counts as that of a dead writer. A claim is made when all data are written, just before the manifest.
 CLAIM_MS = 60_000
+#: Tables that a commit writes at a time.
+WRITERS = 4
 #: Deltas of a table that are kept apart, and what they may weigh: this many bytes, or a quarter of the base if that is more.
 MOST_DELTAS, DELTA_BYTES, DELTA_SHARE = 8, 64 << 20, 4
 
@@ -182,16 +185,20 @@ class SnapshotStore:
         if batch_id is not None and old["batch"] is not None and batch_id <= old["batch"]:
             return version
         new, self.written = dict(old["tables"]), {}
-        for name, df in (tables or {}).items():
-            path, size, self.written[name] = self._write(name, df.select(self._schema(name).fieldNames()), "base")
-            new[name] = {"base": path, "deltas": [], "bytes": {path: size}}
-        for name, change in (changes or {}).items():
-            path, size, self.written[name] = self._write(name, self._delta(name, change, version + 1), "delta")
-            if not self.written[name]:
+        jobs = [(n, df.select(self._schema(n).fieldNames()), "base") for n, df in (tables or {}).items()]
+        jobs += [(n, self._delta(n, c, version + 1), "delta") for n, c in (changes or {}).items()]
+        # Tables are written side by side: most changes are small, and their jobs would wait for one another's start.
+        with ThreadPoolExecutor(max(1, min(WRITERS, len(jobs)))) as pool:
+            results = list(pool.map(lambda job: self._write(*job), jobs))
+        for (name, _, kind), (path, size, rows) in zip(jobs, results):
+            self.written[name] = rows
+            if kind == "base":
+                new[name] = {"base": path, "deltas": [], "bytes": {path: size}}
+            elif not rows:
                 self._fs.delete(self._path(path), True)
-                continue
-            entry = new.get(name) or {"base": None, "deltas": [], "bytes": {}}
-            new[name] = self._tidied(name, {"base": entry["base"], "deltas": [*entry["deltas"], path], "bytes": {**entry["bytes"], path: size}}, MOST_DELTAS, DELTA_SHARE)
+            else:
+                entry = new.get(name) or {"base": None, "deltas": [], "bytes": {}}
+                new[name] = self._tidied(name, {"base": entry["base"], "deltas": [*entry["deltas"], path], "bytes": {**entry["bytes"], path: size}}, MOST_DELTAS, DELTA_SHARE)
         for name, other in (promote or {}).items():
             new[name] = new.pop(other)
         if new == old["tables"] and batch_id is None:
