@@ -1,12 +1,15 @@
 """Nearest neighbours by cosine similarity, in two forms with the same result.
 
-neighbours_sql is one relational expression. neighbours_blocked packs both sides into matrices and multiplies them pair
-by pair of blocks: each pair keeps only k rows a query, so what is shuffled grows with queries times blocks, and nothing
-is broadcast beyond what Spark itself decides.
+neighbours_sql is one relational expression. neighbours_blocked packs both sides into matrices, the index by places in
+space, and goes through the index block by block, leaving out blocks that are too far off to hold a neighbour: a task keeps
+only k rows a query, so what is shuffled grows with queries times tasks, and nothing is broadcast beyond what Spark itself
+decides.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,6 +19,8 @@ from labelflow.functions.vector import cosine, norm
 from labelflow.schemas import K_NEIGHBOURS
 
 BLOCK_ROWS = 2048
+#: Directions that tell places apart.
+PLACE_BITS = 8
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -37,51 +42,135 @@ def neighbours_sql(queries: DataFrame, index: DataFrame, k: int = K_NEIGHBOURS,
     return _ranked(pairs.select("query_id", "neighbour_id", "label", cosine(F.col("qv"), F.col("iv")).alias("similarity")), k)
 
 
-def _packed(rows: DataFrame, columns: list[str], schema: str) -> DataFrame:
-    """A row per block of vectors: the columns as lists, and the vectors scaled to length one as a float64 matrix."""
+def _places(x: np.ndarray) -> np.ndarray:
+    """A number for each row by the sides of fixed directions on which it lies: rows near one another often share it."""
+    turned = x @ np.random.default_rng(17).choice([-1.0, 1.0], (x.shape[1], PLACE_BITS))
+    return (turned > 0) @ (1 << np.arange(PLACE_BITS))
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                v = part.column(len(columns))
-                x = np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(part), -1)
-                n = np.sqrt((x * x).sum(1))
-                yield pa.RecordBatch.from_arrays([*(pa.array([part.column(i).to_pylist()]) for i in range(len(columns))), pa.array([x.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=[*columns, "m", "n"])
 
-    return rows.select(*columns, "vector").mapInArrow(run, f"{schema}, m binary, n binary")
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def neighbours_blocked(queries: DataFrame, index: DataFrame, k: int = K_NEIGHBOURS, exclude_self: bool = False) -> DataFrame:
-    """As neighbours_sql; ids are integers or strings, of one kind on both sides."""
-    kind = "string" if index.schema["id"].dataType.simpleString() == "string" else "bigint"
-    q = _packed(queries.where("vector is not null").select(F.col("id").cast(kind).alias("q"), "vector"), ["q"], f"q array<{kind}>").withColumnsRenamed({"m": "qm", "n": "qn"})
-    i = _packed(index.where("vector is not null").select(F.col("id").cast(kind).alias("i"), F.col("label").cast("string").alias("l"), "vector"), ["i", "l"], f"i array<{kind}>, l array<string>")
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1))[:, None]
+    return np.divide(x, n, out=np.zeros(x.shape), where=n > 0)
+
+
+def index_blocks(index: DataFrame, kind: str) -> DataFrame:
+    """The index in blocks of rows that lie near one another: ids, labels, vectors, and the block's pivot (mean of its unit
+    vectors) and radius (largest distance from it). Written once, they serve any number of queries."""
 
+    def placed(batches):
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_places(_matrix(batch.column(2))), pa.int64())], names=["i", "l", "v", "place"])
+
+    def packed(batches):
+        table = pa.Table.from_batches(batches)
+        if not len(table):
+            return
+        place = table.column("place").to_numpy()
+        at = 0
+        while at < len(table):
+            end = min(at + BLOCK_ROWS, len(table))
+            turns = np.flatnonzero(np.diff(place[at:end])) + 1
+            # A block ends where rows of another place begin, if it isn't small by then.
+            end = at + int(turns[turns >= BLOCK_ROWS // 8][0]) if (turns >= BLOCK_ROWS // 8).any() else end
+            part = table.slice(at, end - at).combine_chunks()
+            x = _matrix(part.column(2).combine_chunks())
+            u = _unit(x)
+            pivot = u.mean(0)
+            radius = float(np.sqrt(((u - pivot) ** 2).sum(1).max()))
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()]), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary()), pa.array([pivot.tobytes()], pa.binary()), pa.array([radius])], names=["i", "l", "m", "pivot", "radius"])
+            at = end
+
+    rows = index.where("vector is not null").select(F.col("id").cast(kind).alias("i"), F.col("label").cast("string").alias("l"), F.col("vector").cast("array<double>").alias("v"))
+    near = rows.mapInArrow(placed, f"i {kind}, l string, v array<double>, place bigint").hint("rebalance", "place").sortWithinPartitions("place", "i")
+    return near.mapInArrow(packed, f"i array<{kind}>, l array<string>, m binary, pivot binary, radius double")
+
+
+def _query_blocks(queries: DataFrame, kind: str) -> DataFrame:
+    def packed(batches):
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                x = _matrix(part.column(1))
+                some = np.flatnonzero((x * x).sum(1) > 0)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([part.column(0).take(pa.array(some)).to_pylist()]), pa.array([x[some].tobytes()], pa.binary())], names=["b", "q", "qm"])
+
+    rows = queries.where("vector is not null").select(F.col("id").cast(kind).alias("q"), F.col("vector").cast("array<double>").alias("v"))
+    return rows.hint("rebalance").mapInArrow(packed, f"b string, q array<{kind}>, qm binary")
+
+
+class _Nearest:
+    """The k nearest index rows so far of each query of a block."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.x, self.k, self.exclude_self = ids, x, k, exclude_self
+        self.unit, self.norm, self.kth = _unit(x), np.sqrt((x * x).sum(1)), np.full(len(x), -np.inf)
+        self.row, self.sim, self.near, self.label = np.zeros(0, np.int64), np.zeros(0), ids[:0], np.zeros(0, object)
+        self.asked = self.skipped = 0
+
+    def look(self, ids: np.ndarray, labels: np.ndarray, y: np.ndarray, pivot: np.ndarray, radius: float) -> None:
+        """Takes in a block, but for queries that can have no neighbour in it: a row's distance is at least the pivot's less
+        the radius, and on unit vectors a distance d means a cosine of 1 - d*d/2."""
+        gap = np.maximum(0, np.sqrt(np.maximum(0, ((self.unit - pivot) ** 2).sum(1))) - radius)
+        on = np.flatnonzero(1 - gap * gap / 2 + 1e-9 >= self.kth)
+        self.asked, self.skipped = self.asked + len(self.x), self.skipped + len(self.x) - len(on)
+        if not len(on):
+            return
+        scale = self.norm[on][:, None] * np.sqrt((y * y).sum(1))[None, :]
+        s = np.divide(self.x[on] @ y.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+        if self.exclude_self:
+            s[self.ids[on][:, None] == ids[None, :]] = -np.inf
+        # All that tie with the k-th stay, so that ids can settle it.
+        edge = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] if s.shape[1] > self.k else np.full(len(on), -np.inf)
+        r, c = np.nonzero((s >= np.maximum(edge, self.kth[on])[:, None]) & np.isfinite(s))
+        row, sim = np.r_[self.row, on[r]], np.r_[self.sim, s[r, c]]
+        near, label = np.r_[self.near, ids[c]], np.r_[self.label, labels[c]]
+        order = np.lexsort((near, -sim, row))
+        row = row[order]
+        first = np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
+        order = order[np.arange(len(row)) - first < self.k]
+        self.row, self.sim, self.near, self.label = np.r_[self.row, on[r]][order], sim[order], near[order], label[order]
+        full = np.bincount(self.row, minlength=len(self.x)) == self.k
+        last = np.flatnonzero(np.r_[self.row[1:] != self.row[:-1], True]) if len(self.row) else []
+        kth = np.full(len(self.x), -np.inf)
+        kth[self.row[last]] = self.sim[last]
+        self.kth = np.where(full, kth, -np.inf)
+
+
+def neighbours_blocked(queries: DataFrame, index: DataFrame, k: int = K_NEIGHBOURS, exclude_self: bool = False, counters: tuple | None = None) -> DataFrame:
+    """As neighbours_sql; ids are integers or strings, of one kind on both sides. Each block of queries looks at one block
+    of the index after the other and skips those that the triangle inequality rules out, so the result is exact. counters:
+    two Spark accumulators, for (query, block) pairs and for those skipped."""
+    kind = "string" if index.schema["id"].dataType.simpleString() == "string" else "bigint"
     ids = pa.string() if kind == "string" else pa.int64()
+    array_of = lambda values: np.array(values.to_pylist(), object) if kind == "string" else values.to_numpy()
 
     def run(batches):
+        now, best = None, None
+
+        def found():
+            if counters:
+                counters[0].add(best.asked)
+                counters[1].add(best.skipped)
+            return pa.RecordBatch.from_arrays([pa.array(best.ids[best.row].tolist(), ids), pa.array(best.near.tolist(), ids), pa.array(best.label.tolist(), pa.string()), pa.array(best.sim)], names=["query_id", "neighbour_id", "label", "similarity"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                qn, n = np.frombuffer(row["qn"]), np.frombuffer(row["n"])
-                a, b = np.frombuffer(row["qm"]).reshape(len(qn), -1), np.frombuffer(row["m"]).reshape(len(n), -1)
-                scale = qn[:, None] * n[None, :]
-                s = np.divide(a @ b.T, scale, out=np.zeros(scale.shape), where=scale > 0)
-                qid, iid, lab = np.array(row["q"]), np.array(row["i"]), row["l"]
-                if exclude_self:
-                    s[qid[:, None] == iid[None, :]] = -np.inf
-                out_q, out_i = [], []
-                for r in np.flatnonzero(qn > 0):
-                    # All that tie with the k-th stay, so that the final order can settle them by id.
-                    line = s[r]
-                    edge = np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else -np.inf
-                    c = np.flatnonzero(line >= edge)
-                    if len(c) > k:
-                        c = c[np.lexsort((iid[c], -line[c]))[:k]]
-                    c = c[np.isfinite(line[c])]
-                    out_q.append(np.full(len(c), r)), out_i.append(c)
-                x, y = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (out_q, out_i))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[x].tolist(), ids), pa.array(iid[y].tolist(), ids), pa.array([lab[j] for j in y], pa.string()), pa.array(s[x, y])], names=["query_id", "neighbour_id", "label", "similarity"])
-
-    pairs = q.crossJoin(i).select("q", "qm", "qn", "i", "l", "m", "n").mapInArrow(run, f"query_id {kind}, neighbour_id {kind}, label string, similarity double")
-    return _ranked(pairs, k)
+            for at in range(len(batch)):
+                cell = lambda c: batch.column(c)[at]  # noqa: B023, E731
+                if (b := cell("b").as_py()) != now:
+                    if best is not None:
+                        yield found()
+                    q = array_of(cell("q").values)
+                    now, best = b, _Nearest(q, np.frombuffer(cell("qm").as_buffer()).reshape(len(q), -1), k, exclude_self)
+                i = array_of(cell("i").values)
+                best.look(i, np.array(cell("l").values.to_pylist(), object), np.frombuffer(cell("m").as_buffer()).reshape(len(i), -1), np.frombuffer(cell("pivot").as_buffer()), cell("radius").as_py())
+        if best is not None:
+            yield found()
+
+    pairs = _query_blocks(queries, kind).crossJoin(index_blocks(index, kind)).select("b", "q", "qm", "i", "l", "m", "pivot", "radius")
+    return _ranked(pairs.mapInArrow(run, f"query_id {kind}, neighbour_id {kind}, label string, similarity double"), k)
