@@ -51,13 +51,6 @@ def label_counts(view: DataFrame) -> DataFrame:
     return view.groupBy(F.col("index_label").alias("label")).agg(F.count(F.lit(1)).alias("examples"))
 
 
-def with_view(store: SnapshotStore, changes: dict[str, Change]) -> tuple[dict[str, Change], DataFrame]:
-    """changes of embeddings and labels with those that keep the view and its counts in step, to be committed together, and
-    the signed rows, persisted: unpersist them after the commit."""
-    signed = signed_rows(store.table("index_view"), store.table("embeddings"), store.table("labels"), changes.get("embeddings", Change()), changes.get("labels", Change())).persist()
-    return {**changes, **view_changes(signed, store.table("index_counts"))}, signed
-
-
 class IndexView:
     """The view in a store: what the classifier reads, and the changes that an index takes."""
 
@@ -87,10 +80,15 @@ class IndexView:
 
     def apply(self, changes: dict[str, Change], batch_id: int | None = None) -> int:
         """Commits changes of embeddings and labels (and other tables) together with the view's."""
-        self.in_step()
-        changes, signed = with_view(self.store, changes)
+        s = self.in_step().store
+        if s.has_batch(batch_id):
+            return s.version
+        staged = s.stage(changes)
+        if not any(staged[n].rows for n in ("embeddings", "labels") if n in staged):
+            return s.commit(batch_id=batch_id, changes=staged)
+        signed = signed_rows(s.table("index_view"), s.table("embeddings"), s.table("labels"), staged.get("embeddings", Change()), staged.get("labels", Change())).persist()
         try:
-            return self.store.commit(batch_id=batch_id, changes=changes)
+            return s.commit(batch_id=batch_id, changes={**staged, **view_changes(signed, s.table("index_counts"))})
         finally:
             signed.unpersist()
 

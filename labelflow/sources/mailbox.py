@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from labelflow.schemas import HISTORY
 
@@ -44,32 +43,3 @@ def excluded_names(spark: SparkSession, setting: str | None) -> DataFrame:
     """(label_name) of the job parameter that names excluded labels, one a line: names are trimmed, empty ones dropped."""
     lines = spark.createDataFrame([(setting or "",)], "s string").select(F.explode(F.split("s", "\\R")).alias("label_name"))
     return lines.select(F.trim("label_name").alias("label_name")).where("label_name <> ''").distinct()
-
-
-class PagedSource(DataSource):
-    """A paged listing API as a data source: option pages is the number of pages, each read by its own task through
-    fetch(page) -> rows; subclass and set fetch, or register as it is for a made-up listing (tests)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_listing"
-
-    def schema(self) -> str:
-        return "message_id string, page int"
-
-    def fetch(self, page: int, size: int):
-        return [(f"m{page * size + i}", page) for i in range(size)]
-
-    def reader(self, schema):
-        return _PagedReader(self, int(self.options.get("pages", "1")), min(int(self.options.get("size", "500")), 500))
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, source: PagedSource, pages: int, size: int):
-        self.source, self.pages, self.size = source, pages, size
-
-    def partitions(self):
-        return [InputPartition(i) for i in range(self.pages)]
-
-    def read(self, partition):
-        yield from self.source.fetch(partition.value, self.size)

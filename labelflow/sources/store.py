@@ -42,6 +42,16 @@ class Change:
     deletes: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Staged(Change):
+    """A change that is written already: its rows are read from its files, which a commit then only has to name."""
+
+    path: str = ""
+    size: int = 0
+    rows: int = 0
+    seq: int = 0
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False, now_ms: Callable[[], int] = lambda: int(time.time() * 1000)):
         """read_only fails if there is nothing yet, and never writes."""
@@ -121,11 +131,14 @@ class SnapshotStore:
         """Whether the index view is in step with embeddings and labels."""
         return bool(self._manifest()[1].get("viewed"))
 
+    def _rows_of(self, name: str, *deltas: str) -> DataFrame:
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._schema(name).fields) + ", _op int, _seq bigint"
+        return self.spark.read.schema(ddl).parquet(*deltas)
+
     def _latest(self, name: str, deltas: list[str]) -> DataFrame:
         """The last row of each key among deltas, with _op (1: upsert, 0: delete) and _seq."""
         fields = self._schema(name).fieldNames()
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._schema(name).fields) + ", _op int, _seq bigint"
-        rows = self.spark.read.schema(ddl).parquet(*deltas)
+        rows = self._rows_of(name, *deltas)
         return rows.groupBy(*self._keys(name)).agg(F.max_by(F.struct(*fields, "_op", "_seq"), F.struct("_seq", "_op")).alias("r")).select("r.*")
 
     def _merged(self, name: str, entry: dict | None) -> DataFrame:
@@ -157,6 +170,23 @@ class SnapshotStore:
             parts.append(change.upserts.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], F.lit(1).alias("_op")))
         return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).withColumn("_seq", F.lit(seq).cast("bigint"))
 
+    def stage(self, changes: dict[str, Change]) -> dict[str, Staged]:
+        """Writes changes without committing them, so that others can be derived from what was written and not from the
+        plans behind it. Tables are written side by side: most changes are small, and their jobs would wait for one
+        another's start."""
+        seq = self.version + 1
+
+        def one(job: tuple[str, Change]) -> tuple[str, Staged]:
+            name, change = job
+            if isinstance(change, Staged):
+                return name, change
+            path, size, rows = self._write(name, self._delta(name, change, seq), "delta")
+            back = self._rows_of(name, path)
+            return name, Staged(back.where("_op = 1").select(self._schema(name).fieldNames()), back.where("_op = 0").select(*self._keys(name)), path, size, rows, seq)
+
+        with ThreadPoolExecutor(max(1, min(WRITERS, len(changes)))) as pool:
+            return dict(pool.map(one, changes.items()))
+
     def _tidied(self, name: str, entry: dict, most: int, share: int) -> dict:
         """entry with its deltas merged among themselves or into the base where they are too many or too heavy."""
         weight = sum(entry["bytes"][d] for d in entry["deltas"])
@@ -169,6 +199,11 @@ class SnapshotStore:
             return {"base": entry["base"], "deltas": [path], "bytes": {**base, path: size}}
         return entry
 
+    def has_batch(self, batch_id: int | None) -> bool:
+        """Whether this batch, or a later one, was committed."""
+        last = self._manifest()[1]["batch"]
+        return batch_id is not None and last is not None and batch_id <= last
+
     def names(self) -> set[str]:
         """Tables that the store has."""
         return set(self._manifest()[1]["tables"])
@@ -180,31 +215,30 @@ class SnapshotStore:
         if self.read_only:
             raise PermissionError("the store is read-only")
         version, old = self._manifest()
+        if self.has_batch(batch_id):
+            return version
         if at is not None and at != version:
             raise RuntimeError("another writer committed first")
-        if batch_id is not None and old["batch"] is not None and batch_id <= old["batch"]:
-            return version
         new, self.written = dict(old["tables"]), {}
-        jobs = [(n, df.select(self._schema(n).fieldNames()), "base") for n, df in (tables or {}).items()]
-        jobs += [(n, self._delta(n, c, version + 1), "delta") for n, c in (changes or {}).items()]
-        # Tables are written side by side: most changes are small, and their jobs would wait for one another's start.
-        with ThreadPoolExecutor(max(1, min(WRITERS, len(jobs)))) as pool:
-            results = list(pool.map(lambda job: self._write(*job), jobs))
-        for (name, _, kind), (path, size, rows) in zip(jobs, results):
-            self.written[name] = rows
-            if kind == "base":
-                new[name] = {"base": path, "deltas": [], "bytes": {path: size}}
-            elif not rows:
-                self._fs.delete(self._path(path), True)
+        for name, df in (tables or {}).items():
+            path, size, self.written[name] = self._write(name, df.select(self._schema(name).fieldNames()), "base")
+            new[name] = {"base": path, "deltas": [], "bytes": {path: size}}
+        staged = self.stage(changes or {})
+        if any(s.seq != version + 1 for s in staged.values()):
+            raise RuntimeError("another writer committed first")
+        for name, s in staged.items():
+            self.written[name] = s.rows
+            if not s.rows:
+                self._fs.delete(self._path(s.path), True)
             else:
                 entry = new.get(name) or {"base": None, "deltas": [], "bytes": {}}
-                new[name] = self._tidied(name, {"base": entry["base"], "deltas": [*entry["deltas"], path], "bytes": {**entry["bytes"], path: size}}, MOST_DELTAS, DELTA_SHARE)
+                new[name] = self._tidied(name, {"base": entry["base"], "deltas": [*entry["deltas"], s.path], "bytes": {**entry["bytes"], s.path: s.size}}, MOST_DELTAS, DELTA_SHARE)
         for name, other in (promote or {}).items():
             new[name] = new.pop(other)
         if new == old["tables"] and batch_id is None:
             return version
         # The index view is in step if it came along with whatever it depends on.
-        given = {*(tables or {}), *(changes or {}), *(promote or {})}
+        given = {*(tables or {}), *(promote or {}), *(n for n, c in staged.items() if c.rows or n == "index_view")}
         viewed = "index_view" in given or bool(old.get("viewed")) and not given & {"embeddings", "labels"}
         self._publish(version + 1, {"tables": new, "batch": old["batch"] if batch_id is None else batch_id, "viewed": viewed})
         return version + 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from labelflow.operators import changes, keyed, lifecycle, maturity, worklist
 from labelflow.operators import registry as reg
 from labelflow.schemas import EMBEDDINGS, HISTORY, LABELS, REGISTRY, SKIP
-from labelflow.sources.mailbox import PagedSource, excluded_names, history_since, unlabelled_inbox
+from labelflow.sources.mailbox import excluded_names, history_since, unlabelled_inbox
 from labelflow.sources.store import SnapshotStore
 from labelflow.streaming.pipeline import ChangeConsumer, run_with_retries, transient
 
@@ -124,8 +124,6 @@ def test_mailbox_sources(spark, tmp_path):
     with pytest.raises(LookupError):
         history_since(history(spark, ("labelsAdded", "a", [])), 3, oldest=10)
     assert rows(excluded_names(spark, " A \r\n\nB b\nA"), "label_name") == [("A",), ("B b",)] and excluded_names(spark, None).isEmpty()
-    spark.dataSource.register(PagedSource)
-    assert spark.read.format("paged_listing").option("pages", 3).option("size", 4).load().count() == 12
 
 
 def test_store_commits_together(spark, tmp_path):
