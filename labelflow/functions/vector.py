@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,22 +45,41 @@ class HashingEmbedder:
         self.dimension = dimension
 
     def embed(self, text: str) -> np.ndarray:
-        out = np.zeros(self.dimension)
-        for w in re.findall(r"[a-z0-9]+", (text or "").lower()):
-            out[int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % self.dimension] += 1
-        n = float(np.sqrt((out * out).sum()))
-        return (out / n if n else out).astype(np.float32)
+        return self.embed_batch([text])[0]
 
+    def embed_batch(self, texts: list[str]) -> np.ndarray:
+        """A row per text; a text without words has a vector without length."""
+        out = np.zeros((len(texts), self.dimension))
+        for row, t in zip(out, texts):
+            words, n = np.unique(re.findall(r"[a-z0-9]+", (t or "").lower()), return_counts=True)
+            np.add.at(row, [int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % self.dimension for w in words.tolist()], n)
+        n = np.sqrt((out * out).sum(1))[:, None]
+        return np.divide(out, n, out=out, where=n > 0).astype(np.float32)
 
-def embed(text: Column, embedder: Embedder) -> Column:
-    """Vectors of texts in Arrow batches."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: embedder.embed(t).tolist())
+def embed_rows(rows: DataFrame, text: str, embedder: Embedder, keep: tuple[str, ...]) -> DataFrame:
+    """keep and vector: the texts of a column in batches of Arrow, a batch at a time where the embedder takes batches."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches):
+        many = getattr(embedder, "embed_batch", None) or (lambda texts: np.stack([embedder.embed(t) for t in texts]))
+        for batch in batches:
+            if len(batch):
+                x = np.asarray(many(batch.column(len(keep)).to_pylist()), np.float32)
+                places = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(places, pa.array(x.ravel()))], names=[*keep, "vector"])
+
+    return rows.select(*keep, text).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "vector array<float>"]))
+
+
+def vector_to_bytes(vector: Column) -> Column:
+    """Raw little-endian float32 bytes of a vector, for exports."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
-    return run(text)
+    return run(vector)
 
 
 def vector_from_bytes(blob: Column) -> Column:

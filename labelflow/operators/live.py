@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.functions import text
-from labelflow.functions.vector import Embedder
-from labelflow.functions.vector import embed as embed_text
+from labelflow.functions.vector import Embedder, embed_rows
 from labelflow.operators import keyed, knn, lifecycle, registry, vote
 from labelflow.operators.index_view import IndexView, label_counts
 from labelflow.operators.keyed import index_join
@@ -29,7 +28,8 @@ def message_vectors(messages: DataFrame, embedder: Embedder) -> Embed:
     def run(ids: DataFrame) -> DataFrame:
         body = text.normalise_body(F.col("body_html"))
         said = text.text_representation(F.col("from_name"), F.col("from_address"), F.col("subject"), body, F.col("list_id"))
-        return messages.join(ids.select("message_id").distinct(), "message_id", "left_semi").select("message_id", embed_text(said, embedder).alias("vector"))
+        mine = messages.join(ids.select("message_id").distinct(), "message_id", "left_semi").select("message_id", said.alias("said"))
+        return embed_rows(mine, "said", embedder, ("message_id",))
 
     return run
 

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.functions import fingerprints, mail, text
-from labelflow.functions.vector import cosine, norm
+from labelflow.functions.vector import HashingEmbedder, cosine, norm
 from labelflow.operators import changes, keyed, knn, lifecycle, live, maturity, vote, worklist
 from labelflow.operators import registry as reg
+from labelflow.operators.index_view import IndexView
 from labelflow.plans import views
 from labelflow.plans.views import table
 from labelflow.schemas import SKIP
+from labelflow.sources.paged import PagedSource, stage
+from labelflow.sources.shared import new_folder
+from labelflow.sources.store import Change, SnapshotStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -761,6 +765,116 @@ def rebuild_vectors(spark, sf_dir):
     return live.rebuild(labels, embed).select("message_id")
 
 
+# ---- stored state: deltas, index view, rebuild, text to vote ---------------------------------------------------------
+
+
+def _store(spark):
+    return SnapshotStore(spark, new_folder(spark, "state"))
+
+
+def _thirds(events):
+    """The events in three parts by their order."""
+    last = events.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    return [events.where((F.col("seq") * 3 > k * last) & (F.col("seq") * 3 <= (k + 1) * last) if k else F.col("seq") * 3 <= last) for k in range(3)]
+
+
+def _label_change(part):
+    """Last click (label added) or error (label removed) of each user in a part, as a change of labels."""
+    last = keyed.latest(part.where("type <> 'messagesAdded'").withColumn("message_id", F.col("message_id").cast("string")), "message_id")
+    up = last.where("type = 'labelsAdded'").select("message_id", F.col("label_ids")[0].alias("label_id"), F.lit(None).cast("string").alias("label_name"), F.lit("user").alias("source"))
+    return Change(up, last.where("type = 'labelsRemoved'"))
+
+
+_LAST_LABEL = """ev AS (SELECT user_id AS message_id, arg_max(event_type, event_id) AS kind, 'L' || (max(event_id) % 7) AS label_id FROM events WHERE event_type IN ('click', 'error') GROUP BY 1)"""
+
+
+@query(f"WITH {_LAST_LABEL} SELECT message_id, label_id FROM ev WHERE kind = 'click' UNION ALL SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT message_id FROM ev)")
+def store_merge_on_read(spark, sf_dir):
+    """documents as a stored table, three commits of deltas by the events, read back merged."""
+    store = _store(spark)
+    d = table(spark, sf_dir, "documents")
+    store.commit({"labels": d.select(F.col("doc_id").cast("string").alias("message_id"), F.col("source").alias("label_id"), F.lit(None).cast("string").alias("label_name"), F.lit("user").alias("source"))})
+    for k, part in enumerate(_thirds(views.history(spark, sf_dir))):
+        store.commit(changes={"labels": _label_change(part)}, batch_id=k)
+    return store.table("labels").select(F.col("message_id").cast("bigint").alias("message_id"), "label_id")
+
+
+_VIEW = f"""WITH {_STATE}, {_LAST_LABEL}, new_lab AS (SELECT message_id, label_id AS index_label FROM ev WHERE kind = 'click' UNION ALL SELECT message_id, CASE WHEN label_id = '{SKIP}' THEN label_id ELSE coalesce(nullif(label_name, ''), label_id) END FROM lab WHERE message_id NOT IN (SELECT message_id FROM ev)),
+    vec AS (SELECT vec_id AS message_id FROM embeddings WHERE label < 5 UNION SELECT user_id FROM events WHERE event_type = 'signup' AND user_id IN (SELECT vec_id FROM embeddings)), v AS (SELECT message_id, index_label FROM new_lab JOIN vec USING (message_id))"""
+
+
+def _replayed(spark, sf_dir):
+    """The index view after a replay of the events: labels change by clicks and errors, vectors come in by signups."""
+    view = IndexView(_store(spark))
+    e, text_id = table(spark, sf_dir, "embeddings"), lambda c: F.col(c).cast("string").alias("message_id")
+    view.store.commit({"embeddings": e.where("label < 5").select(text_id("vec_id"), F.col("embedding").alias("vector")), "labels": views.state_labels(spark, sf_dir).withColumn("message_id", F.col("message_id").cast("string"))})
+    for k, part in enumerate(_thirds(views.history(spark, sf_dir))):
+        joined = e.join(part.where("type = 'messagesAdded'").select(F.col("message_id").alias("vec_id")).distinct(), "vec_id").select(text_id("vec_id"), F.col("embedding").alias("vector"))
+        view.apply({"labels": _label_change(part), "embeddings": Change(joined)}, k)
+    return view
+
+
+@query(_VIEW + " SELECT * FROM v")
+def index_view_replay(spark, sf_dir):
+    return _replayed(spark, sf_dir).store.table("index_view").select(F.col("message_id").cast("bigint").alias("message_id"), "index_label")
+
+
+@query(_VIEW + " SELECT index_label AS label, count(*) AS examples FROM v GROUP BY 1")
+def index_view_counts(spark, sf_dir):
+    """Counts that were kept by signs, not counted."""
+    return _replayed(spark, sf_dir).counts()
+
+
+@query("SELECT doc_id AS message_id, round(list_sum(list_transform(e.embedding, lambda x: 2 * x::DOUBLE)), 4) AS total FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id")
+def rebuild_beside(spark, sf_dir):
+    """All labelled messages' vectors by a new model (twice the old one's), swapped in together with its fingerprint."""
+    store, e = _store(spark), table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("message_id"), "embedding")
+    store.commit({"embeddings": e.select("message_id", F.col("embedding").alias("vector")), "labels": views.state_labels(spark, sf_dir).withColumn("message_id", F.col("message_id").cast("string"))})
+    live.rebuild_beside(store, lambda ids: e.join(ids.select("message_id"), "message_id", "left_semi").select("message_id", F.transform("embedding", lambda x: (2 * x).cast("float")).alias("vector")), "f2")
+    return store.table("embeddings").select(F.col("message_id").cast("bigint").alias("message_id"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+_TEXT_VECTORS = f"""body AS ({_BODY}), said AS (SELECT page_id, regexp_extract_all(lower('page <' || page_id || '@example.com> | ' || p.url || ' | ' || b.text), '[a-z0-9]+') AS ws FROM body b JOIN pages p USING (page_id)),
+    places AS (SELECT page_id, list_transform(ws, lambda w: ('0x' || md5(w)[:8])::UBIGINT % 384) AS ps FROM said),
+    counted AS (SELECT page_id, list_transform(range(384), lambda b: len(list_filter(ps, lambda x: x = b))::DOUBLE) AS c FROM places),
+    embeddings AS (SELECT page_id AS vec_id, list_transform(c, lambda x: (x / sqrt(list_dot_product(c, c)))::FLOAT) AS embedding, page_id % 10 AS label FROM counted)"""
+
+
+@query(f"WITH {_TEXT_VECTORS}, {_vectors_sql()} SELECT query_id, label, round(confidence, 4) AS confidence, action FROM acted")
+def process_history_text(spark, sf_dir):
+    """From raw pages to verdicts: body normalised, one text a message, vectors by the hashing embedder, neighbours, vote."""
+    p = table(spark, sf_dir, "pages")
+    messages = p.select(F.col("page_id").alias("message_id"), F.lit("page").alias("from_name"), F.concat(F.col("page_id").cast("string"), F.lit("@example.com")).alias("from_address"), F.col("url").alias("subject"), F.col("html").alias("body_html"), F.lit("").alias("list_id"))
+    vectors = live.message_vectors(messages, HashingEmbedder())(messages)
+    label = F.when(F.col("message_id") % 10 == 9, SKIP).otherwise(F.concat(F.lit("L"), (F.col("message_id") % 10).cast("string")))
+    index = vectors.select(F.col("message_id").alias("id"), "vector", label.alias("label"))
+    q = views.queries(index)
+    return vote.classify(q, index, knn.neighbours_blocked(q, index, exclude_self=True)).select("query_id", "label", F.round("confidence", 4).alias("confidence"), "action")
+
+
+# ---- paged listings --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id AS seq, event_type AS type, user_id AS message_id FROM events")
+def paged_history(spark, sf_dir):
+    """events as a paged change log, read page by page as a stream whose offset is the page token, in two runs."""
+    root, work = new_folder(spark, "listing"), new_folder(spark, "streams")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.col("user_id").alias("message_id"))
+    stage(e, "seq", root)
+    spark.dataSource.register(PagedSource)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/out/batch={batch_id}")
+
+    for _ in range(2):
+        q = spark.readStream.format("paged_listing").option("root", root).load().writeStream.foreachBatch(step).option("checkpointLocation", f"{work}/checkpoint").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    return spark.read.schema("seq bigint, type string, message_id bigint, batch bigint").parquet(f"{work}/out").drop("batch")
+
+
 # ---- streams: the same rows as their batch twins -----------------------------------------------------------------
 
 

@@ -90,3 +90,34 @@ def test_gate_needs_a_registered_label(spark):
     v = spark.createDataFrame([(1, "A", "label"), (2, "B", "label"), (3, "C", "label_with_review"), (4, "A", "no_label")], "query_id bigint, label string, action string")
     r = spark.createDataFrame([("1", "A", False), ("2", "B", True)], "label_id string, label_name string, is_excluded boolean")
     assert {x["query_id"]: x["applied"] for x in vote.apply_gate(v, r).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_embedding_in_batches_and_bytes(spark):
+    from labelflow.functions.vector import HashingEmbedder, embed_rows, vector_from_bytes, vector_to_bytes
+
+    one, texts = HashingEmbedder(16), ["a b a", "", None, "ünï B2", "a b a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    got = {r.id: r.vector for r in embed_rows(rows, "text", one, ("id",)).collect()}
+    assert all(got[i] == one.embed(t).tolist() for i, t in enumerate(texts)) and got[0] == got[4] and set(got[1]) == {0.0} and len(got) == 5
+
+    class Single:
+        def embed(self, text):
+            return one.embed(text)
+
+    assert {r.id: r.vector for r in embed_rows(rows, "text", Single(), ("id",)).collect()} == got
+    back = embed_rows(rows, "text", one, ("id",)).select("id", vector_from_bytes(vector_to_bytes("vector")).alias("v"))
+    assert {r.id: r.v for r in back.collect()} == got
+
+
+def test_far_blocks_are_skipped_and_the_result_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16)) * 4
+    points = [(f"p{i:04d}", (centres[i % 12] + rng.normal(size=16) * 0.1).tolist()) for i in range(900)] + [("zero", [0.0] * 16), ("twin", centres[0].tolist()), ("twim", centres[0].tolist())]
+    index = spark.createDataFrame([(i, v, f"L{k % 5}") for k, (i, v) in enumerate(points)], "id string, vector array<double>, label string").repartition(3)
+    queries = index.where("id like 'p00%' or id like 't%' or id = 'zero'").select("id", "vector")
+    seen, skipped = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = knn.neighbours_blocked(queries, index, 4, exclude_self=True, counters=(seen, skipped))
+    key = lambda df: sorted((r.query_id, r["rank"], r.neighbour_id, r.label, round(r.similarity, 9)) for r in df.collect())
+    assert key(got) == key(knn.neighbours_sql(queries, index, 4, exclude_self=True))
+    assert skipped.value > seen.value // 4
