@@ -21,6 +21,8 @@ from labelflow.schemas import K_NEIGHBOURS
 BLOCK_ROWS = 2048
 #: Directions that tell places apart.
 PLACE_BITS = 8
+#: Blocks of queries that a task has in hand.
+OPEN_BLOCKS = 32
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -151,9 +153,9 @@ def neighbours_blocked(queries: DataFrame, index: DataFrame, k: int = K_NEIGHBOU
     array_of = lambda values: np.array(values.to_pylist(), object) if kind == "string" else values.to_numpy()
 
     def run(batches):
-        now, best = None, None
+        open_: dict[str, _Nearest] = {}
 
-        def found():
+        def found(best):
             if counters:
                 counters[0].add(best.asked)
                 counters[1].add(best.skipped)
@@ -162,15 +164,16 @@ def neighbours_blocked(queries: DataFrame, index: DataFrame, k: int = K_NEIGHBOU
         for batch in batches:
             for at in range(len(batch)):
                 cell = lambda c: batch.column(c)[at]  # noqa: B023, E731
-                if (b := cell("b").as_py()) != now:
-                    if best is not None:
-                        yield found()
+                # Pairs come with either side in the outer loop, as Spark sees fit.
+                if (best := open_.get(b := cell("b").as_py())) is None:
+                    if len(open_) == OPEN_BLOCKS:
+                        yield found(open_.pop(next(iter(open_))))
                     q = array_of(cell("q").values)
-                    now, best = b, _Nearest(q, np.frombuffer(cell("qm").as_buffer()).reshape(len(q), -1), k, exclude_self)
+                    best = open_[b] = _Nearest(q, np.frombuffer(cell("qm").as_buffer()).reshape(len(q), -1).copy(), k, exclude_self)
                 i = array_of(cell("i").values)
                 best.look(i, np.array(cell("l").values.to_pylist(), object), np.frombuffer(cell("m").as_buffer()).reshape(len(i), -1), np.frombuffer(cell("pivot").as_buffer()), cell("radius").as_py())
-        if best is not None:
-            yield found()
+        for best in open_.values():
+            yield found(best)
 
     pairs = _query_blocks(queries, kind).crossJoin(index_blocks(index, kind)).select("b", "q", "qm", "i", "l", "m", "pivot", "radius")
     return _ranked(pairs.mapInArrow(run, f"query_id {kind}, neighbour_id {kind}, label string, similarity double"), k)
