@@ -557,9 +557,11 @@ def exclusion_reconcile(spark, sf_dir):
     return reg.exclusion_changes(present, included)
 
 
-@query(f"WITH {_REGISTRY} SELECT max(length(label_name)) AS width FROM reg WHERE NOT is_excluded")
+@query("SELECT max(length(n_name)) AS width FROM nation WHERE n_regionkey <> 0")
 def max_label_width(spark, sf_dir):
-    return reg.max_label_width(views.registry(spark))
+    """Nations are labels, those of region 0 excluded."""
+    n = table(spark, sf_dir, "nation")
+    return reg.max_label_width(n.select(F.col("n_name").alias("label_name"), (F.col("n_regionkey") == 0).alias("is_excluded")))
 
 
 _WORK = f"""l AS (SELECT o_orderpriority[:1] AS label_id, o_orderkey AS message_id, o_orderdate AS recency, o_orderstatus FROM orders),
@@ -613,23 +615,20 @@ def maturity_open(spark, sf_dir):
     return maturity.is_open(_gate(spark, sf_dir), keyed.index_label_counts(*_state(spark, sf_dir)))
 
 
-_STARTS = [
-    (1, None, None, None, "a", None, "f", None, "h"), (2, "in_progress", "1", "a", "a", "f", "f", "h", "h"), (3, "complete", "2", "a", "a", "f", "f", "h", "h"), (4, "complete", "1", None, "a", "f", "f", "h", "h"),
-    (5, "complete", "1", "", "", "f", "f", "h", "h"), (6, "complete", "1", "b", "a", "f", "f", "h", "h"), (7, "complete", "1", "a", "a", "g", "f", "x", "h"), (8, "complete", "1", "a", "a", "f", "f", "x", "h"),
-    (9, "complete", None, "a", "a", "f", "f", "h", "h"), (10, "complete", "1", "a", "a", "f", "f", "h", "h"),
-]
-_START_COLUMNS = "scenario, bootstrap_status, schema_version, account_id, want_account, fingerprint, want_fingerprint, excluded_hash, want_excluded_hash"
-
-
-def _sql_values(rows) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
+_STARTS = {
+    "bootstrap_status": "CASE c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'in_progress' ELSE 'complete' END", "schema_version": "CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '2' ELSE '1' END",
+    "account_id": "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'b' ELSE 'a' END", "want_account": "CASE c_custkey % 13 WHEN 0 THEN '' ELSE 'a' END",
+    "fingerprint": "CASE c_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'g' ELSE 'f' END", "want_fingerprint": "'f'", "excluded_hash": "CASE c_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x' ELSE 'h' END", "want_excluded_hash": "'h'",
+}
+_STARTED = "SELECT c_custkey, " + ", ".join(f"{v} AS {k}" for k, v in _STARTS.items()) + " FROM customer"
 
 
-@query(f"""SELECT scenario, CASE WHEN coalesce(bootstrap_status, 'in_progress') = 'in_progress' THEN 'BOOTSTRAP' WHEN schema_version <> '1' THEN 'INCOMPATIBLE' WHEN coalesce(account_id, '') = '' OR account_id IS DISTINCT FROM want_account THEN 'INCOMPATIBLE'
-    WHEN fingerprint IS DISTINCT FROM want_fingerprint THEN 'REBUILD' WHEN excluded_hash IS DISTINCT FROM want_excluded_hash THEN 'RECONCILE' ELSE 'WARM' END AS decision FROM (VALUES {_sql_values(_STARTS)}) t({_START_COLUMNS})""")
+@query(f"""SELECT c_custkey, CASE WHEN coalesce(bootstrap_status, 'in_progress') = 'in_progress' THEN 'BOOTSTRAP' WHEN schema_version <> '1' THEN 'INCOMPATIBLE' WHEN coalesce(account_id, '') = '' OR account_id IS DISTINCT FROM want_account THEN 'INCOMPATIBLE'
+    WHEN fingerprint IS DISTINCT FROM want_fingerprint THEN 'REBUILD' WHEN excluded_hash IS DISTINCT FROM want_excluded_hash THEN 'RECONCILE' ELSE 'WARM' END AS decision FROM ({_STARTED})""")
 def startup_decision(spark, sf_dir):
-    rows = values(spark, _STARTS, "scenario int, " + ", ".join(f"{c} string" for c in _START_COLUMNS.split(", ")[1:]))
-    return rows.select("scenario", lifecycle.startup_decision().alias("decision"))
+    """Customers are stored states of all kinds."""
+    states = table(spark, sf_dir, "customer").selectExpr("c_custkey", *[f"{v} AS {k}" for k, v in _STARTS.items()])
+    return states.select("c_custkey", lifecycle.startup_decision().alias("decision"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 AND (event_id - 5000) * 1000 BETWEEN 0 AND 3600000 THEN 'REPLAY' ELSE 'RESYNC' END AS decision FROM events")
@@ -639,13 +638,12 @@ def gap_decision(spark, sf_dir):
     return e.select("event_id", lifecycle.gap_decision(F.col("cursor"), F.col("at"), F.lit(10_000_000)).alias("decision"))
 
 
-@query("WITH RECURSIVE b(i, s) AS (SELECT 1, 5 UNION ALL SELECT i + 1, least(s * 2, 60) FROM b WHERE i < 8) SELECT i AS attempt, s AS seconds FROM b")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 5 ELSE least(least(5 * 2 ** (o_orderkey % 9 - 1), 60) * 2, 60)::INT END AS seconds FROM orders")
 def backoff_curve(spark, sf_dir):
-    rows, s = [], F.lit(0)
-    for i in range(1, 9):
-        s = lifecycle.next_backoff(s)
-        rows.append(F.struct(F.lit(i).alias("attempt"), s.alias("seconds")))
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    """Orders are restarts after 0 to 8 failures; the wait before was that of one failure less."""
+    n = F.col("o_orderkey") % 9
+    before = F.when(n == 0, 0).otherwise(F.least(5 * F.pow(F.lit(2), n - 1), F.lit(60))).cast("int")
+    return table(spark, sf_dir, "orders").select("o_orderkey", lifecycle.next_backoff(before).cast("int").alias("seconds"))
 
 
 @query(f"""WITH {_STATE}, want AS (SELECT vec_id AS message_id, 'T' || (label % 2) AS new_id FROM embeddings WHERE label < 5)
