@@ -69,9 +69,10 @@ def index_blocks(index: DataFrame, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_places(_matrix(batch.column(2))), pa.int64())], names=["i", "l", "v", "place"])
 
     def packed(batches):
-        table = pa.Table.from_batches(batches)
-        if not len(table):
+        # A partition is as large as Spark's advisory size; it may be empty.
+        if not (batches := list(batches)):
             return
+        table = pa.Table.from_batches(batches)
         place = table.column("place").to_numpy()
         at = 0
         while at < len(table):

@@ -843,7 +843,9 @@ def process_history_text(spark, sf_dir):
     """From raw pages to verdicts: body normalised, one text a message, vectors by the hashing embedder, neighbours, vote."""
     p = table(spark, sf_dir, "pages")
     messages = p.select(F.col("page_id").alias("message_id"), F.lit("page").alias("from_name"), F.concat(F.col("page_id").cast("string"), F.lit("@example.com")).alias("from_address"), F.col("url").alias("subject"), F.col("html").alias("body_html"), F.lit("").alias("list_id"))
-    vectors = live.message_vectors(messages, HashingEmbedder())(messages)
+    # Written once: the index, the queries and the labels' counts read them.
+    live.message_vectors(messages, HashingEmbedder())(messages).write.parquet(path := new_folder(spark, "vectors"))
+    vectors = spark.read.schema("message_id bigint, vector array<float>").parquet(path)
     label = F.when(F.col("message_id") % 10 == 9, SKIP).otherwise(F.concat(F.lit("L"), (F.col("message_id") % 10).cast("string")))
     index = vectors.select(F.col("message_id").alias("id"), "vector", label.alias("label"))
     q = views.queries(index)
