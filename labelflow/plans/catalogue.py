@@ -12,6 +12,7 @@ from labelflow.functions.vector import HashingEmbedder, cosine, norm
 from labelflow.operators import changes, keyed, knn, lifecycle, live, maturity, vote, worklist
 from labelflow.operators import registry as reg
 from labelflow.operators.index_view import IndexView
+from labelflow.operators.progressive import ProgressiveBuild, admitted, batches
 from labelflow.plans import views
 from labelflow.plans.views import table
 from labelflow.schemas import SKIP
@@ -852,6 +853,85 @@ def process_history_text(spark, sf_dir):
     return vote.classify(q, index, knn.neighbours_blocked(q, index, exclude_self=True)).select("query_id", "label", F.round("confidence", 4).alias("confidence"), "action")
 
 
+# ---- progressive build -----------------------------------------------------------------------------------------------
+
+_FOLDED = f"""{_WORK}, f AS (SELECT pos, message_id % 1000 AS message_id, label_id, label_name, source FROM planned),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY pos) AS nth FROM f)"""
+
+
+def _folded(spark, sf_dir):
+    """The work list with ids folded, so that messages stand in several buckets; every third has a vector already."""
+    have = spark.range(0, 1000, 3).select(F.col("id").cast("string").alias("message_id"), F.array(F.lit(0.0).cast("float")).alias("vector"))
+    return _planned(spark, sf_dir).withColumn("message_id", (F.col("message_id") % 1000).cast("string")), have
+
+
+@query(f"""WITH {_FOLDED}, t AS (SELECT pos, CASE WHEN nth = 1 AND message_id % 3 <> 0 THEN 1 ELSE 0 END AS cost FROM firsts), s AS (SELECT *, sum(cost) OVER (ORDER BY pos) AS total FROM t),
+    b AS (SELECT greatest(total - 1, 0) // 25 AS batch, count(*) AS n_rows, sum(cost) AS to_embed, max(pos) AS last_pos FROM s GROUP BY 1),
+    lags AS (SELECT *, (last_pos + 1) // 100 * 100 AS now_at, coalesce(lag(last_pos + 1) OVER (ORDER BY batch), 0) // 100 * 100 AS was, lead(batch) OVER (ORDER BY batch) AS more FROM b)
+    SELECT batch::BIGINT AS batch, n_rows, to_embed::BIGINT AS to_embed, last_pos, CASE WHEN more IS NOT NULL AND now_at > was THEN now_at END AS progress FROM lags""")
+def progressive_batches(spark, sf_dir):
+    """The work list in batches of at most 25 new vectors, with the positions that are reported."""
+    planned, have = _folded(spark, sf_dir)
+    return batches(admitted(planned, have))
+
+
+@query(f"""WITH {_FOLDED} SELECT message_id, label_id, label_name, source, message_id AS total FROM firsts WHERE nth = 1 AND message_id % 3 <> 0 AND message_id % 11 <> 0""")
+def progressive_build(spark, sf_dir):
+    """The build in batches of at most 200 new vectors, by a new process after every other batch; every eleventh message no
+    longer exists."""
+    planned, have = _folded(spark, sf_dir)
+    store = _store(spark)
+    store.commit({"embeddings": have})
+    embed = lambda ids: ids.where("message_id % 11 <> 0").select("message_id", F.array(F.col("message_id").cast("float")).alias("vector"))
+    while True:
+        build = ProgressiveBuild(store, embed, 200)
+        build.plan(lambda: planned)
+        build.run_for(0)
+        build.run_batch()
+        if build.finalise("a", "f", "h"):
+            break
+    made = store.table("embeddings").select("message_id", F.col("vector")[0].cast("bigint").alias("total"))
+    return store.table("labels").join(made, "message_id").withColumn("message_id", F.col("message_id").cast("bigint"))
+
+
+# ---- late rows -------------------------------------------------------------------------------------------------------
+
+_LATE = """hours AS (SELECT date_trunc('hour', arrived_at) AS hour, max(ts) AS newest FROM clicks WHERE ts IS NOT NULL AND arrived_at IS NOT NULL GROUP BY 1),
+    marks AS (SELECT hour, max(newest) OVER (ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS mark FROM hours),
+    routed AS (SELECT c.*, CASE WHEN ts IS NULL OR arrived_at IS NULL THEN 'undated' WHEN ts < mark THEN 'late' ELSE 'on_time' END AS route FROM clicks c LEFT JOIN marks ON hour = date_trunc('hour', arrived_at))"""
+
+
+def _split(spark, sf_dir):
+    """clicks as a log that grows by a month at a time; the stream is started anew for each."""
+    from labelflow.streaming.late import LateSplit
+
+    work, clicks = new_folder(spark, "streams"), table(spark, sf_dir, "clicks").select("click_id", "ts", "arrived_at")
+    split = LateSplit(spark, work, "ts", "arrived_at")
+    month = F.coalesce(F.month("arrived_at"), F.lit(0))
+    for k in [r[0] for r in clicks.select(month.alias("m")).distinct().sort("m").collect()]:
+        clicks.where(month == k).write.mode("append").parquet(f"{work}/log")
+        split.run(f"{work}/log", clicks.schema)
+    return split.rows()
+
+
+@query(f"WITH {_LATE} SELECT click_id, route FROM routed")
+def late_side_output(spark, sf_dir):
+    """On-time, late and undated rows of a stream: together all rows."""
+    return _split(spark, sf_dir).select("click_id", "route")
+
+
+@query(f"""WITH {_LATE} SELECT click_id AS message_id, 'late' AS reason FROM routed WHERE route = 'late' AND click_id IS NOT NULL AND epoch_us(ts) // 1000000 > 1705000000 AND click_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) GROUP BY 1""")
+def late_parked(spark, sf_dir):
+    """Messages of late rows that are not known: parked in the store."""
+    from labelflow.streaming.late import park_late
+
+    store = _store(spark)
+    store.commit({"labels": views.state_labels(spark, sf_dir).withColumn("message_id", F.col("message_id").cast("string"))})
+    late = _split(spark, sf_dir).where("route = 'late'").select(F.col("click_id").alias("message_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("sent_s"))
+    park_late(store, late, 1_705_000_000_000, "0")
+    return store.table("pending_new").select(F.col("message_id").cast("bigint").alias("message_id"), "reason")
+
+
 # ---- paged listings --------------------------------------------------------------------------------------------------
 
 

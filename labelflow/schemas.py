@@ -39,6 +39,8 @@ IDS = T.StructType([T.StructField("message_id", _s)])
 #: The index view (operators.index_view): which messages vote, and for what; how many for each label.
 INDEX_VIEW = T.StructType([T.StructField(c, _s) for c in ("message_id", "index_label")])
 INDEX_COUNTS = T.StructType([T.StructField("label", _s), T.StructField("examples", _l)])
+#: The list of a progressive build (operators.progressive).
+WORK_LIST = T.StructType([T.StructField("pos", _l), *[T.StructField(c, _s) for c in ("message_id", "label_id", "label_name", "source")], T.StructField("cost", _l), T.StructField("batch", _l)])
 #: echoes: messages whose next label changes are our own; applied: messages that we labelled and that are no news any more.
-STATE_TABLES = {"embeddings": EMBEDDINGS, "labels": LABELS, "pending_new": PENDING, "meta": META, "outbox": OUTBOX, "echoes": IDS, "applied": IDS, "index_view": INDEX_VIEW, "index_counts": INDEX_COUNTS}
-STATE_KEYS = {name: {"meta": ["key"], "outbox": ["message_id", "batch"], "index_counts": ["label"]}.get(name, ["message_id"]) for name in STATE_TABLES}
+STATE_TABLES = {"embeddings": EMBEDDINGS, "labels": LABELS, "pending_new": PENDING, "meta": META, "outbox": OUTBOX, "echoes": IDS, "applied": IDS, "index_view": INDEX_VIEW, "index_counts": INDEX_COUNTS, "work_list": WORK_LIST}
+STATE_KEYS = {name: {"meta": ["key"], "outbox": ["message_id", "batch"], "index_counts": ["label"], "work_list": ["pos"]}.get(name, ["message_id"]) for name in STATE_TABLES}
