@@ -37,6 +37,33 @@ TEMPLATES = {
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
+#: Paragraphs of licence texts beyond their headers (fixed values). BSD-3-Clause has those of BSD-2-Clause too.
+BODIES = {
+    "MIT": [
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "BSD-2-Clause": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "Apache-2.0": [
+        "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "Derivative Works shall mean any work, whether in Source or Object form, that is based on (or derived from) the Work and for which the editorial revisions, annotations, elaborations, or other modifications represent, as a whole, an original work of authorship. For the purposes of this License, Derivative Works shall not include works that remain separable from, or merely link (or bind by name) to the interfaces of, the Work and Derivative Works thereof.",
+        "Contribution shall mean any work of authorship, including the original version of the Work and any modifications or additions to that Work or Derivative Works thereof, that is intentionally submitted to Licensor for inclusion in the Work by the copyright owner or by an individual or Legal Entity authorized to submit on behalf of the copyright owner. For the purposes of this definition, submitted means any form of electronic, verbal, or written communication sent to the Licensor or its representatives, including but not limited to communication on electronic mailing lists, source code control systems, and issue tracking systems that are managed by, or on behalf of, the Licensor for the purpose of discussing and improving the Work, but excluding communication that is conspicuously marked or otherwise designated in writing by the copyright owner as Not a Contribution.",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work, where such license applies only to those patent claims licensable by such Contributor that are necessarily infringed by their Contribution(s) alone or by combination of their Contribution(s) with the Work to which such Contribution(s) was submitted. If You institute patent litigation against any entity (including a cross-claim or counterclaim in a lawsuit) alleging that the Work or a Contribution incorporated within the Work constitutes direct or contributory patent infringement, then any patent licenses granted to You under this License for that Work shall terminate as of the date such litigation is filed.",
+        "Redistribution. You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions:",
+        "Submission of Contributions. Unless You explicitly state otherwise, any Contribution intentionally submitted for inclusion in the Work by You to the Licensor shall be under the terms and conditions of this License, without any additional terms or conditions. Notwithstanding the above, nothing herein shall supersede or modify the terms of any separate license agreement you may have executed with Licensor regarding such Contributions.",
+        "Disclaimer of Warranty. Unless required by applicable law or agreed to in writing, Licensor provides the Work (and each Contributor provides its Contributions) on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied, including, without limitation, any warranties or conditions of TITLE, NON-INFRINGEMENT, MERCHANTABILITY, or FITNESS FOR A PARTICULAR PURPOSE. You are solely responsible for determining the appropriateness of using or redistributing the Work and assume any risks associated with Your exercise of permissions under this License.",
+        "Limitation of Liability. In no event and under no legal theory, whether in tort (including negligence), contract, or otherwise, unless required by applicable law (such as deliberate and grossly negligent acts) or agreed to in writing, shall any Contributor be liable to You for damages, including any direct, indirect, special, incidental, or consequential damages of any character arising as a result of this License or out of the use or inability to use the Work (including but not limited to damages for loss of goodwill, work stoppage, computer failure or malfunction, or any and all other commercial damages or losses), even if such Contributor has been advised of the possibility of such damages.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+}
+#: Whose header stands above a body of another name.
+HEADED_AS = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Lines of a window at most, and the cosine at which a line opens one.
 WINDOW, OPENS = 8, 0.25
 _TOKEN = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -90,17 +117,14 @@ class Matcher:
         return self.names[i], dots[i] / math.sqrt(norm)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=4)
 def _matcher(key: tuple) -> Matcher:
     return Matcher({k: list(v) for k, v in key})
 
 
-def scan_text(text: str, matcher: Matcher, threshold: float) -> tuple[str | None, float, int | None, float]:
-    """(licence, cosine, first line, share of the text's words in licence lines) of the best line or window; a tie goes to
-    the first. An empty text has none."""
-    lines = text.split("\n")
-    many = [len(x.split()) for x in lines]
-    best, inside = (None, 0.0, None), set()
+def windows(lines: list[str], matcher: Matcher, threshold: float):
+    """(licence, cosine, first line, line after the last) of every line that resembles a template, widened while the cosine
+    rises, where that reaches the threshold."""
     for k, line in enumerate(lines):
         # Without a telling word of a template no cosine reaches a threshold: what is left is shared by all of them.
         if matcher.words.isdisjoint(_TOKEN.findall(line.lower())):
@@ -116,31 +140,73 @@ def scan_text(text: str, matcher: Matcher, threshold: float) -> tuple[str | None
                 break
             name, cosine, lo, hi = found
         if cosine >= threshold:
-            inside.update(range(lo, hi))
-            if cosine > best[1] + 1e-12:
-                best = name, cosine, lo
+            yield name, cosine, lo, hi
+
+
+def paragraphs(lines: list[str]):
+    """(first line, line after the last) of every run of lines that have words."""
+    start = None
+    for k, line in enumerate([*lines, ""]):
+        if _TOKEN.search(line):
+            start = k if start is None else start
+        elif start is not None:
+            yield start, k
+            start = None
+
+
+def scan_text(text: str, matcher: Matcher, threshold: float, bodies: Matcher | None = None) -> tuple[str | None, float, int | None, float]:
+    """(licence, cosine, first line, share of the text's words in licence lines) of the best line or window; a tie goes to
+    the first. An empty text has none. Where paragraphs of a licence's body are there, that licence's statement goes before
+    others; of bodies the one with most lines counts, but a body that adds to another goes before it."""
+    lines = text.split("\n")
+    many = [len(x.split()) for x in lines]
+    hits: dict[str, tuple[float, int]] = {}
+    inside = set()
+    for name, cosine, lo, hi in windows(lines, matcher, threshold):
+        inside.update(range(lo, hi))
+        if name not in hits or cosine > hits[name][0] + 1e-12:
+            hits[name] = cosine, lo
+    best = (None, 0.0, None)
+    for name, (cosine, lo) in sorted(hits.items(), key=lambda h: h[1][1]):
+        if cosine > best[1] + 1e-12:
+            best = name, cosine, lo
+    if hits and bodies is not None and bodies.names:
+        found: dict[str, set[int]] = {}
+        for lo, hi in paragraphs(lines):
+            name, cosine = bodies.best(" ".join(lines[lo:hi]))
+            if cosine >= threshold:
+                found.setdefault(name, set()).update(range(lo, hi))
+        for name, _, lo, hi in windows(lines, bodies, threshold):
+            found.setdefault(name, set()).update(range(lo, hi))
+        inside.update(*found.values())
+        for name in sorted(found, key=lambda n: (n in HEADED_AS.values(), len(found[n])), reverse=True):
+            said = hits.get(name) or hits.get(HEADED_AS.get(name))
+            if said:
+                best = name, *said
+                break
     return *best, sum(many[k] for k in inside) / max(sum(many), 1)
 
 
-def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.75, templates: dict[str, list[str]] | None = None, license_share: float = 0.5) -> DataFrame:
+def scan(files: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.75, templates: dict[str, list[str]] | None = None, license_share: float = 0.5, bodies: dict[str, list[str]] | None = None) -> DataFrame:
     """keep, license, score, line, is_license_file, effective_license and distance of every row of files (path, text).
 
     license is the row's own (null if none), distance how many directories above the file's own the effective licence
     comes from (0: its own directory; null: its own text, or none at all). Of a directory's licence files the highest
     cosine counts, then the first name. Null paths have no directory; null and empty texts have no licence. Rows are
     kept apart even if repeated; texts are read whole, however long; an empty table gives no rows. Columns other than
-    keep, path and text are not read, and may have any name.
+    keep, path and text are not read, and may have any name. bodies: further paragraphs of licences (see scan_text); with
+    templates of the caller's none unless given.
     """
-    key = tuple((k, tuple(v)) for k, v in (templates or TEMPLATES).items())
+    key, body_key = (tuple((k, tuple(v)) for k, v in t.items()) for t in (templates or TEMPLATES, bodies if bodies is not None else {} if templates else BODIES))
     kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields}
     k = len(keep)
     kept = [f"_keep{i}" for i in range(k)]
     names = [*kept, "_dir", "license", "score", "line", "share"]
 
     def run(batches):
-        m = _matcher(key)
+        m, more = _matcher(key), _matcher(body_key)
         for batch in batches:
-            found = [scan_text(t or "", m, threshold) for t in batch.column(k + 1).to_pylist()]
+            found = [scan_text(t or "", m, threshold, more) for t in batch.column(k + 1).to_pylist()]
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k + 1)), *cols], names=names)
 
