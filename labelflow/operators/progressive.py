@@ -73,13 +73,14 @@ class ProgressiveBuild:
         """Number of batches. The work list is asked for and stored only if none is: a second start goes on with the first
         one's list."""
         if self._position() is None:
-            embedded = self.store.table("embeddings")
-            work = admitted(listing().withColumn("message_id", F.col("message_id").cast("string")), embedded, self.rows).sort("pos").persist()
+            planned = listing().withColumn("message_id", F.col("message_id").cast("string")).persist()
+            work = admitted(planned, self.store.table("embeddings"), self.rows).sort("pos").persist()
             try:
                 n = work.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
                 self.store.commit({"work_list": work}, changes={"meta": self.store.meta_change({"work_position": "0", "work_batches": str(n), "bootstrap_status": "in_progress"})})
             finally:
                 work.unpersist()
+                planned.unpersist()
         return int(self.store.get_meta("work_batches"))
 
     def done(self) -> bool:

@@ -872,7 +872,11 @@ def _folded(spark, sf_dir):
 def progressive_batches(spark, sf_dir):
     """The work list in batches of at most 25 new vectors, with the positions that are reported."""
     planned, have = _folded(spark, sf_dir)
-    return batches(admitted(planned, have))
+    work = new_folder(spark, "work")
+    # Written, as both are read several times.
+    planned.write.parquet(f"{work}/planned")
+    admitted(spark.read.schema(planned.schema).parquet(f"{work}/planned"), have).write.parquet(f"{work}/admitted")
+    return batches(spark.read.schema("pos bigint, cost int, batch bigint").parquet(f"{work}/admitted"))
 
 
 @query(f"""WITH {_FOLDED} SELECT message_id, label_id, label_name, source, message_id AS total FROM firsts WHERE nth = 1 AND message_id % 3 <> 0 AND message_id % 11 <> 0""")
