@@ -884,6 +884,8 @@ def progressive_build(spark, sf_dir):
     """The build in batches of at most 200 new vectors, by a new process after every other batch; every eleventh message no
     longer exists."""
     planned, have = _folded(spark, sf_dir)
+    planned.write.parquet(path := new_folder(spark, "work"))
+    planned = spark.read.schema(planned.schema).parquet(path)
     store = _store(spark)
     store.commit({"embeddings": have})
     embed = lambda ids: ids.where("message_id % 11 <> 0").select("message_id", F.array(F.col("message_id").cast("float")).alias("vector"))
