@@ -9,7 +9,9 @@
    link with no leader do so once more among themselves. Linked sets are components by now.
 4. Lists are laid out in blocks of BLOCK entries by leader, component, size and position, and a pair of blocks is skipped
    whole if one leader or one component fills both, if their sizes are too far apart, or if their positions leave too
-   little overlap. Out of the rest come the pairs across components that share as many shingles there as a link takes.
+   little overlap. Entries of the rest meet if the parity bits of their sets, which differ in no more places than the
+   sets in elements, allow a link. Out of them come the pairs across components that share as many shingles there as a
+   link takes.
 5. The answers of one leader's sets are derived from the leader's. As |x & y| = |l| - |l-x| - |l-y| + |(l-x) & (l-y)| +
    |(x-l) & (y-l)|, two sets that are not linked through the leader link only if their differences have so much in
    common; candidates come from an index of the differences, in blocks again, and are answered by the formula. Sets of
@@ -42,6 +44,9 @@ CHUNK, ORDER_HINTS = 4_000_000, 400_000
 BLOCK, PART = 32, 4096
 #: Size of the bitmap that finds the texts of sets again.
 FILTER_BITS = 23
+#: 64-bit words of parity bits kept for a set, and their columns.
+PARITY_WORDS = 2
+PARITY = [f"b{k}" for k in range(PARITY_WORDS)]
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -60,6 +65,14 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+def parity(s: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """Bits of a set of hashes: each says whether the number of elements that fall on it is odd. Two sets' bits differ in
+    no more places than the sets in elements."""
+    place = (s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    odd = np.bincount((place % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def order_hints(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles seen three times or more in different sets of a task's share, with their summed counts, at most
     ORDER_HINTS of the most frequent."""
@@ -88,26 +101,27 @@ def order_hints(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: DataFrame, hints, width: int, num: int, den: int) -> DataFrame:
-    """(_row, _id, size, key, prefix): the set's size, a 128-bit digest of it, and its first elements in the order.
-    hints: broadcast order_hints."""
+    """(_row, _id, size, key, prefix, bits): the set's size, a 128-bit digest of it, its first elements in the order, and
+    its parity bits. hints: broadcast order_hints."""
     kind = texts.schema["_id"].dataType.simpleString()
 
     def run(batches):
         token, count = hints.value
         for batch in batches:
-            size, key, prefix = [], [], []
+            size, key, prefix, bits = [], [], [], []
             for t in batch.column(2).to_pylist():
                 s = shingles(t, width)
                 size.append(len(s))
                 key.append(hashlib.md5(s.tobytes()).digest())
+                bits.append(parity(s))
                 if len(token) and len(s):
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                     seen = np.where(token[at] == s, count[at], 0)
                     s = s[np.argsort(seen, kind="stable")]
                 prefix.append(s[: len(s) - -(-num * len(s) // den) + 1].tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(prefix, pa.binary())], names=["_row", "_id", "size", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["_row", "_id", "size", "key", "prefix", "bits"])
 
-    return texts.select("_row", "_id", "_text").mapInArrow(run, f"_row bigint, _id {kind}, size int, key binary, prefix binary")
+    return texts.select("_row", "_id", "_text").mapInArrow(run, f"_row bigint, _id {kind}, size int, key binary, prefix binary, bits array<bigint>")
 
 
 def _entries(sets: DataFrame, hints) -> DataFrame:
@@ -144,6 +158,12 @@ def _can_share(num: int, den: int, n: Column, i: Column, m: Column, j: Column) -
     return (F.least(n, m).cast("bigint") * den >= F.greatest(n, m).cast("bigint") * num) & (n - i >= need) & (m - j >= need)
 
 
+def _may_link(num: int, den: int, n: Column, b: list[Column], m: Column, d: list[Column]) -> Column:
+    """Whether sets of sizes n and m with parity bits b and d may differ in as few elements as a link allows."""
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(b, d)), F.lit(0))
+    return apart * (num + den) <= (n.cast("bigint") + m) * (den - num)
+
+
 def _least_shared(num: int, den: int, n: Column, m: Column) -> Column:
     """How many lists within _can_share a pair of sizes n and m within the threshold has at least."""
     need = F.floor(((n.cast("bigint") + m) * num + (num + den - 1)) / (num + den))
@@ -264,11 +284,11 @@ def _entry_pairs(met: DataFrame, fits) -> DataFrame:
 def index_pairs(lists: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, Column]:
     """Pairs (x, y) of different components and leaders (c and s of the lists) that share enough lists to link; also the
     pairs of blocks and which of them are not skipped."""
-    met = _met(lists, ["s", "c", "n", "i", "x"], ["x", "n", "i", "c", "s"], [F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("i")).alias("rest"), F.min("s").alias("s_lo"), F.max("s").alias("s_hi")])
+    met = _met(lists, ["s", "c", "n", "i", "x"], ["x", "n", "i", "c", "s", *PARITY], [F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("i")).alias("rest"), F.min("s").alias("s_lo"), F.max("s").alias("s_hi")])
     need = _ceil_share(F.greatest("n_lo", "n_lo2"), num, den)
     kept = _apart("c_lo", "c_hi") & _apart("s_lo", "s_hi") & (F.col("rest") >= need) & (F.col("rest2") >= need)
     kept &= F.expr(f"cast(n_hi as bigint) * {den} >= cast(n_lo2 as bigint) * {num} and cast(n_hi2 as bigint) * {den} >= cast(n_lo as bigint) * {num}")
-    pairs = _entry_pairs(met.where(kept), lambda e, o: (e["s"] != o["s"]) & _can_share(num, den, e["n"], e["i"], o["n"], o["i"]))
+    pairs = _entry_pairs(met.where(kept), lambda e, o: (e["s"] != o["s"]) & _can_share(num, den, e["n"], e["i"], o["n"], o["i"]) & _may_link(num, den, e["n"], [e[b] for b in PARITY], o["n"], [o[b] for b in PARITY]))
     pairs = pairs.select(F.least("e.x", "o.x").alias("x"), F.greatest("e.x", "o.x").alias("y"), F.least("e.n", "o.n").alias("n"), F.greatest("e.n", "o.n").alias("m"))
     pairs = pairs.groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= _least_shared(num, den, F.col("n"), F.col("m")))
     pairs = pairs.select("x", "y")
@@ -362,8 +382,9 @@ def similar_sets(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     open_ = placed.groupBy("l").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("l", (1 + F.floor(F.col("n") / PART)).cast("int").alias("parts"))
     placed = materialise(placed, "placed")
     inside = difference_pairs(spread_join(placed, open_, ["l"], ["x"]), num, den)
-    at = lists.join(found.withColumnRenamed("node", "x"), "x", "left").join(star.select("x", F.col("l").alias("s")), "x", "left")
-    across, met, needed = index_pairs(at.select("token", "parts", "part", "x", "n", "i", F.coalesce("component", "x").alias("c"), F.coalesce("s", -1 - F.col("x")).alias("s")), num, den)
+    bits = [F.col("bits")[k].alias(b) for k, b in enumerate(PARITY)]
+    at = lists.join(found.withColumnRenamed("node", "x"), "x", "left").join(star.select("x", F.col("l").alias("s")), "x", "left").join(sig.select(F.col("_row").alias("x"), *bits), "x")
+    across, met, needed = index_pairs(at.select("token", "parts", "part", "x", "n", "i", F.coalesce("component", "x").alias("c"), F.coalesce("s", -1 - F.col("x")).alias("s"), *PARITY), num, den)
     if seen is not None:
         seen["led"], seen["block_pairs"], seen["skipped_block_pairs"] = led.count(), met.count(), met.where(~needed).count()
     pairs = materialise(across.unionByName(inside).join(ordered(led).unionByName(again), ["x", "y"], "left_anti"), "pairs")

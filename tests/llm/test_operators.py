@@ -124,6 +124,26 @@ def test_jaccard_join_skips_blocks(spark):
     assert seen["skipped_block_pairs"] > 0 and seen["led"] > 0
 
 
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        pool = rng.integers(-(2**63), 2**63, 400)
+        a, b = (np.unique(rng.choice(pool, rng.integers(0, 300))) for _ in range(2))
+        bits = lambda s: np.unpackbits(jaccard_join.parity(s).view(np.uint8))
+        assert (bits(a) != bits(b)).sum() <= len(np.setxor1d(a, b))
+        assert len(jaccard_join.parity(a)) == jaccard_join.PARITY_WORDS and (bits(a) == bits(a[::-1].copy())).all()
+
+
+def test_jaccard_join_of_groups_that_share_passages(spark):
+    """Pairs on both sides of the threshold, and at it, between sets of different leaders: the parity bits lose none."""
+    shared, rows = words(3, 90), []
+    for g in range(12):
+        own = words(40 + g, 10 + g)
+        rows += [(100 * g + k, " ".join([*shared[: 80 + g % 5], *own, *words(900 + 50 * g + k, k % 4)])) for k in range(6)]
+    got = jaccard_join.similar_sets(make(spark, rows), 5, (80, 100)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 5, 80, 100)
+
+
 def test_jaccard_answers_derived_from_a_leader(spark):
     """The index of differences finds every link of two sets across components, and the formula answers as the sets do."""
     rng = np.random.default_rng(4)
