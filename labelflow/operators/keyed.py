@@ -60,3 +60,19 @@ def assembly_stats(embeddings: DataFrame, labels: DataFrame) -> DataFrame:
 
 def label_names(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("label_id") != SKIP) & F.col("label_name").isNotNull()).select("label_name").distinct()
+
+
+def ids_by_label(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(message_id, label_name) of messages under any of the names (label_name); rejects have none. Null names match nothing."""
+    return labels.where(F.col("label_id") != SKIP).join(names.select("label_name"), "label_name", "left_semi").select("message_id", "label_name")
+
+
+def vectors_of(ids: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(message_id, vector) of every row of ids, in place of a point look-up; null where there is no vector."""
+    return ids.select("message_id").join(embeddings.select("message_id", "vector"), "message_id", "left")
+
+
+def membership(ids: DataFrame, embeddings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(message_id, indexed) of every row of ids: whether it votes, which takes a vector and a label. No vector is read."""
+    voting = embeddings.select("message_id").join(labels.select("message_id"), "message_id", "left_semi").distinct().withColumn("_in", F.lit(True))
+    return ids.select("message_id").join(voting, "message_id", "left").select("message_id", F.coalesce("_in", F.lit(False)).alias("indexed"))

@@ -193,6 +193,26 @@ def label_names(spark, sf_dir):
     return keyed.label_names(views.state_labels(spark, sf_dir))
 
 
+@query(f"WITH {_STATE} SELECT message_id, label_name FROM lab WHERE label_id <> '{SKIP}' AND label_name IN ('clean', '')")
+def ids_by_label(spark, sf_dir):
+    """Messages under each of the stored names."""
+    labels = views.state_labels(spark, sf_dir)
+    return keyed.ids_by_label(labels, keyed.label_names(labels))
+
+
+@query("SELECT doc_id AS message_id, len(embedding)::BIGINT AS dimension, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def vector_lookup(spark, sf_dir):
+    """The vector of every document, or none."""
+    found = keyed.vectors_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id")), views.state_vectors(spark, sf_dir))
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5)
+    return found.select("message_id", F.when(F.col("vector").isNotNull(), F.size("vector").cast("bigint")).alias("dimension"), total.alias("total"))
+
+
+@query(f"WITH {_STATE} SELECT doc_id AS message_id, coalesce(doc_id IN (SELECT message_id FROM joined), false) AS indexed FROM documents")
+def index_membership(spark, sf_dir):
+    return keyed.membership(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id")), *_state(spark, sf_dir))
+
+
 @query(f"WITH {_STATE} SELECT message_id FROM lab WHERE label_id = '{SKIP}'")
 def skip_vote_ids(spark, sf_dir):
     return views.state_labels(spark, sf_dir).where(F.col("label_id") == SKIP).select("message_id")
@@ -853,6 +873,16 @@ def process_history_text(spark, sf_dir):
     return vote.classify(q, index, knn.neighbours_blocked(q, index, exclude_self=True)).select("query_id", "label", F.round("confidence", 4).alias("confidence"), "action")
 
 
+@query(f"""WITH {_STATE} SELECT message_id, 'INBOX' AS add_label, '{SKIP}' AS label_id FROM lab WHERE label_name = 'clean'""")
+def reconcile_to_outbox(spark, sf_dir):
+    """'clean' is deleted in the mailbox: its messages are rejects from now on, and the outbox puts them into the inbox."""
+    store = _store(spark)
+    store.commit({"labels": views.state_labels(spark, sf_dir).withColumn("message_id", F.col("message_id").cast("string"))})
+    live.back_in_inbox(store, values(spark, [("T0", "clean", None, "deleted")], "label_id string, old_name string, new_name string, change string"))
+    rows = store.table("outbox").join(store.table("labels").select("message_id", "label_id"), "message_id")
+    return rows.select(F.col("message_id").cast("bigint").alias("message_id"), "add_label", "label_id")
+
+
 # ---- progressive build -----------------------------------------------------------------------------------------------
 
 _FOLDED = f"""{_WORK}, f AS (SELECT pos, message_id % 1000 AS message_id, label_id, label_name, source FROM planned),
