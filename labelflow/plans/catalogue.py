@@ -200,12 +200,13 @@ def ids_by_label(spark, sf_dir):
     return keyed.ids_by_label(labels, keyed.label_names(labels))
 
 
-@query("SELECT doc_id AS message_id, len(embedding)::BIGINT AS dimension, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+@query("SELECT doc_id AS message_id, coalesce(len(embedding), 0)::BIGINT AS dimension, coalesce(round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5), 0) AS total FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def vector_lookup(spark, sf_dir):
-    """The vector of every document, or none."""
+    """The vector of every document; dimension 0 and total 0 where there is none."""
     found = keyed.vectors_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id")), views.state_vectors(spark, sf_dir))
     total = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5)
-    return found.select("message_id", F.when(F.col("vector").isNotNull(), F.size("vector").cast("bigint")).alias("dimension"), total.alias("total"))
+    size = F.when(F.col("vector").isNull(), 0).otherwise(F.size("vector")).cast("bigint")
+    return found.select("message_id", size.alias("dimension"), F.coalesce(total, F.lit(0.0)).alias("total"))
 
 
 @query(f"WITH {_STATE} SELECT doc_id AS message_id, coalesce(doc_id IN (SELECT message_id FROM joined), false) AS indexed FROM documents")
