@@ -125,6 +125,17 @@ def remainder_column(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+#: Rows of texts that a task turns into Python's objects at a time.
+PART_ROWS = 512
+
+
+def in_parts(batches):
+    """Slices of Arrow batches, so that what a task makes of one is gone before the next."""
+    for batch in batches:
+        for at in range(0, len(batch), PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def fold_case(text: str) -> str:
     """Lower-cases A-Z and nothing else."""
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

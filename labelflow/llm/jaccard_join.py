@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import dealt, discard, folded_words, hot_keys, materialise, repeated, spread_join, with_row_id
+from labelflow.llm.common import dealt, discard, folded_words, hot_keys, in_parts, materialise, repeated, spread_join, with_row_id
 from labelflow.llm.components import connected
 
 #: Shingles that a task counts at a time, and how many repeated ones shape the order at most (it is only an order).
@@ -84,7 +84,7 @@ def order_hints(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(token[n > 2]), pa.array(n[n > 2].astype(np.int64))], names=["token", "n"])
 
-        for batch in batches:
+        for batch in in_parts(batches):
             for t in batch.column(0).to_pylist():
                 s = shingles(t, width)
                 if len(s) and (key := hash(s.tobytes())) not in seen:
@@ -107,7 +107,7 @@ def signatures(texts: DataFrame, hints, width: int, num: int, den: int) -> DataF
 
     def run(batches):
         token, count = hints.value
-        for batch in batches:
+        for batch in in_parts(batches):
             size, key, prefix, bits = [], [], [], []
             for t in batch.column(2).to_pylist():
                 s = shingles(t, width)
@@ -130,7 +130,7 @@ def _entries(sets: DataFrame, hints) -> DataFrame:
 
     def run(batches):
         token, count = hints.value
-        for batch in batches:
+        for batch in in_parts(batches):
             tokens = [np.frombuffer(p, np.int64) for p in batch.column(2).to_pylist()]
             many = np.array([len(t) for t in tokens], np.int64)
             flat = np.concatenate([*tokens, np.zeros(0, np.int64)])
@@ -181,7 +181,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, differences
     extra = ", n2 int, lacks array<bigint>, adds array<bigint>" * differences
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             link, n2, lacks, adds = [], [], [], []
             for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 a, b = np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)
@@ -217,7 +217,7 @@ def _sets(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
     def rebuild(batches):
         bits = np.unpackbits(sent.value.view(np.uint8)).view(bool).reshape(2, -1)
-        for batch in batches:
+        for batch in in_parts(batches):
             is_x, is_y = bits[:, place(batch.column(0).to_numpy())]
             here = is_x | is_y
             batch = batch.filter(pa.array(here))

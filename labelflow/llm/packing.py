@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 import tiktoken
 
 from labelflow.llm.bpe import BYTE_LEVEL_PATTERN, byte_alphabet
-from labelflow.llm.common import materialise, with_row_id
+from labelflow.llm.common import in_parts, materialise, with_row_id
 
 #: Entries a worker keeps before it starts anew; bounds memory, not results.
 CACHE_ENTRIES = 400_000
@@ -44,33 +44,48 @@ def rank_encoder(path: str):
         return None
     bytes_of = {c: b for b, c in enumerate(byte_alphabet())}
     ranks = {bytes(map(bytes_of.__getitem__, t)): i for t, i in model["vocab"].items()}
-    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
 
 
 class ChunkIds(dict):
     """Chunk of text -> its ids as little-endian uint32; None for chunks that can't be encoded on their own.
 
     Texts are cut at single spaces between two other characters that are not white space: there a byte-level
-    pre-tokeniser always starts a new token (which takes the space along), so chunks can be encoded apart.
+    pre-tokeniser always starts a new token (which takes the space along), so chunks can be encoded apart. A key is what
+    follows the space, or a space and what a text begins with.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.fast = rank_encoder(path)
+        vocab = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith(byte_alphabet()[32])]] = True
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, keys: set[str]) -> None:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        slow, whole, fast = [], _WHOLE.match, self.fast
-        for c in chunks:
-            if c not in self:
-                if not whole(c):
-                    self[c] = None
-                elif fast and (c.isascii() or max(c) < "\u0250") and "<|" not in c:
-                    self[c] = array("I", fast(c)).tobytes()
-                else:
+        slow, fast, encode = [], [], self.fast
+        for c in keys.difference(self):
+            if c[0:1] == " ":
+                if _WHOLE.match(c, 1):
                     slow.append(c)
-        for c, e in zip(slow, self.tokenizer.encode_batch(slow, add_special_tokens=False)):
+                else:
+                    self[c] = None
+            elif not c or c.strip() != c:
+                self[c] = None
+            elif encode and (c.isascii() or max(c) < "\u0250") and "<|" not in c:
+                fast.append(c)
+            else:
+                slow.append(c)
+        if fast:
+            # All in one call: a token that begins with a space begins a chunk.
+            ids = encode(" " + " ".join(fast)).astype("<u4")
+            edges = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
+            data = ids.tobytes()
+            self.update(zip(fast, [data[i:j] for i, j in zip(edges, edges[1:])], strict=True))
+        for c, e in zip(slow, self.tokenizer.encode_batch([c[1:] if c[0] == " " else " " + c for c in slow], add_special_tokens=False)):
             self[c] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -82,7 +97,7 @@ def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
-def encoded(texts: list, path: str, chars: int = 2_000_000):
+def encoded(texts: list, path: str, chars: int = 500_000):
     """Yields each text's ids as little-endian uint32 bytes; a null text has none."""
     cache, at = chunk_ids(path), 0
     while at < len(texts):
@@ -90,12 +105,13 @@ def encoded(texts: list, path: str, chars: int = 2_000_000):
         while at < len(texts) and (not part or size < chars):
             text = texts[at] or ""
             chunks = text.split(" ")
-            part.append((text, [chunks[0], *[" " + c for c in chunks[1:]]]))
+            chunks[0] = " " + chunks[0]
+            part.append((text, chunks))
             size += len(text)
             at += 1
-        cache.learn({c for _, chunks in part for c in chunks})
+        cache.learn(set().union(*[chunks for _, chunks in part]))
         for text, chunks in part:
-            found = [cache[c] for c in chunks]
+            found = list(map(cache.__getitem__, chunks))
             yield (b"" if not text else cache.encode(text)) if None in found else b"".join(found)
 
 
@@ -109,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, k
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(len(keep) + 1).to_pylist()
             source, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, data in enumerate(encoded(texts, tokenizer)):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from labelflow.llm.common import steady
+from labelflow.llm.common import in_parts, steady
 from labelflow.llm.packing import encoded
 
 DOC_NONE = -(1 << 63)
@@ -90,7 +90,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, length: int = 1024,
 
     def run(batches):
         at, held, size, meta = None, [], 0, []
-        for batch in batches:
+        for batch in in_parts(batches):
             at = sent.value[TaskContext.get().partitionId()] if at is None else at
             found = []
             for doc, data in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), tokenizer)):

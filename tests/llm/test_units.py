@@ -250,3 +250,17 @@ def test_language_model_slices_hold_every_pair_once():
     want = Counter(p for t in texts for p in zip([b"", *t.encode().split()], [*t.encode().split(), b""]))
     assert found == want and len({b for (c, _), b in buckets.items() if c == b"a"}) > 1
     assert all(len({b for (c, _), b in buckets.items() if c == x}) == 1 for x in {c for c, _ in buckets} - {b"a"})
+
+
+def test_unknown_chunks_in_one_call_and_batches_in_parts():
+    import pyarrow as pa
+
+    from labelflow.llm.common import in_parts
+
+    cache, asked = packing.ChunkIds(BYTE), []
+    fast = cache.fast
+    cache.fast = lambda text: asked.append(text) or fast(text)
+    text = "One two,\nthree  four's <|x|> über 12.5%% 中文 end. a\n"
+    cache.learn({" One", *text.split(" ")[1:]})
+    assert len(asked) == 1 and cache["12.5%%"] == cache.encode(" 12.5%%") and cache["two,\nthree"] == cache.encode(" two,\nthree") and cache["a\n"] is None and cache[""] is None and cache[" One"] == cache.encode("One")
+    assert [len(b) for b in in_parts([pa.RecordBatch.from_pydict({"a": list(range(1300))})])] == [512, 512, 276]
