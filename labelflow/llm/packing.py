@@ -17,6 +17,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -53,7 +54,8 @@ class ChunkIds(dict):
 
     Texts are cut at single spaces between two other characters that are not white space: there a byte-level
     pre-tokeniser always starts a new token (which takes the space along), so chunks can be encoded apart. A key is what
-    follows the space, or a space and what a text begins with.
+    follows the space, or a space and what a text begins with. Latin chunks that follow a space are not kept: `table`
+    encodes those of some texts in one call.
     """
 
     def __init__(self, path: str):
@@ -88,31 +90,72 @@ class ChunkIds(dict):
         for c, e in zip(slow, self.tokenizer.encode_batch([c[1:] if c[0] == " " else " " + c for c in slow], add_special_tokens=False)):
             self[c] = array("I", e.ids).tobytes()
 
+    def table(self, chunks: pa.StringArray, firsts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids one after the other, and where each chunk's begin and how many there are (-1: can't be encoded on its own):
+        distinct chunks that follow a space, then what texts begin with."""
+        whole = pc.and_(pc.greater(pc.binary_length(chunks), 0), pc.equal(pc.utf8_trim_whitespace(chunks), chunks)).to_numpy(zero_copy_only=False)
+        if self.fast:
+            latin = whole & ~pc.match_substring(chunks, "<|").to_numpy(zero_copy_only=False)
+            if _beyond_latin(chunks):
+                latin &= np.fromiter((c.isascii() or max(c, default="") < "\u0250" for c in chunks.to_pylist()), bool, len(chunks))
+        else:
+            latin = np.zeros(len(chunks), bool)
+        starts, lengths, ids = np.zeros(len(chunks) + len(firsts), np.int64), np.full(len(chunks) + len(firsts), -1), [np.zeros(0, "<u4")]
+        if latin.any():
+            # All in one call: a token that begins with a space begins a chunk.
+            some = chunks.filter(pa.array(latin))
+            ids = [self.fast(" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()).astype("<u4")]
+            edges = np.flatnonzero(self.spaced[ids[0]])
+            if len(edges) != latin.sum():
+                raise ValueError("the tokeniser does not start a token at each space")
+            starts[: len(chunks)][latin], lengths[: len(chunks)][latin] = edges, np.diff(edges, append=len(ids[0]))
+        rest = np.concatenate([np.flatnonzero(whole & ~latin), len(chunks) + np.arange(len(firsts))])
+        keys = [*chunks.filter(pa.array(whole & ~latin)).to_pylist(), *firsts]
+        self.learn(set(keys))
+        found = [self[c] for c in keys]
+        some = np.array([x is not None for x in found], bool)
+        n = np.array([len(x) // 4 for x in found if x is not None], np.int64)
+        starts[rest[some]], lengths[rest[some]] = len(ids[0]) + np.cumsum(n) - n, n
+        return np.concatenate([*ids, np.frombuffer(b"".join(x for x in found if x), "<u4")]), starts, lengths
+
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def _beyond_latin(chunks: pa.StringArray) -> bool:
+    """Whether any character is U+0250 or beyond, by the first bytes of UTF-8."""
+    data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+    return bool((data > 0xC9).any() or (data[1:][data[:-1] == 0xC9] > 0x8F).any())
+
+
 @functools.lru_cache(maxsize=2)
 def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
-def encoded(texts: list, path: str, chars: int = 500_000):
-    """Yields each text's ids as little-endian uint32 bytes; a null text has none."""
+def encoded(texts: list, path: str, chars: int = 2_000_000):
+    """Yields each text's ids as little-endian uint32 bytes; a null text has none. Arrow numbers the chunks of about chars
+    characters of texts, and numpy puts their ids in the texts' order."""
     cache, at = chunk_ids(path), 0
     while at < len(texts):
         size, part = 0, []
         while at < len(texts) and (not part or size < chars):
-            text = texts[at] or ""
-            chunks = text.split(" ")
-            chunks[0] = " " + chunks[0]
-            part.append((text, chunks))
-            size += len(text)
+            part.append(texts[at] or "")
+            size += len(part[-1])
             at += 1
-        cache.learn(set().union(*[chunks for _, chunks in part]))
-        for text, chunks in part:
-            found = list(map(cache.__getitem__, chunks))
-            yield (b"" if not text else cache.encode(text)) if None in found else b"".join(found)
+        cut = pc.split_pattern(pa.array(part, pa.string()), " ")
+        edges = cut.offsets.to_numpy()
+        chunks = cut.flatten().dictionary_encode()
+        ids, starts, lengths = cache.table(chunks.dictionary, [" " + t.partition(" ")[0] for t in part])
+        which = chunks.indices.to_numpy().astype(np.int64)
+        which[edges[:-1]] = len(chunks.dictionary) + np.arange(len(part))
+        n = lengths[which]
+        broken = np.logical_or.reduceat(n < 0, edges[:-1])
+        n = np.maximum(n, 0)
+        ends = np.cumsum(n)
+        data = ids[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        for text, bad, a, b in zip(part, broken.tolist(), (4 * (ends - n)[edges[:-1]]).tolist(), (4 * ends[edges[1:] - 1]).tolist()):
+            yield (b"" if not text else cache.encode(text)) if bad else data[a:b]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, keep: tuple[str, ...] = ("doc_id",), payload: bool = False) -> DataFrame:
