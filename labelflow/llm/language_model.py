@@ -23,12 +23,11 @@ than HOT frequent contexts.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -36,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from labelflow.llm.common import HOT, discard, folded_words, materialise, spread_join, steady
+from labelflow.llm.common import HOT, discard, materialise, spread_join, steady
 
-#: Tokens whose pairs a task gathers before it hands them on, distinct words likewise, and customers that a bucket holds of
-#: one frequent context (a bucket holds BUCKET times as many customers).
-FLUSH, WORDS, ROOM, BUCKET = 2_000_000, 500_000, 50_000, 20
+#: Tokens whose pairs a task gathers before it hands them on, bytes of texts that it cuts into words at a time, and customers
+#: that a bucket holds of one frequent context (a bucket holds BUCKET times as many customers).
+FLUSH, CUT, ROOM, BUCKET = 2_000_000, 12_000_000, 50_000, 20
 #: Distinct words of a part of the root's customers (about).
 ROOT = 50_000
 #: The end of a text; words are never empty.
@@ -59,20 +58,33 @@ class _Ids(dict):
         return n
 
 
+def _cuts(column: pa.Array):
+    """(from, to) of parts of about CUT bytes of texts."""
+    ends, at = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 1), 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CUT, side="right")))
+        yield at, end
+        at = end
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Tokens of texts one after the other, END before and after each text, and where each text's begin. Arrow's functions
+    for ASCII change A-Z and cut at space and \\t to \\r alone, as folded_words does; the space before and after a text cuts
+    an empty word off."""
+    cut = pc.ascii_split_whitespace(pc.binary_join_element_wise("", pc.ascii_lower(texts), "", " "))
+    return cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(w, n) over all texts: how often token w occurs. Each text ends with END."""
 
     def run(batches):
-        seen = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(folded_words(t))
-                seen[END.encode()] += 1
-                if len(seen) >= WORDS:
-                    yield out()
-                    seen = Counter()
-        yield out()
+            for a, b in _cuts(batch.column(0)):
+                words, _ = _tokens(batch.column(0).slice(a, b - a))
+                n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                n[0] -= b - a  # the END before each text
+                yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n)], names=["w", "n"])
 
     return _texts(docs).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -80,13 +92,19 @@ def token_counts(docs: DataFrame) -> DataFrame:
 def _pack(x: np.ndarray, kind: str = "<u4") -> bytes:
     """Numbers as bytes: first the lowest byte of each, then the next, compressed."""
     x = np.ascontiguousarray(x, kind)
-    return zstandard.ZstdCompressor().compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    rows, columns = x.view(np.uint8).reshape(len(x), x.itemsize), np.empty((x.itemsize, len(x)), np.uint8)
+    for k in range(x.itemsize):
+        columns[k] = rows[:, k]
+    return zstandard.ZstdCompressor().compress(columns.data)
 
 
 def _unpack(b: bytes, kind: str = "<u4") -> np.ndarray:
     size = np.dtype(kind).itemsize
     x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1)
-    x = np.ascontiguousarray(x.T).view(kind).ravel()
+    rows = np.empty((x.shape[1], size), np.uint8)
+    for k in range(size):
+        rows[:, k] = x[k]
+    x = rows.view(kind).ravel()
     return x.astype(np.int64) if kind == "<u4" else x
 
 
@@ -103,24 +121,57 @@ def _unpack_names(b: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(b).split(b" ")
 
 
+def _names(words: pa.Array) -> list[bytes]:
+    """Words of Arrow as Python's."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary())), b" ")[0].as_py().split(b" ") if len(words) else []
+
+
+def _all_words(packed: list[bytes]) -> tuple[pa.Array, list[int]]:
+    """The words of several blocks one after the other, and how many each has."""
+    cut = pc.split_pattern(pa.array(map(zstandard.ZstdDecompressor().decompress, packed), pa.binary()), b" ")
+    return cut.flatten(), np.diff(cut.offsets.to_numpy()).tolist()
+
+
+def _numbered(packed: list[bytes]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct words of several blocks, and for each block its words as places in these."""
+    words, sizes = _all_words(packed)
+    words = words.dictionary_encode()
+    return words.dictionary, np.split(words.indices.to_numpy().astype(np.int64), np.cumsum(sizes)[:-1])
+
+
 class _Gathered:
     """Texts as numbered tokens, until they are handed on to buckets."""
 
     def __init__(self):
         self.ids, self.texts, self.size = _Ids(), [], 0
 
-    def add(self, text: str) -> int:
-        words = [END.encode(), *folded_words(text), END.encode()]
-        self.texts.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+    def add_all(self, texts: pa.Array) -> np.ndarray:
+        """How many tokens each text has."""
+        words, edges = _tokens(texts)
+        names = _names(words.dictionary)
+        if self.ids:
+            number = np.fromiter(map(self.ids.__getitem__, names), np.int32, len(names))
+        else:
+            self.ids.update(zip(names, range(len(names))))
+            number = np.arange(len(names), dtype=np.int32)
+        self.texts += np.split(number[words.indices.to_numpy()], edges[1:-1])
         self.size += len(words)
-        return len(words) - 1
+        return np.diff(edges) - 1
+
+    def add(self, text: str) -> int:
+        return int(self.add_all(pa.array([text]))[0])
 
     def slices(self, buckets: int, parts: dict[bytes, int], c: np.ndarray, w: np.ndarray):
         """(bucket, its places in c and w, its words, c and w as places in these)."""
         names = list(self.ids)
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-        own = np.array([parts.get(x, 1) for x in names], np.uint64)
-        bucket = ((h[c] % np.uint64(buckets) + (h[w] >> np.uint64(32)) % own[c]) % np.uint64(buckets)).astype(np.int64)
+        own = np.ones(len(names), np.uint64)
+        for x, n in parts.items():
+            if x in self.ids:
+                own[self.ids[x]] = n
+        bucket = (h % np.uint64(buckets)).astype(np.int64)[c]
+        dealt = np.flatnonzero((own > 1)[c])
+        bucket[dealt] = (bucket[dealt] + ((h >> np.uint64(32))[w[dealt]] % own[c[dealt]]).astype(np.int64)) % buckets
         # numpy sorts 16-bit numbers by radix.
         order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
         first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -138,9 +189,9 @@ _BLOCK = pa.list_(pa.binary())
 _STATE = "bucket int, block array<binary>, part int, guests array<binary>, hot_c array<string>, hot_t array<double>, e array<double>"
 
 
-def _part(name: bytes, parts: int) -> int:
-    """Which part of the root's customers a word is in."""
-    return (xxhash.xxh3_64_intdigest(name) >> 48) % parts
+def _parts(names: list[bytes], parts: int) -> np.ndarray:
+    """Which part of the root's customers each word is in."""
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)) >> np.uint64(48)).astype(np.int64) % parts
 
 
 def _state(bucket: int, block: list[bytes], guests: list[tuple[int, list[bytes]]], hot: dict[str, float], e=(0.0,) * 4) -> pa.Table:
@@ -171,14 +222,14 @@ def pair_blocks(docs: DataFrame, buckets: int, parts: dict[str, int], root_parts
 
     def gather(batches):
         def out(g):
-            k, n = np.unique(np.concatenate([x[:-1] * len(g.ids) + x[1:] for x in g.texts]), return_counts=True)
+            k, n = np.unique(np.concatenate([x[:-1].astype(np.int64) * len(g.ids) + x[1:] for x in g.texts]), return_counts=True)
             rows = [(b, [_pack_names(names), _ascending(c), _pack(w), _pack(n[at])]) for b, at, names, c, w in g.slices(buckets, parts, k // len(g.ids), k % len(g.ids))]
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], _BLOCK)], names=["bucket", "block"])
 
         g = _Gathered()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                g.add(t)
+            for a, b in _cuts(batch.column(0)):
+                g.add_all(batch.column(0).slice(a, b - a))
                 if g.size >= FLUSH:
                     yield out(g)
                     g = _Gathered()
@@ -186,27 +237,26 @@ def pair_blocks(docs: DataFrame, buckets: int, parts: dict[str, int], root_parts
             yield out(g)
 
     def merge(table: pa.Table) -> pa.Table:
-        ids, c, w, n = _Ids(), [], [], []
-        for names, cs, ws, ns in table.column("block").to_pylist():
-            names = _unpack_names(names)
-            at = np.fromiter(map(ids.__getitem__, names), np.int64, len(names))
+        c, w, n, blocks = [], [], [], table.column("block").to_pylist()
+        words, places = _numbered([x[0] for x in blocks])
+        for (_, cs, ws, ns), at in zip(blocks, places):
             c.append(at[np.cumsum(_unpack(cs))]), w.append(at[_unpack(ws)]), n.append(_unpack(ns))
         # Words in the order of their part of the root.
-        names = list(ids)
-        part = np.fromiter((_part(x, root_parts) for x in names), np.int64, len(names))
+        names = _names(words)
+        part = _parts(names, root_parts)
         by_part = np.argsort(part, kind="stable")
         rank = np.empty(len(names), np.int64)
         rank[by_part] = np.arange(len(names))
-        key = rank[np.concatenate(c)] * len(ids) + rank[np.concatenate(w)]
+        key = rank[np.concatenate(c)] * len(names) + rank[np.concatenate(w)]
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.diff(key[order], prepend=-1))
         key, n = key[order[first]], np.add.reduceat(np.concatenate(n)[order], first)
-        c, w = key // len(ids), key % len(ids)
+        c, w = key // len(names), key % len(names)
         here = np.zeros((2, len(names)), bool)
         here[0, w] = here[1, c] = True
         follow, own = map(np.flatnonzero, here)
         rest = np.flatnonzero(here[1] & ~here[0])
-        place = np.full(len(ids), -1)
+        place = np.full(len(names), -1)
         place[follow] = np.arange(len(follow))
         place[rest] = len(follow) + np.arange(len(rest))
         names = [names[k] for k in by_part[np.concatenate([follow, rest])].tolist()]
@@ -476,11 +526,8 @@ def fit(train: DataFrame, seed: int = 7, passes: int = 3, steps: int = 24, room:
 
         def run(key, table):
             d0, strength0, tables = args
-            part, ids = key[0].as_py(), _Ids()
-            at, asked = [], table.column("guests").to_pylist()
-            for x, _, _ in asked:
-                names = _unpack_names(x)
-                at.append(np.fromiter(map(ids.__getitem__, names), np.int64, len(names)))
+            part, asked = key[0].as_py(), table.column("guests").to_pylist()
+            words, at = _numbered([x for x, _, _ in asked])
             sums = lambda k: np.bincount(np.concatenate(at), np.concatenate([_unpack(x[k]) for x in asked])).astype(np.int64)
             guests, n = sums(1), sums(2)
             # Of the root's tables those of other parts stay as they were; a table a dish is the first guess.
@@ -496,7 +543,7 @@ def fit(train: DataFrame, seed: int = 7, passes: int = 3, steps: int = 24, room:
             found += [{"bucket": b, "part": part, "answer": [_pack(guests[k]), _pack(opened[k]), _pack(n[k])]} for b, k in zip(table.column("bucket").to_pylist(), at)]
             out = pa.Table.from_pylist(found, schema)
             if last:
-                cols = {"w": pa.array(list(ids), pa.binary()).cast(pa.string()), "n": pa.array(n), "t": pa.array(guests.astype(float)), "mean": pa.array(mean)}
+                cols = {"w": words.cast(pa.string()), "n": pa.array(n), "t": pa.array(guests.astype(float)), "mean": pa.array(mean)}
                 out = pa.concat_tables([out, pa.Table.from_arrays([cols.get(f.name, pa.nulls(len(n), f.type)) for f in schema], schema=schema)])
             return out
 
@@ -540,41 +587,45 @@ def _answered(left: pa.Table, right: pa.Table, schema: pa.Schema, fitted) -> pa.
     """Sums of a bucket's pairs for each text that sent some, tokens that the bucket doesn't know, and rows (ids, tokens)
     as they came. left: requests; right: the bucket's block, if it has one."""
     log, weights, unigram = np.log10, fitted[0], fitted[2]
+    share_of = np.array([*(x for x, _ in weights.values()), 0.0])
     b = _Fitted(right.column("block")[0].as_py(), weights, *fitted[1]) if right.num_rows else None
-    look = {x: k for k, x in enumerate(b.names)} if b else {}
+    look = pa.array(b.names if b else [], pa.binary())
     known = len(b.p) if b else 0
     house_of = np.full(len(look) + 1, -1)
     if b:
         house_of[b.own] = np.arange(len(b.own))
         key = b.house * known + b.w
-    out = [left.filter(pa.compute.is_valid(left.column("ids"))).select(["flush", "ids", "tokens"])]
+    out = [left.filter(pc.is_valid(left.column("ids"))).select(["flush", "ids", "tokens"])]
     sums, unmet = [], []
-    asked = left.filter(pa.compute.is_valid(left.column("block")))
-    for flush, (words, text, c, w) in zip(asked.column("flush").to_pylist(), asked.column("block").to_pylist()):
-        words, text, c, w = _unpack_names(words), np.cumsum(_unpack(text)), _unpack(c), _unpack(w)
-        at = np.fromiter((look.get(x, -1) for x in words), np.int64, len(words))
+    asked = left.filter(pc.is_valid(left.column("block")))
+    blocks = asked.column("block").to_pylist()
+    names, sizes = _all_words([x[0] for x in blocks])
+    place = lambda of: np.split(pc.fill_null(pc.index_in(names, value_set=of), -1).to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes)[:-1])
+    begin = np.cumsum(sizes) - sizes
+    for flush, start, (_, text, c, w), at, often in zip(asked.column("flush").to_pylist(), begin.tolist(), blocks, place(look), place(pa.array(list(weights), pa.binary()))):
+        text, c, w = np.cumsum(_unpack(text)), _unpack(c), _unpack(w)
         h, v = house_of[at[c]], at[w]
         share = np.ones(len(c))
         if b:
             share = np.where(h >= 0, b.weight[h], 1.0)
         if weights:
-            often = np.array([weights[x][0] if x in weights else 0.0 for x in words])[c]
+            often = share_of[often][c]
             share = np.where(often > 0, often, share)
         met = (v >= 0) & (v < known)
         if met.any():
             k = h[met] * known + v[met]
             pos = np.minimum(np.searchsorted(key, k), len(key) - 1)
             p = share[met] * b.p[v[met]] + np.where((h[met] >= 0) & (key[pos] == k), b.gain[pos], 0.0)
-            start = np.diff(text[met], prepend=-1) > 0  # texts come in order
-            texts, inner = text[met][start], np.cumsum(start) - 1
+            new = np.diff(text[met], prepend=-1) > 0  # texts come in order
+            texts, inner = text[met][new], np.cumsum(new) - 1
             sums.append((flush, [_ascending(texts), _pack(np.bincount(inner)), _pack(np.bincount(inner, unigram(b.n_w[v[met]])), "<f8"), _pack(np.bincount(inner, log(p)), "<f8")]))
         if not met.all():
             off = np.flatnonzero(~met)
-            unmet.append((np.full(len(off), flush), text[off], [words[k] for k in w[off]], share[off]))
+            unmet.append((np.full(len(off), flush), text[off], start + w[off], share[off]))
     out.append(pa.table([pa.array([f for f, _ in sums], pa.int64()), pa.array([x for _, x in sums], _BLOCK)], names=["flush", "block"]))
     if unmet:
         f, k, x, share = (np.concatenate(y) for y in zip(*unmet))
-        out.append(pa.table([pa.array(f), pa.array(k.astype(np.int32)), pa.array(x.tolist(), pa.binary()).cast(pa.string()), pa.array(share)], names=["flush", "k", "w", "weight"]))
+        out.append(pa.table([pa.array(f), pa.array(k.astype(np.int32)), names.take(pa.array(x)).cast(pa.string()), pa.array(share)], names=["flush", "k", "w", "weight"]))
     whole = [pa.Table.from_arrays([t.column(f.name).cast(f.type) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in schema], schema=schema) for t in out]
     return pa.concat_tables(whole)
 
@@ -602,22 +653,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             ids = pa.chunked_array(ids).combine_chunks()
             own = lambda x: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x), pa.nulls(len(rows), pa.list_(x.type))])
             return pa.RecordBatch.from_arrays(
-                [pa.array([flush % buckets, *(b for b, _ in rows)], pa.int32()), pa.array(np.full(len(rows) + 1, flush)), pa.array([None, *(x for _, x in rows)], _BLOCK), own(ids), own(pa.array(n, pa.int32()))],
+                [pa.array([flush % buckets, *(b for b, _ in rows)], pa.int32()), pa.array(np.full(len(rows) + 1, flush)), pa.array([None, *(x for _, x in rows)], _BLOCK), own(ids), own(pa.array(n.astype(np.int32)))],
                 names=["bucket", "flush", "block", "ids", "tokens"],
             )
 
         g, ids, n, flush = _Gathered(), [], [], first
         for batch in batches:
-            lo = 0
-            for k, t in enumerate(batch.column(1).to_pylist(), 1):
-                n.append(g.add(t))
+            for a, b in _cuts(batch.column(1)):
+                n.append(g.add_all(batch.column(1).slice(a, b - a)))
+                ids.append(batch.column(0).slice(a, b - a))
                 if g.size >= FLUSH:
-                    yield out(g, [*ids, batch.column(0).slice(lo, k - lo)], n, flush)
-                    g, ids, n, flush, lo = _Gathered(), [], [], flush + 1, k
-            if lo < batch.num_rows:
-                ids.append(batch.column(0).slice(lo))
+                    yield out(g, ids, np.concatenate(n), flush)
+                    g, ids, n, flush = _Gathered(), [], [], flush + 1
         if n:
-            yield out(g, ids, n, flush)
+            yield out(g, ids, np.concatenate(n), flush)
 
     asked = _texts(steady(docs), "doc_id").mapInArrow(ask, f"bucket int, flush bigint, block array<binary>, ids array<{kind}>, tokens array<int>")
     form = f"flush bigint, block array<binary>, ids array<{kind}>, tokens array<int>, k int, w string, weight double"
@@ -635,7 +684,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     parts_of = answers.where("w is null").select("flush", "block", "ids", "tokens").unionByName(alone, allowMissingColumns=True)
 
     def total(table: pa.Table) -> pa.Table:
-        rows = table.filter(pa.compute.is_valid(table.column("ids")))
+        rows = table.filter(pc.is_valid(table.column("ids")))
         ids, tokens = rows.column("ids").combine_chunks().flatten(), rows.column("tokens").combine_chunks().flatten()
         sums = np.zeros((3, len(tokens)))
         for block in table.column("block").to_pylist():
@@ -643,7 +692,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 at = np.cumsum(_unpack(block[0]))
                 for k, (b, form) in enumerate(zip(block[1:], ("<u4", "<f8", "<f8"))):
                     sums[k, at] += _unpack(b, form)
-        lone = table.filter(pa.compute.is_valid(table.column("k")))
+        lone = table.filter(pc.is_valid(table.column("k")))
         for k, name in enumerate(("known", "base", "mine")):
             sums[k, lone.column("k").to_numpy()] += lone.column(name).to_numpy()
         return pa.table([ids, tokens.cast(pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
