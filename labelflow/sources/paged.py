@@ -1,9 +1,9 @@
 """Listings that come in pages, each naming the next by a token, as a data source for batches and streams.
 
 `PagedListing` is what a listing is: page(token, size) gives rows and the token of the next page, None at the end. A stream's
-offset is the position in the listing that its tokens stand for, so a restart goes on where the checkpoint says; pages of a
-micro-batch are read by as many tasks. `StagedListing` serves a table that Spark has laid out in files of one page each
-(stage): its tokens are page numbers.
+offset is the position in the listing that its tokens stand for, so a restart goes on where the checkpoint says; a task reads
+up to SHEET pages of a micro-batch. `StagedListing` serves a table that Spark has laid out in sheets of SHEET pages, a file
+each (stage): its tokens are page numbers.
 
 Subclass PagedSource and override `listing` for another service.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -21,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: Rows of a page at most (fixed value of the service).
 PAGE_ROWS = 500
+#: Pages of a staged file, and of a task at most.
+SHEET = 64
 
 
 class CursorExpired(LookupError):
@@ -33,6 +36,11 @@ class PagedListing:
         older than what is kept."""
         raise NotImplementedError
 
+    def pages(self, start: int, end: int, size: int) -> Iterator[tuple]:
+        """Rows of the pages at tokens from start to before end."""
+        for token in range(start, end):
+            yield from self.page(token, size)[0]
+
     def first(self) -> int:
         """The oldest token that is kept."""
         return 0
@@ -59,9 +67,25 @@ class StagedListing(PagedListing):
             raise CursorExpired(f"pages before {self.first()} are gone; the cursor is {token}")
         if token >= self.end():
             return [], None
-        folder = pafs.FileSelector(f"{self.path}/pages/page={token}")
-        rows = [tuple(r.values()) for f in self.fs.get_file_info(folder) if f.path.endswith(".parquet") for r in pq.read_table(f.path, filesystem=self.fs, partitioning=None).to_pylist()]
-        return rows[:size], token + 1 if token + 1 < self.end() else None
+        return list(self.pages(token, token + 1, size)), token + 1 if token + 1 < self.end() else None
+
+    def pages(self, start: int, end: int, size: int) -> Iterator[tuple]:
+        """Each sheet is read once."""
+        sheet = self.about["sheet"]
+        for k in range(start // sheet, -(-end // sheet)):
+            folder = pafs.FileSelector(f"{self.path}/sheets/_sheet={k}")
+            for f in self.fs.get_file_info(folder):
+                if f.path.endswith(".parquet"):
+                    table = pq.read_table(f.path, filesystem=self.fs, partitioning=None, filters=[("_page", ">=", start), ("_page", "<", end)])
+                    rows = zip(table.column("_page").to_pylist(), zip(*(c.to_pylist() for c in table.drop_columns("_page").columns)))
+                    for _, page in groupby(rows, lambda r: r[0]):
+                        yield from (row for _, row in islice(page, size))
+
+
+def _runs(start: int, end: int) -> list[InputPartition]:
+    """Tokens from start to before end in runs that lie in one sheet each."""
+    edges = [start, *range((start // SHEET + 1) * SHEET, end, SHEET), end] if start < end else []
+    return [InputPartition(x) for x in zip(edges, edges[1:])]
 
 
 def stage(rows: DataFrame, order: str, root: str, size: int = PAGE_ROWS, first: int = 0) -> str:
@@ -77,10 +101,10 @@ def stage(rows: DataFrame, order: str, root: str, size: int = PAGE_ROWS, first:
         before.append((p, total))
         total += sizes[p]
     placed = ranged.join(F.broadcast(spark.createDataFrame(before, "_part int, _before bigint")), "_part")
-    paged = placed.withColumn("page", F.floor((F.col("_before") + F.col("_at")) / size).cast("bigint"))
-    paged.repartition("page").sortWithinPartitions("page", "_part", "_at").select(*columns, "page").write.partitionBy("page").parquet(f"{root}/pages")
+    paged = placed.withColumn("_page", F.expr(f"(_before + _at) div {size}")).withColumn("_sheet", F.expr(f"_page div {SHEET}"))
+    paged.repartition("_sheet").sortWithinPartitions("_sheet", "_part", "_at").select(*columns, "_page", "_sheet").write.partitionBy("_sheet").parquet(f"{root}/sheets")
     out = (fs := (p := spark._jvm.org.apache.hadoop.fs.Path(f"{root}/listing.json")).getFileSystem(spark._jsc.hadoopConfiguration())).create(p)
-    out.write(bytearray(json.dumps({"pages": -(-total // size), "first": first, "schema": rows._jdf.schema().toDDL()}).encode()))
+    out.write(bytearray(json.dumps({"pages": -(-total // size), "first": first, "sheet": SHEET, "schema": rows._jdf.schema().toDDL()}).encode()))
     out.close()
     return root
 
@@ -112,7 +136,7 @@ class PagedSource(DataSource):
 
 
 class _PagedReader(DataSourceReader):
-    """A batch: without a limit a task a page; with one a single task that follows the tokens and stops asking as soon as it
+    """A batch: without a limit a task a sheet; with one a single task that follows the tokens and stops asking as soon as it
     has enough rows, counted after the filters that it was given."""
 
     def __init__(self, listing: PagedListing, columns: list[str], size: int, limit: int):
@@ -123,16 +147,19 @@ class _PagedReader(DataSourceReader):
 
     def partitions(self):
         tokens = range(self.listing.first(), self.listing.end())
-        return [InputPartition((tokens.start, None))] if self.limit else [InputPartition((t, t + 1)) for t in tokens]
+        return [InputPartition((tokens.start, None))] if self.limit else _runs(tokens.start, tokens.stop)
 
     def read(self, partition):
         (token, end), left = partition.value, self.limit
-        while token is not None and token != end:
+        if not left:
+            yield from filter(self._fits, self.listing.pages(token, end, self.size))
+            return
+        while token is not None:
             rows, token = self.listing.page(token, self.size)
             for row in filter(self._fits, rows):
                 yield row
                 left -= 1
-                if self.limit and not left:
+                if not left:
                     return
 
 
@@ -146,7 +173,7 @@ class _FilteringReader(_PagedReader):
 
 
 class _PagedStreamReader(DataSourceStreamReader):
-    """A micro-batch takes the pages between the checkpoint's token and the listing's end, a task a page."""
+    """A micro-batch takes the pages between the checkpoint's token and the listing's end, a task a sheet."""
 
     def __init__(self, listing: PagedListing, size: int, start: int):
         self.listing, self.size, self.start = listing, size, start
@@ -160,7 +187,7 @@ class _PagedStreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict):
         if start["token"] < self.listing.first():
             raise CursorExpired(f"pages before {self.listing.first()} are gone; the cursor is {start['token']}")
-        return [InputPartition(t) for t in range(start["token"], end["token"])]
+        return _runs(start["token"], end["token"])
 
     def read(self, partition):
-        yield from self.listing.page(partition.value, self.size)[0]
+        yield from self.listing.pages(*partition.value, self.size)
