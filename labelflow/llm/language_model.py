@@ -39,7 +39,7 @@ from labelflow.llm.common import HOT, discard, materialise, spread_join, steady
 
 #: Tokens whose pairs a task gathers before it hands them on, bytes of texts that it cuts into words at a time, and customers
 #: that a bucket holds of one frequent context (a bucket holds BUCKET times as many customers).
-FLUSH, CUT, ROOM, BUCKET = 2_000_000, 12_000_000, 50_000, 20
+FLUSH, CUT, ROOM, BUCKET = 1_000_000, 6_000_000, 50_000, 20
 #: Distinct words of a part of the root's customers (about).
 ROOT = 50_000
 #: The end of a text; words are never empty.
@@ -169,13 +169,13 @@ class _Gathered:
         for x, n in parts.items():
             if x in self.ids:
                 own[self.ids[x]] = n
-        bucket = (h % np.uint64(buckets)).astype(np.int64)[c]
+        bucket = (h % np.uint64(buckets)).astype(np.int32)[c]
         dealt = np.flatnonzero((own > 1)[c])
         bucket[dealt] = (bucket[dealt] + ((h >> np.uint64(32))[w[dealt]] % own[c[dealt]]).astype(np.int64)) % buckets
         # numpy sorts 16-bit numbers by radix.
         order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
         first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        place = np.zeros(len(names), np.int64)
+        place = np.zeros(len(names), np.int32)
         for lo, hi in zip(first, [*first[1:], len(order)]):
             at = order[lo:hi]
             here = np.zeros(len(names), bool)
@@ -648,7 +648,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         def out(g, ids, n, flush):
             c, w = (np.concatenate([x[a:b] for x in g.texts]) for a, b in ((0, -1), (1, None)))
-            text = np.repeat(np.arange(len(n)), n)
+            text = np.repeat(np.arange(len(n), dtype=np.int32), n)
             rows = [(b, [_pack_names(names), _ascending(text[at]), _pack(c), _pack(w)]) for b, at, names, c, w in g.slices(buckets, parts, c, w)]
             ids = pa.chunked_array(ids).combine_chunks()
             own = lambda x: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x), pa.nulls(len(rows), pa.list_(x.type))])
