@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ BITS = 18
 SAMPLE = 12_000
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (4, 5)
+#: Features of labelled texts that a step of training works on at a time.
+BLOCK = 250_000
 #: Words a worker remembers before it starts anew.
 CACHE_ENTRIES = 200_000
 #: Identity terms by kind; a term is swapped for the next of its kind.
@@ -100,20 +103,31 @@ def train(rows: list[tuple[np.ndarray, np.ndarray | None, int]], lam: float = 1.
         for a, k in zip(lists, many):
             out[at : at + k] = index[a][index[a] >= 0]
             at += k
-        return out, np.repeat(np.arange(len(many), dtype=np.int32), many)
+        return out, np.array(many, np.int64)
 
-    at, row = flat([a for a, _, _ in rows])
+    def numbered(many):
+        return np.repeat(np.arange(len(many), dtype=np.int32), many)
+
+    at, many = flat([a for a, _, _ in rows])
+    ends = np.concatenate([[0], np.cumsum(many)])
+    # Texts a block: copies that a step makes of features are as large as a block, not as the sample.
+    cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, len(at), BLOCK)), [len(rows)]]))
+    blocks = [(a, b, at[ends[a] : ends[b]]) for a, b in zip([0, *cuts], cuts) if b > a]
     y = np.array([t for _, _, t in rows], np.float64)
     pairs = [(a, c) for a, c, _ in rows if c is not None]
     out_at, out_row = flat([np.setdiff1d(a, c) for a, c in pairs])
     in_at, in_row = flat([np.setdiff1d(c, a) for a, c in pairs])
+    out_row, in_row = numbered(out_row), numbered(in_row)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) ** 0.5
     w, b, g2, gb2 = np.zeros(len(used)), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), np.full(len(used), 1e-8), 1e-8
     n = len(rows)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w.astype(np.float32)[at], n) + b, -35, 35)))
-        r = (weight * (p - y) / n).astype(np.float32)
-        g = np.bincount(at, r[row], len(used))
+        single, r, g = w.astype(np.float32), np.empty(n, np.float32), np.zeros(len(used))
+        for lo, hi, here in blocks:
+            row = numbered(many[lo:hi])
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, single[here], hi - lo) + b, -35, 35)))
+            r[lo:hi] = weight[lo:hi] * (p - y[lo:hi]) / n
+            np.add.at(g, here, r[lo:hi].astype(np.float64)[row])
         if pairs:
             d = (np.bincount(in_row, w[in_at], len(pairs)) - np.bincount(out_row, w[out_at], len(pairs))) * (2 * lam / n)
             g += np.bincount(in_at, d[in_row], len(used)) - np.bincount(out_at, d[out_row], len(used))
@@ -139,8 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (
             f = [features(t or "") for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in f], pa.binary()), pa.array([None if c is None else c.tobytes() for _, c in f], pa.binary())], names=["doc_id", "y", "at", "cf"])
 
-    rows = labelled_sample(docs, labels, "toxic", sample, held_out).select(F.col("doc_id").cast("bigint"), "_label", "_text").mapInArrow(run, "doc_id bigint, y int, at binary, cf binary").toPandas().sort_values(["doc_id", "y"])
-    return train([(np.frombuffer(a, np.int32), None if c is None else np.frombuffer(c, np.int32), y) for a, c, y in zip(rows["at"], rows["cf"], rows["y"])], lam)
+    got = labelled_sample(docs, labels, "toxic", sample, held_out).select(F.col("doc_id").cast("bigint"), "_label", "_text").mapInArrow(run, "doc_id bigint, y int, at binary, cf binary").toArrow()
+    y, at, cf = (got.column(k) for k in ("y", "at", "cf"))
+    view = lambda x: np.frombuffer(x.as_buffer(), np.int32) if x.is_valid else None
+    return train([(view(at[k]), view(cf[k]), y[k].as_py()) for k in pc.sort_indices(got, [("doc_id", "ascending"), ("y", "ascending")]).to_pylist()], lam)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -151,6 +151,23 @@ def test_counterfactual_penalty_frees_identity_terms():
     assert not toxicity.train([])[0].any()
 
 
+def test_toxicity_trains_in_blocks(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 20_000, 600)).astype(np.int32), None, k % 3 % 2) for k in range(1500)]
+    many = sum(len(at) for at, _, _ in rows)
+    whole = toxicity.train(rows, steps=3)
+    monkeypatch.setattr(toxicity, "BLOCK", 20_000)
+    tracemalloc.start()
+    parts = toxicity.train(rows, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (whole[0] == parts[0]).all() and whole[1] == parts[1]
+    # The features themselves are four bytes each, tables of all places about 5 MB; copies of all features were 25 bytes each.
+    assert peak < 8e6 + 6 * many, peak
+
+
 def partitions(items):
     if not items:
         yield []
