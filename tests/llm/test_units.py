@@ -197,6 +197,44 @@ def test_gibbs_steps_reach_the_exact_distribution(first):
     assert (np.bincount(np.repeat(np.arange(many), t), flat) == n).all() and (s.tables == t).all()
 
 
+def test_few_customers_move_by_states():
+    """Steps laid out all tables of all dishes with three customers or more; dishes of few have a state each, from which
+    a customer goes and comes by the weights of the tables."""
+    sizes, tables, key, less, more = language_model._partitions()
+    assert len(set(key.tolist())) == len(key) and (np.diff(sizes, axis=1) <= 0).all() and (tables == (sizes > 0).sum(1)).all()
+    bags = [tuple(x[x > 0].tolist()) for x in sizes]
+    for k in [*range(60), len(bags) - 1]:
+        n, bag = sum(bags[k]), bags[k]
+        if n > 1:
+            want = Counter(tuple(sorted([*bag[:i], *([x - 1] if x > 1 else []), *bag[i + 1 :]], reverse=True)) for i, x in enumerate(bag) for _ in range(x))
+            assert Counter(bags[j] for j in less[k, :n]) == want
+        if n < language_model.FEW:
+            grown = [tuple(sorted([*bag[:i], x + 1, *bag[i + 1 :]], reverse=True)) for i, x in enumerate(bag)]
+            assert [bags[j] for j in more[k, : n + 1]] == [(*bag, 1), *(g for g, x in zip(grown, bag) for _ in range(x - 1)), *grown]
+    many, d, strength, p, rng = 60_000, 0.6, 2.0, 0.3, np.random.default_rng(5)
+    s = language_model.Seats(np.full(many, 5), np.arange(many), np.full(many, p), np.zeros(many), d, strength, rng, (np.tile([3, 1, 1], many), np.full(many, 3)))
+    assert [type(x) for x, _ in s.kinds] == [language_model._Few]
+    s.step()
+    want = Counter()
+    for left, share in (((2, 1, 1), 0.6), ((3, 1), 0.4)):
+        weights = [(strength + d * len(left)) * p, *(x - d for x in left)]
+        for i, w in enumerate(weights):
+            new = (*left, 1) if i == 0 else (*left[: i - 1], left[i - 1] + 1, *left[i:])
+            want[tuple(sorted(new, reverse=True))] += share * w / sum(weights)
+    flat, t = s.sizes()
+    got = Counter(tuple(sorted(x.tolist(), reverse=True)) for x in np.split(flat, np.cumsum(t)[:-1]))
+    assert set(got) <= set(want) and all(abs(got[x] / many - want[x]) < 0.01 for x in want)
+
+
+def test_places_of_numbers():
+    rng = np.random.default_rng(4)
+    keys = rng.permutation(np.unique(rng.integers(0, 1 << 40, 40_000)))
+    x = np.concatenate([keys[::3], rng.integers(-5, 1 << 40, 20_000), [-1, 0]])
+    where = {k: i for i, k in enumerate(keys.tolist())}
+    assert language_model._Places(keys).find(x).tolist() == [where.get(k, -1) for k in x.tolist()]
+    assert language_model._Places(keys[:0]).find(x[:3]).tolist() == [-1] * 3 and language_model._Places(keys[:1]).find(keys[:2]).tolist() == [0, -1]
+
+
 def test_seats_keep_their_customers():
     rng = np.random.default_rng(0)
     n = np.array([1, 2, 3, 50, 1000, 1, 70_000])
